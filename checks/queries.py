@@ -57,7 +57,7 @@ def over(fixture: Query, *steps: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _parsed(column: str, parse: Callable) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.select("event_id", parse(F.col(column)).alias("delivered_ts"))
+    return lambda df: parse(df.select("event_id", column), column, "delivered_ts").drop(column)
 
 
 def _scanned(df: DataFrame) -> DataFrame:

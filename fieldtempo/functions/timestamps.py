@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The formats tried for mixed text, first match wins.
@@ -21,81 +21,80 @@ LAST_2000S_YEAR = 68
 
 def _hour24(hour: Column, text: Column) -> Column:
     half = F.upper(F.right(F.rtrim(text), F.lit(2)))
-    return (
-        F.when((half == "PM") & hour.between(1, 11), hour + 12)
-        .when((half == "AM") & (hour == 12), F.lit(0))
-        .otherwise(hour)
-    )
+    shifted = F.when(half == "PM", hour % 12 + 12).when(half == "AM", hour % 12).otherwise(hour)
+    return F.when(hour.between(1, 12), shifted).otherwise(hour)
 
 
 def _full_year(digits: Column) -> Column:
     year = digits.try_cast("int")
-    return F.when(F.length(digits) == 4, year).when(
-        F.length(digits) == 2, F.when(year <= LAST_2000S_YEAR, year + 2000).otherwise(year + 1900)
-    )
+    century = F.when(year <= LAST_2000S_YEAR, 2000).otherwise(1900)
+    return F.when(F.length(digits) == 4, year).when(F.length(digits) == 2, century + year)
 
 
-def parse_delivered(text: Column, orders: Sequence[str]) -> Column:
-    """Wall-clock time of ``text`` under the first order that fits it, else NULL.
+def parse_delivered(df: DataFrame, text: str, into: str, orders: Sequence[str]) -> DataFrame:
+    """Add ``into``: the wall-clock time of ``text`` under the first order that fits, else NULL.
 
-    An order names the date parts as they appear and then the clock parts, e.g. ``dmy HMS``.
-    Each row is read on its own: the other rows of the table never change the result.
+    An order names the date parts as they appear, the year last, and then the clock parts, e.g.
+    ``dmy HMS``. Each row is read on its own: the other rows of the table never change the result.
+    The steps are columns of their own so that each is computed once per row.
     """
-    runs = F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0))
-
-    def run(position: int) -> Column:
-        return F.try_element_at(runs, F.lit(position + 1))
-
-    def number(position: int) -> Column:
-        return run(position).try_cast("int")
-
-    hour = _hour24(number(3), text)
-    minute = number(4)
-    # A seventh run is the fraction of a second.
-    fraction = (F.size(runs) == 7) & text.rlike(r":\d+\.\d+\D*$")
-
-    def read(order: str) -> Column:
+    numbers = F.col("_numbers")
+    month = day = F.lit(None).cast("int")
+    for order in reversed(orders):
         date_part, clock_part = order.split()
-        year = _full_year(run(date_part.index("y")))
-        month = number(date_part.index("m"))
-        day = number(date_part.index("d"))
-        if clock_part == "HMS":
-            fits = (F.size(runs) == 6) | fraction
-            second = F.when(fraction, F.concat_ws(".", run(5), run(6))).otherwise(run(5))
-            second = second.try_cast("decimal(16,6)")
-            fits = fits & (second < 60)
-        else:
-            fits = F.size(runs) == 5
-            second = F.lit(0)
+        order_month = F.get(numbers, F.lit(date_part.index("m")))
+        order_day = F.get(numbers, F.lit(date_part.index("d")))
+        # A seventh number is a fraction of a second. A day that its month lacks also rules out the
+        # swapped reading, so ranges are enough to choose an order.
         fits = (
-            fits
-            & month.between(1, 12)
-            & day.between(1, 31)
-            & hour.between(0, 23)
-            & minute.between(0, 59)
+            F.size(numbers).between(len(clock_part) + 3, 7 if "S" in clock_part else 5)
+            & order_month.between(1, 12)
+            & order_day.between(1, 31)
         )
-        return F.when(
-            fits, F.try_make_timestamp_ntz(year, month, day, hour, minute, second)
-        )
-
-    return F.coalesce(*[read(order) for order in orders])
+        month = F.when(fits, order_month).otherwise(month)
+        day = F.when(fits, order_day).otherwise(day)
+
+    hour = _hour24(F.get(numbers, F.lit(3)), F.col(text))
+    minute = F.get(numbers, F.lit(4))
+    second = F.coalesce(F.get(numbers, F.lit(5)), F.lit(0))
+    in_range = (
+        F.col("_month").isNotNull()
+        & F.col("_hour").between(0, 23)
+        & minute.between(0, 59)
+        & second.between(0, 59)
+    )
+    time = F.try_make_timestamp_ntz(
+        _full_year(F.get("_runs", F.lit(2))),
+        F.col("_month"),
+        F.col("_day"),
+        F.col("_hour"),
+        minute,
+        second,
+    )
+    return (
+        df.withColumn("_runs", F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)))
+        .withColumn("_numbers", F.col("_runs").try_cast("array<int>"))
+        .withColumns({"_month": month, "_day": day, "_hour": hour})
+        .withColumn(into, F.when(in_range, time))
+        .drop("_runs", "_numbers", "_month", "_day", "_hour")
+    )
 
 
-def parse_dmy_hms(text: Column) -> Column:
-    return parse_delivered(text, ["dmy HMS"])
+def parse_dmy_hms(df: DataFrame, text: str, into: str) -> DataFrame:
+    return parse_delivered(df, text, into, ["dmy HMS"])
 
 
-def parse_mdy_hm(text: Column) -> Column:
-    return parse_delivered(text, ["mdy HM"])
+def parse_mdy_hm(df: DataFrame, text: str, into: str) -> DataFrame:
+    return parse_delivered(df, text, into, ["mdy HM"])
 
 
-def parse_mixed(text: Column) -> Column:
+def parse_mixed(df: DataFrame, text: str, into: str) -> DataFrame:
     """Day-first wins wherever both readings are valid dates."""
-    return parse_delivered(text, MIXED_ORDERS)
+    return parse_delivered(df, text, into, MIXED_ORDERS)
 
 
-def parse_iso(text: Column) -> Column:
-    """ISO text; a UTC offset, if any, is applied. Text without a full date is NULL."""
+def parse_iso(df: DataFrame, text: str, into: str) -> DataFrame:
+    """Add ``into``: the time of ISO text; a UTC offset, if any, is applied. Text without a full date is NULL."""
     iso = r"^\s*(\d{4}-\d{1,2}-\d{1,2}(?:[T ][0-9:.]+)?)\s*(?:Z|([+-]\d{2}:?\d{2}))?\s*$"
     local = F.regexp_extract(text, iso, 1).try_cast("timestamp_ntz")
     offset = F.replace(F.regexp_extract(text, iso, 2), F.lit(":"))
@@ -103,4 +102,5 @@ def parse_iso(text: Column) -> Column:
         "int"
     )
     east = F.when(F.startswith(offset, F.lit("-")), -minutes).otherwise(minutes)
-    return F.when(offset == "", local).otherwise(F.timestamp_add("MINUTE", -east, local))
+    time = F.when(offset == "", local).otherwise(F.timestamp_add("MINUTE", -east, local))
+    return df.withColumn(into, time)

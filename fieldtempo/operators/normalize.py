@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtempo.functions import parse_dmy_hms, shift, weekday, weekday_order
@@ -33,12 +33,18 @@ def accuracy_filter(deliveries: DataFrame) -> DataFrame:
 def bad_dates(
     deliveries: DataFrame,
     raw: str = "delivered_raw",
-    parse: Callable[[Column], Column] = parse_dmy_hms,
+    parse: Callable[[DataFrame, str, str], DataFrame] = parse_dmy_hms,
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """The distinct texts, per key if any, that are present but cannot be read."""
-    text = F.col(raw)
-    return deliveries.where(text.isNotNull() & parse(text).isNull()).select(*keys, raw).distinct()
+    """The distinct texts, per key if any, that are present but cannot be read.
+
+    Readable rows collapse into one NULL group per task and are dropped after the aggregate; a
+    filter below it would repeat the whole parse inside its condition.
+    """
+    parsed = parse(deliveries.select(*keys, raw), raw, "_parsed")
+    unreadable = F.when(F.col("_parsed").isNull(), F.col(raw))
+    counted = parsed.select(*keys, unreadable.alias(raw)).groupBy(*keys, raw)
+    return counted.agg(F.count(raw).alias("_rows")).where(F.col("_rows") > 0).drop("_rows")
 
 
 def time_features(deliveries: DataFrame, timestamp: str = "delivered_ts") -> DataFrame:

@@ -15,6 +15,9 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Recording the Python line of every Column call makes plans several times slower to build.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
 # Starting point for ~100 TB on ~1000 executors: scan splits of 512 MB keep the map side near

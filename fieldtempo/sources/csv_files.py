@@ -63,17 +63,18 @@ def canonical(raw: DataFrame, city: str, year: int, layout: Layout) -> DataFrame
     whose date falls in another year still counts under them.
     """
     property_type = F.col(layout.property_type) if layout.property_type else F.lit(None)
-    deliveries = raw.select(
+    labelled = raw.select(
         F.lit(city).alias("city"),
         F.lit(year).cast("int").alias("year"),
         F.col("source"),
         F.col(layout.enumerator).alias("enumerator"),
         F.col(layout.delivered).alias("delivered_raw"),
-        layout.parse(F.col(layout.delivered)).alias("delivered_ts"),
         F.col(layout.distance).try_cast("double").alias("distance"),
         F.lit(layout.threshold).alias("threshold"),
         property_type.cast("string").alias("property_type"),
-    ).withColumn("date", F.to_date("delivered_ts"))
+    )
+    parsed = layout.parse(labelled, "delivered_raw", "delivered_ts")
+    deliveries = parsed.withColumn("date", F.to_date("delivered_ts"))
     if layout.drop_missing_dates:
         deliveries = drop_missing_dates(deliveries)
     if layout.property_type:

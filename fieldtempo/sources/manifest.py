@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 
 from fieldtempo.functions import parse_dmy_hms, parse_iso, parse_mdy_hm, parse_mixed
 
@@ -18,7 +18,7 @@ class Layout:
     enumerator: str
     distance: str
     threshold: float  # in the unit of the distance column; a delivery on it is accurate
-    parse: Callable[[Column], Column]
+    parse: Callable[[DataFrame, str, str], DataFrame]  # table, text column, column to add
     property_type: str | None = None  # comma list, each entry a delivery of its own
     drop_missing_dates: bool = False
 
