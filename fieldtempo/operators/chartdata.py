@@ -128,13 +128,19 @@ def density(
         )
         .where(F.col("n") >= 2)
         .withColumn("bw", 0.9 * scale * F.pow(size, F.lit(-0.2)))
+        .withColumn("exponent", -0.5 / (F.col("bw") * F.col("bw")))
+        .withColumn("step", (F.col("high") - F.col("low")) / (points - 1))
+        .withColumn(
+            "grid",
+            F.transform(
+                F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("low") + i * F.col("step")
+            ),
+        )
     )
 
-    def grid_point(number: Column) -> Column:
-        x = F.col("low") + number * (F.col("high") - F.col("low")) / (points - 1)
-
+    def grid_point(x: Column, number: Column) -> Column:
         def add_kernel(total: Column, day: Column) -> Column:
-            return total + F.exp(F.pow((x - day) / F.col("bw"), F.lit(2.0)) * -0.5)
+            return total + F.exp((x - day) * (x - day) * F.col("exponent"))
 
         height = F.aggregate("days", F.lit(0.0), add_kernel)
         return F.struct(
@@ -143,8 +149,7 @@ def density(
             (height / (size * F.col("bw") * math.sqrt(2 * math.pi))).alias("density"),
         )
 
-    grid = F.sequence(F.lit(0), F.lit(points - 1))
-    return shaped.select(*keys, "bw", F.inline(F.transform(grid, grid_point)))
+    return shaped.select(*keys, "bw", F.inline(F.transform("grid", grid_point)))
 
 
 def dow_tod_bars(profile: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:

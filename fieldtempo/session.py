@@ -26,7 +26,6 @@ CLUSTER_CONF = {
     **BASE_CONF,
     "spark.sql.files.maxPartitionBytes": "512m",
     "spark.sql.shuffle.partitions": "8000",
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
 }
 
 

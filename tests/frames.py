@@ -1,0 +1,31 @@
+"""Small frames for tests."""
+
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+
+DELIVERIES = (
+    "city string, year int, enumerator string, delivered_ts timestamp_ntz, date date, "
+    "distance double, threshold double"
+)
+DAILY = "city string, year int, dataset string, date date, daily_avg double"
+
+
+def day(number: int) -> datetime.date:
+    return datetime.date(2024, 1, 1) + datetime.timedelta(days=number)
+
+
+def daily(spark: SparkSession, values, dataset="Unfiltered", city="Kenema") -> DataFrame:
+    rows = [(city, 2024, dataset, day(i), float(v)) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, DAILY)
+
+
+def deliveries(spark: SparkSession, rows) -> DataFrame:
+    """Rows of (enumerator, timestamp or None, distance or None)."""
+    data = [
+        ("Kenema", 2024, who, when, when.date() if when else None, distance, 80.0)
+        for who, when, distance in rows
+    ]
+    return spark.createDataFrame(data, DELIVERIES)

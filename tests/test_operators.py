@@ -1,0 +1,192 @@
+"""Hand-worked cases and NULL handling of the operators."""
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from fieldtempo.operators import chartdata, normalize, pace, profile, stats
+from tests.frames import daily, day, deliveries
+
+
+def at(number, hour=9):
+    return datetime.datetime.combine(day(number), datetime.time(hour))
+
+
+def test_trim_and_stats(spark):
+    trimmed = pace.iqr_trim(daily(spark, [2, 2, 3, 3, 4, 20]))
+    rows = trimmed.orderBy("date").collect()
+    assert [row.daily_avg for row in rows] == [2, 2, 3, 3, 4]
+    assert {(row.Q1, row.Q3, row.IQR) for row in rows} == {(2.25, 3.75, 1.5)}
+    result = stats.pace_stats(trimmed).collect()[0]
+    assert result.mean == pytest.approx(2.8)
+    assert result.median == 3
+    assert result.sd == pytest.approx(0.8366600265)
+    assert result.iqr == 1
+    assert result.p80 == pytest.approx(3.2)
+    assert result.p90 == pytest.approx(3.6)
+
+
+def test_trim_keeps_days_on_a_fence_and_runs_once(spark):
+    # Quartiles 2 and 4, so the fences are -1 and 7; of what is left, 7 is outside new fences.
+    values = [2, 2, 2, 3, 4, 4, 4, 7, 8]
+    trimmed = pace.iqr_trim(daily(spark, values))
+    assert sorted(row.daily_avg for row in trimmed.collect()) == [2, 2, 2, 3, 4, 4, 4, 7]
+
+
+def test_trim_is_per_key(spark):
+    low, high = daily(spark, [1, 1, 1, 1]), daily(spark, [90, 90, 90, 90], city="Makeni")
+    assert pace.iqr_trim(low.union(high)).count() == 8
+
+
+def test_quantiles_interpolate(spark):
+    result = stats.pace_stats(daily(spark, [1, 2, 3.5, 10])).collect()[0]
+    assert result.median == 2.75
+    assert result.iqr == pytest.approx(5.125 - 1.75)
+    assert result.p80 == pytest.approx(6.1)
+    assert result.sd == pytest.approx(4.049176871)
+
+
+def test_single_day(spark):
+    result = stats.pace_stats(pace.iqr_trim(daily(spark, [5]))).collect()[0]
+    assert (result.mean, result.median, result.sd, result.iqr) == (5, 5, None, 0)
+
+
+def test_accuracy_filter_includes_the_threshold(spark):
+    frame = spark.createDataFrame([(None,), (0.08,), (0.081,)], "distance double")
+    kept = normalize.accuracy_filter(frame.withColumn("threshold", F.lit(0.08)))
+    assert [row.distance for row in kept.collect()] == [0.08]
+
+
+def test_split(spark):
+    frame = spark.createDataFrame([("A, B,C,",), (None,), ("",)], "property_type string")
+    rows = [row.property_type for row in normalize.split_multivalue(frame).collect()]
+    assert rows == ["A", "B", "C", "", None, ""]
+
+
+def test_missing_text_goes_but_unreadable_text_stays(spark):
+    frame = spark.createDataFrame([(None,), ("rejected",)], "delivered_raw string")
+    assert [r[0] for r in normalize.drop_missing_dates(frame).collect()] == ["rejected"]
+
+
+def test_bad_dates(spark):
+    texts = ["14/03/2024 09:05:00", "03/14/2024 09:05:00", "rejected", "rejected", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "delivered_raw string")
+    rows = normalize.bad_dates(frame).collect()
+    assert sorted(row[0] for row in rows) == ["03/14/2024 09:05:00", "rejected"]
+
+
+def test_inactive_enumerators_do_not_count_as_zero(spark):
+    # Day 0: a makes 3 (1 accurate), b makes 1 (none accurate).
+    rows = [("a", at(0), 10.0), ("a", at(0), 200.0), ("a", at(0), None), ("b", at(0), 81.0)]
+    result = {r.dataset: r.daily_avg for r in pace.daily_pace(deliveries(spark, rows)).collect()}
+    assert result == {"Unfiltered": 2.0, "Filtered": 1.0}
+    counts = pace.enumerator_daily_counts(deliveries(spark, rows)).collect()
+    assert sorted((r.dataset, r.enumerator, r.enum_daily_deliv) for r in counts) == [
+        ("Filtered", "a", 1),
+        ("Unfiltered", "a", 3),
+        ("Unfiltered", "b", 1),
+    ]
+
+
+def test_missing_dates_pool_into_one_day(spark):
+    rows = [("a", None, 1.0)] * 5 + [(None, at(0), 1.0)] * 2 + [("a", at(0), 1.0)] * 4
+    result = pace.daily_pace(deliveries(spark, rows)).where("dataset = 'Unfiltered'").collect()
+    assert {row.date: row.daily_avg for row in result} == {None: 5.0, day(0): 3.0}
+
+
+def test_days_without_accurate_deliveries_have_no_filtered_row(spark):
+    rows = [("a", at(0), 500.0), ("a", at(1), 5.0)]
+    result = pace.daily_pace(deliveries(spark, rows)).where("dataset = 'Filtered'").collect()
+    assert [row.date for row in result] == [day(1)]
+
+
+def test_comparison(spark):
+    frame = daily(spark, [4, 6]).union(daily(spark, [3, 5], dataset="Filtered"))
+    row = stats.accuracy_comparison(frame).collect()[0]
+    assert (row.unfiltered_mean, row.filtered_mean, row.diff_percent) == (5, 4, pytest.approx(20))
+
+
+def test_comparison_without_a_base_is_null(spark):
+    zero = daily(spark, [0, 0]).union(daily(spark, [0, 0], dataset="Filtered"))
+    assert stats.accuracy_comparison(zero).collect()[0].diff_percent is None
+    alone = daily(spark, [3, 5], dataset="Filtered")
+    assert stats.accuracy_comparison(alone).collect()[0].diff_percent is None
+
+
+def test_profiles_average_enumerator_counts(spark):
+    # 2024-01-01 and 2024-01-08 are Mondays. a: 2 + 1 in the morning, 1 in the afternoon; b: 1.
+    rows = (
+        [("a", at(0, 7), 999.0)] * 2
+        + [("a", at(0, 13), 1.0), ("a", at(7, 7), None), ("b", at(0, 7), 1.0)]
+        + [("b", None, 1.0)]
+    )
+    features = normalize.time_features(deliveries(spark, rows))
+    by_tod = {r.tod: r.avg_daily_pace_tod for r in profile.pace_by_tod(features).collect()}
+    assert by_tod["06–08"] == pytest.approx(4 / 3)
+    assert by_tod["12–14"] == 1
+    assert by_tod["Other (Night/Early Morning)"] == 1
+    by_dow = {r.dow: r.avg_daily_pace_dow for r in profile.pace_by_dow(features).collect()}
+    assert by_dow == {"Mon": pytest.approx(5 / 3), None: 1}
+    both = profile.pace_by_dow_tod(features).where("dow = 'Mon' and tod = '06–08'").collect()
+    assert [(r.dow_order, r.avg_daily_pace_tod_dow) for r in both] == [(2, pytest.approx(4 / 3))]
+
+
+def test_histogram_bins(spark):
+    # 15 bins over 0..14: width 1, centred on whole numbers, so 0.5 is on an edge and goes left.
+    table = chartdata.histogram(daily(spark, [0, 0.5, 1, 14])).orderBy("bin").collect()
+    assert [row["count"] for row in table] == [2, 1] + [0] * 12 + [1]
+    assert (table[0].bin_start, table[0].bin_end) == (-0.5, 0.5)
+    assert sum(r.density * (r.bin_end - r.bin_start) for r in table) == pytest.approx(1)
+
+
+def test_histogram_of_equal_values_is_one_bin(spark):
+    rows = chartdata.histogram(daily(spark, [3, 3, 3])).collect()
+    assert [(r.bin, r["count"], r.density, r.bin_start, r.bin_end) for r in rows] == [
+        (0, 3, None, 3, 3)
+    ]
+
+
+def test_shared_histogram_has_common_edges(spark):
+    frame = daily(spark, [0, 19]).union(daily(spark, [5, 5], dataset="Filtered"))
+    table = chartdata.histogram(frame, bins=20, shared_range=True)
+    sizes = {row.dataset: row["count"] for row in table.groupBy("dataset").count().collect()}
+    assert sizes == {"Filtered": 20, "Unfiltered": 20}
+    assert table.select("bin", "bin_start").distinct().count() == 20
+    assert table.where("dataset = 'Filtered' and count > 0").collect()[0].bin == 5
+
+
+def test_density_is_a_density(spark):
+    rows = chartdata.density(daily(spark, [2, 4, 5, 5, 6, 9])).orderBy("point").collect()
+    assert [row.point for row in rows] == list(range(512))
+    assert (rows[0].x, rows[-1].x) == (2, pytest.approx(9))
+    # n = 6, sd = 2.3166..., IQR 1.5 / 1.34 is the smaller.
+    assert rows[0].bw == pytest.approx(0.9 * (1.5 / 1.34) * 6**-0.2)
+
+
+@pytest.mark.parametrize(
+    "values, scale",
+    [
+        ([5, 5, 5, 5, 9], 1.7888543819998317),  # IQR 0: the deviation
+        ([5, 5, 5], 5.0),  # deviation 0: the earliest value
+        ([0, 0, 0], 1.0),  # and that 0: one
+    ],
+)
+def test_density_bandwidth_fallbacks(spark, values, scale):
+    rows = chartdata.density(daily(spark, values), points=2).collect()
+    assert rows[0].bw == pytest.approx(0.9 * scale * len(values) ** -0.2)
+
+
+def test_density_needs_two_days(spark):
+    assert chartdata.density(daily(spark, [5])).count() == 0
+
+
+def test_chart_orders(spark):
+    rows = [("a", at(n, hour), 1.0) for n in range(7) for hour in (7, 13, 20)]
+    table = profile.pace_by_dow_tod(normalize.time_features(deliveries(spark, rows)))
+    bars = [(r.dow, r.tod) for r in chartdata.dow_tod_bars(table).collect()]
+    assert bars[0] == ("Sun", "06–08") and bars[3] == ("Mon", "06–08")
+    lines = [(r.tod, r.dow) for r in chartdata.trend_by_tod(table).collect()]
+    assert lines[0] == ("06–08", "Sun") and lines[6] == ("06–08", "Sat")
+    series = chartdata.timeseries(daily(spark, [3, 1, 2])).collect()
+    assert [r.date for r in series] == [day(0), day(1), day(2)]
