@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtempo.functions import snake_case_names
@@ -16,9 +16,9 @@ from fieldtempo.sources.manifest import Layout, Source
 MISSING = ("", "NA")
 
 
-def _value(column: str) -> Column:
-    trimmed = F.trim(F.col(column))
-    return F.when(~trimmed.isin(*MISSING), trimmed).alias(column)
+def _value(column: str) -> str:
+    missing = ", ".join(f"'{text}'" for text in MISSING)
+    return f"CASE WHEN trim({column}) NOT IN ({missing}) THEN trim({column}) END AS {column}"
 
 
 def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -38,7 +38,7 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
         multiLine=multiline,
     )
     named = raw.toDF(*snake_case_names(raw.columns))
-    return named.select(*[_value(name) for name in named.columns])
+    return named.selectExpr(*[_value(f"`{name}`") for name in named.columns])
 
 
 def read_source(spark: SparkSession, source: Source) -> DataFrame:
