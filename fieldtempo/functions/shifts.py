@@ -14,6 +14,8 @@ SHIFTS = (
 )
 NIGHT_SHIFT = "Other (Night/Early Morning)"
 
+SHIFT_LABELS = (*(name for _, _, name in SHIFTS), NIGHT_SHIFT)
+
 
 def shift(hour: Column) -> Column:
     """Label of the shift ``hour`` falls in. Other hours, and NULL, are the night shift."""

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtempo.functions import SHIFT_LABELS
+
 CAMPAIGN = ("city", "year")
 CAMPAIGN_DATASET = (*CAMPAIGN, "dataset")
 
@@ -29,28 +31,23 @@ def _by_dataset(wide: DataFrame, ids: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def count_deliveries(deliveries: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``deliveries`` and ``accurate`` per group of ``by``."""
-    accurate = F.col("distance") <= F.col("threshold")
-    return deliveries.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("deliveries"), F.count_if(accurate).alias("accurate")
-    )
-
-
-def count_enumerator_days(deliveries: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
-    return count_deliveries(deliveries, [*keys, "date", "enumerator"])
-
-
-def count_enumerator_shifts(features: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
-    """The finest counts any table needs: every other result can be computed from these."""
-    return count_deliveries(features, [*keys, "date", "tod", "enumerator"])
-
+def count_enumerator_days(
+    deliveries: DataFrame, keys: Sequence[str] = CAMPAIGN, by_shift: bool = False
+) -> DataFrame:
+    """``deliveries`` and ``accurate`` per key, day and enumerator.
 
-def days_from_shifts(shifts: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
-    """Roll shift counts up to enumerator days."""
-    return shifts.groupBy(*keys, "date", "enumerator").agg(
-        F.sum("deliveries").alias("deliveries"), F.sum("accurate").alias("accurate")
-    )
+    ``by_shift`` needs a ``tod`` column and adds an array of the deliveries in each shift, in the
+    order of ``SHIFT_LABELS``: the shifts of a day then share its row in the shuffle, and every
+    other table can be computed from the result without another shuffle of this size.
+    """
+    counts = [
+        F.count(F.lit(1)).alias("deliveries"),
+        F.count_if(F.col("distance") <= F.col("threshold")).alias("accurate"),
+    ]
+    if by_shift:
+        in_shift = [F.count_if(F.col("tod") == label) for label in SHIFT_LABELS]
+        counts.append(F.array(*in_shift).alias("by_shift"))
+    return deliveries.groupBy(*keys, "date", "enumerator").agg(*counts)
 
 
 def enumerator_daily_counts(deliveries: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Pace by shift and weekday: all deliveries, no accuracy filter, no trimming."""
+"""Pace by shift and weekday: all deliveries, no accuracy filter, no trimming.
+
+The ``*_profile`` functions start from day counts, the ``pace_by_*`` functions from deliveries.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +10,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtempo.functions import weekday, weekday_order
-from fieldtempo.operators.pace import CAMPAIGN, count_enumerator_days, count_enumerator_shifts
+from fieldtempo.functions import SHIFT_LABELS, weekday, weekday_order
+from fieldtempo.operators.pace import CAMPAIGN, count_enumerator_days
+
+
+def _active_shifts(days: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per enumerator, day and shift with a delivery, from day counts by shift."""
+    labels = F.array(*[F.lit(label) for label in SHIFT_LABELS])
+    return (
+        days.select(*keys, "date", F.posexplode("by_shift").alias("number", "deliveries"))
+        .where(F.col("deliveries") > 0)
+        .withColumn("tod", F.get(labels, F.col("number")))
+    )
 
 
 def _average(counts: DataFrame, keys: Sequence[str], by: Sequence[str], name: str) -> DataFrame:
@@ -21,23 +34,23 @@ def _average(counts: DataFrame, keys: Sequence[str], by: Sequence[str], name: st
     return counts.groupBy(*keys, *by).agg(F.avg("deliveries").alias(name))
 
 
-def tod_profile(shifts: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
-    """Average deliveries of an enumerator in a shift, from shift counts."""
-    return _average(shifts, keys, ["tod"], "avg_daily_pace_tod")
+def tod_profile(days: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
+    """Average deliveries of an enumerator in a shift."""
+    return _average(_active_shifts(days, keys), keys, ["tod"], "avg_daily_pace_tod")
 
 
 def dow_profile(days: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
-    """Average deliveries of an enumerator on a weekday, from day counts."""
+    """Average deliveries of an enumerator on a weekday."""
     return _average(days, keys, ["dow"], "avg_daily_pace_dow")
 
 
-def dow_tod_profile(shifts: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
-    """Average deliveries of an enumerator in a shift of a weekday, from shift counts."""
-    return _average(shifts, keys, ["dow", "tod"], "avg_daily_pace_tod_dow")
+def dow_tod_profile(days: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
+    """Average deliveries of an enumerator in a shift of a weekday."""
+    return _average(_active_shifts(days, keys), keys, ["dow", "tod"], "avg_daily_pace_tod_dow")
 
 
 def pace_by_tod(features: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
-    return tod_profile(count_enumerator_shifts(features, keys), keys)
+    return tod_profile(count_enumerator_days(features, keys, by_shift=True), keys)
 
 
 def pace_by_dow(features: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
@@ -45,4 +58,4 @@ def pace_by_dow(features: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFram
 
 
 def pace_by_dow_tod(features: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
-    return dow_tod_profile(count_enumerator_shifts(features, keys), keys)
+    return dow_tod_profile(count_enumerator_days(features, keys, by_shift=True), keys)

@@ -1,8 +1,8 @@
 """Every result table from one pass over the deliveries.
 
-The deliveries are scanned and shuffled once, into counts per enumerator, day and shift. The counts
-are written before use, so a lost executor costs a read of that small table and never a new pass
-over the deliveries; everything else is computed from it.
+The deliveries are scanned and shuffled once, into counts per enumerator and day. The counts are
+written before use, so a lost executor costs a read of that small table and never a new pass over
+the deliveries; everything else is computed from it with shuffles of a few rows per day.
 """
 
 from __future__ import annotations
@@ -13,19 +13,19 @@ from fieldtempo.operators import chartdata, pace, profile, stats
 from fieldtempo.operators.normalize import time_features
 from fieldtempo.sources.landing import land_by_campaign, read_landed
 
-SHIFT_COUNTS = "enumerator_shift_counts"
+ENUMERATOR_DAYS = "enumerator_days"
 DAILY_PACE = "all_daily_pace"
 
 
-def report_tables(shifts: DataFrame, trimmed: DataFrame) -> dict[str, DataFrame]:
-    """The tables that follow from shift counts and trimmed daily pace."""
-    dow_tod = profile.dow_tod_profile(shifts)
+def report_tables(days: DataFrame, trimmed: DataFrame) -> dict[str, DataFrame]:
+    """The tables that follow from day counts by shift and trimmed daily pace."""
+    dow_tod = profile.dow_tod_profile(days)
     return {
         "pace_stats": stats.pace_stats(trimmed),
         "summary_all": stats.summary_all(trimmed),
         "accuracy_comparison": stats.accuracy_comparison(trimmed),
-        "pace_by_tod": profile.tod_profile(shifts),
-        "pace_by_dow": profile.dow_profile(pace.days_from_shifts(shifts)),
+        "pace_by_tod": profile.tod_profile(days),
+        "pace_by_dow": profile.dow_profile(days),
         "pace_by_dow_tod": chartdata.dow_tod_bars(dow_tod),
         "pace_trend_by_tod": chartdata.trend_by_tod(dow_tod),
         "pace_timeseries": chartdata.timeseries(trimmed),
@@ -43,16 +43,15 @@ def write_report(deliveries: DataFrame, folder: str) -> dict[str, DataFrame]:
     spark = deliveries.sparkSession
     folder = folder.rstrip("/")
 
-    counts = pace.count_enumerator_shifts(time_features(deliveries))
-    land_by_campaign(counts, f"{folder}/{SHIFT_COUNTS}", balance=True)
-    shifts = read_landed(spark, f"{folder}/{SHIFT_COUNTS}")
+    counts = pace.count_enumerator_days(time_features(deliveries), by_shift=True)
+    counts.write.mode("error").parquet(f"{folder}/{ENUMERATOR_DAYS}")
+    days = spark.read.parquet(f"{folder}/{ENUMERATOR_DAYS}")
 
-    daily = pace.average_days(pace.days_from_shifts(shifts))
-    land_by_campaign(pace.iqr_trim(daily), f"{folder}/{DAILY_PACE}", balance=True)
+    land_by_campaign(pace.iqr_trim(pace.average_days(days)), f"{folder}/{DAILY_PACE}", balance=True)
     trimmed = read_landed(spark, f"{folder}/{DAILY_PACE}")
 
-    written = {SHIFT_COUNTS: shifts, DAILY_PACE: trimmed}
-    for name, table in report_tables(shifts, trimmed).items():
+    written = {ENUMERATOR_DAYS: days, DAILY_PACE: trimmed}
+    for name, table in report_tables(days, trimmed).items():
         table.write.mode("error").parquet(f"{folder}/{name}")
         written[name] = spark.read.parquet(f"{folder}/{name}")
     return written

@@ -21,12 +21,12 @@ BASE_CONF = {
 }
 
 # Starting point for ~100 TB on ~1000 executors: scan splits of 512 MB keep the map side near
-# 200,000 tasks, and counts are small after map-side combine, so 8,000 reducers hold them easily.
+# 200,000 tasks, and counts are small after map-side combine, so 4,000 reducers hold them easily.
 # A task of a partitioned write holds few campaigns: open writers for them spare it a sort.
 CLUSTER_CONF = {
     **BASE_CONF,
     "spark.sql.files.maxPartitionBytes": "512m",
-    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.shuffle.partitions": "4000",
     "spark.sql.maxConcurrentOutputFileWriters": "32",
 }
 
@@ -37,7 +37,7 @@ def local_session(cores: int | str = "*", app: str = "fieldtempo", **conf: str)
     settings = {
         **BASE_CONF,
         "spark.sql.shuffle.partitions": "8" if cores == "*" else str(cores),
-        "spark.driver.memory": "8g",
+        "spark.driver.memory": "12g",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     for key, value in settings.items():

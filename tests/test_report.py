@@ -39,7 +39,7 @@ def test_report_equals_the_direct_results(spark, tmp_path):
         "pace_histogram_shared": chartdata.histogram(trimmed, bins=20, shared_range=True),
         "pace_density_shared": chartdata.density(trimmed, shared_range=True),
     }
-    assert set(report) == {*direct, "enumerator_shift_counts"}
+    assert set(report) == {*direct, "enumerator_days"}
     for name, table in direct.items():
         written, expected = spark_rows(comparable(report[name])), spark_rows(comparable(table))
         assert expected[1], name
@@ -107,9 +107,10 @@ def test_invariants(spark, seed):
     dropped = pace.daily_pace(frame).count() - kept.count()
     assert dropped > 0, "the hot day is an outlier, so the trim has something to drop"
 
-    shifts = pace.count_enumerator_shifts(normalize.time_features(frame))
-    from_shifts = pace.average_days(pace.days_from_shifts(shifts))
-    assert spark_rows(from_shifts) == spark_rows(pace.daily_pace(frame))
+    days = pace.count_enumerator_days(normalize.time_features(frame), by_shift=True)
+    uneven = "deliveries <> aggregate(by_shift, 0L, (total, n) -> total + n)"
+    assert days.where(uneven).count() == 0
+    assert spark_rows(pace.average_days(days)) == spark_rows(pace.daily_pace(frame))
 
     bars = chartdata.histogram(kept).groupBy("dataset").agg(
         F.sum(F.col("density") * (F.col("bin_end") - F.col("bin_start"))).alias("area"),
