@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The formats tried for mixed text, first match wins.
@@ -19,16 +19,8 @@ MIXED_ORDERS = ("dmy HMS", "mdy HMS", "dmy HM", "mdy HM")
 LAST_2000S_YEAR = 68
 
 
-def _hour24(hour: Column, text: Column) -> Column:
-    half = F.upper(F.right(F.rtrim(text), F.lit(2)))
-    shifted = F.when(half == "PM", hour % 12 + 12).when(half == "AM", hour % 12).otherwise(hour)
-    return F.when(hour.between(1, 12), shifted).otherwise(hour)
-
-
-def _full_year(digits: Column) -> Column:
-    year = digits.try_cast("int")
-    century = F.when(year <= LAST_2000S_YEAR, 2000).otherwise(1900)
-    return F.when(F.length(digits) == 4, year).when(F.length(digits) == 2, century + year)
+def _within(number: str, low: int, high: int) -> str:
+    return f"({number} >= {low} AND {number} <= {high})"
 
 
 def parse_delivered(df: DataFrame, text: str, into: str, orders: Sequence[str]) -> DataFrame:
@@ -38,46 +30,44 @@ def parse_delivered(df: DataFrame, text: str, into: str, orders: Sequence[str])
     ``dmy HMS``. Each row is read on its own: the other rows of the table never change the result.
     The steps are columns of their own so that each is computed once per row.
     """
-    numbers = F.col("_numbers")
-    month = day = F.lit(None).cast("int")
-    for order in reversed(orders):
-        date_part, clock_part = order.split()
-        order_month = F.get(numbers, F.lit(date_part.index("m")))
-        order_day = F.get(numbers, F.lit(date_part.index("d")))
+
+    def number(position: int) -> str:
+        return f"get(_numbers, {position})"
+
+    def fits(order: str) -> str:
         # A seventh number is a fraction of a second. A day that its month lacks also rules out the
         # swapped reading, so ranges are enough to choose an order.
-        fits = (
-            F.size(numbers).between(len(clock_part) + 3, 7 if "S" in clock_part else 5)
-            & order_month.between(1, 12)
-            & order_day.between(1, 31)
+        count = (6, 7) if order.endswith("HMS") else (5, 5)
+        month, day = number(order.index("m")), number(order.index("d"))
+        return " AND ".join(
+            [_within("size(_numbers)", *count), _within(month, 1, 12), _within(day, 1, 31)]
         )
-        month = F.when(fits, order_month).otherwise(month)
-        day = F.when(fits, order_day).otherwise(day)
-
-    hour = _hour24(F.get(numbers, F.lit(3)), F.col(text))
-    minute = F.get(numbers, F.lit(4))
-    second = F.coalesce(F.get(numbers, F.lit(5)), F.lit(0))
-    in_range = (
-        F.col("_month").isNotNull()
-        & F.col("_hour").between(0, 23)
-        & minute.between(0, 59)
-        & second.between(0, 59)
-    )
-    time = F.try_make_timestamp_ntz(
-        _full_year(F.get("_runs", F.lit(2))),
-        F.col("_month"),
-        F.col("_day"),
-        F.col("_hour"),
-        minute,
-        second,
-    )
-    return (
-        df.withColumn("_runs", F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)))
-        .withColumn("_numbers", F.col("_runs").try_cast("array<int>"))
-        .withColumns({"_month": month, "_day": day, "_hour": hour})
-        .withColumn(into, F.when(in_range, time))
-        .drop("_runs", "_numbers", "_month", "_day", "_hour")
+
+    def first_fit(part: str) -> str:
+        branches = [f"WHEN {fits(order)} THEN {number(order.index(part))}" for order in orders]
+        return f"CASE {' '.join(branches)} END"
+
+    year = f"""CASE length(get(_runs, 2)) WHEN 4 THEN {number(2)}
+        WHEN 2 THEN {number(2)} + IF({number(2)} <= {LAST_2000S_YEAR}, 2000, 1900) END"""
+    half = f"upper(right(rtrim(`{text}`), 2))"
+    hour = f"""CASE WHEN NOT {_within(number(3), 1, 12)} THEN {number(3)}
+        WHEN {half} = 'AM' THEN {number(3)} % 12
+        WHEN {half} = 'PM' THEN {number(3)} % 12 + 12 ELSE {number(3)} END"""
+    second = f"coalesce({number(5)}, 0)"
+    in_range = " AND ".join(
+        ["_month IS NOT NULL", _within("_hour", 0, 23), _within(number(4), 0, 59)]
+        + [_within(second, 0, 59)]
     )
+    time = f"try_make_timestamp_ntz(_year, _month, _day, _hour, {number(4)}, {second})"
+    steps = [
+        {"_runs": f"regexp_extract_all(`{text}`, r'[0-9]+', 0)"},
+        {"_numbers": "try_cast(_runs AS array<int>)"},
+        {"_year": year, "_month": first_fit("m"), "_day": first_fit("d"), "_hour": hour},
+        {into: f"CASE WHEN {in_range} THEN {time} END"},
+    ]
+    for step in steps:
+        df = df.withColumns({name: F.expr(sql) for name, sql in step.items()})
+    return df.drop("_runs", "_numbers", "_year", "_month", "_day", "_hour")
 
 
 def parse_dmy_hms(df: DataFrame, text: str, into: str) -> DataFrame:
@@ -94,13 +84,24 @@ def parse_mixed(df: DataFrame, text: str, into: str) -> DataFrame:
 
 
 def parse_iso(df: DataFrame, text: str, into: str) -> DataFrame:
-    """Add ``into``: the time of ISO text; a UTC offset, if any, is applied. Text without a full date is NULL."""
-    iso = r"^\s*(\d{4}-\d{1,2}-\d{1,2}(?:[T ][0-9:.]+)?)\s*(?:Z|([+-]\d{2}:?\d{2}))?\s*$"
-    local = F.regexp_extract(text, iso, 1).try_cast("timestamp_ntz")
-    offset = F.replace(F.regexp_extract(text, iso, 2), F.lit(":"))
-    minutes = F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 4, 2).try_cast(
-        "int"
-    )
-    east = F.when(F.startswith(offset, F.lit("-")), -minutes).otherwise(minutes)
-    time = F.when(offset == "", local).otherwise(F.timestamp_add("MINUTE", -east, local))
-    return df.withColumn(into, time)
+    """Add ``into``: the time of ISO text; a UTC offset, if any, is applied.
+
+    Text without a full date is NULL.
+    """
+    day, clock, offset = r"\d{4}-\d{1,2}-\d{1,2}", "[T ][0-9:.]+", r"[+-]\d{2}:?\d{2}"
+    iso = rf"^\s*{day}({clock})?\s*(Z|{offset})?\s*$"
+    # A sign after the date can only be that of an offset; most texts have none to look for.
+    after_date = f"substring(trim(`{text}`), 9)"
+    minutes = """(try_cast(substring(_offset, 2, 2) AS int) * 60
+        + try_cast(right(_offset, 2) AS int)) * IF(_offset LIKE '-%', -1, 1)"""
+    steps = [
+        {
+            "_local": f"IF(`{text}` RLIKE r'{iso}', try_cast(trim(`{text}`) AS timestamp_ntz), NULL)",
+            "_offset": rf"""CASE WHEN {after_date} LIKE '%+%' OR {after_date} LIKE '%-%'
+                THEN regexp_extract(`{text}`, r'({offset})\s*$', 1) END""",
+        },
+        {into: f"IF(_offset IS NULL, _local, timestampadd(MINUTE, -({minutes}), _local))"},
+    ]
+    for step in steps:
+        df = df.withColumns({name: F.expr(sql) for name, sql in step.items()})
+    return df.drop("_local", "_offset")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fieldtempo.functions import snake_case_names
 from fieldtempo.operators.normalize import drop_missing_dates, split_multivalue
@@ -21,23 +23,35 @@ def _value(column: str) -> str:
     return f"CASE WHEN trim({column}) NOT IN ({missing}) THEN trim({column}) END AS {column}"
 
 
+def _headers(spark: SparkSession, path: str) -> list[str]:
+    """The header cells of the first file under ``path``."""
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    cells = next(csv.reader([first.value], skipinitialspace=True)) if first else []
+    return [cell.strip() for cell in cells]
+
+
 def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Every column as text, headers in snake_case, missing values as NULL.
 
     Spark maps CSV columns by position; ``enforceSchema=False`` makes it fail, rather than misread,
-    if a file under ``path`` orders the headers of the columns in use differently.
+    if a file under ``path`` orders the headers of the columns in use differently. It cannot check
+    headers that are empty or repeated, so such a path is read without the check.
     """
+    headers = _headers(spark, path)
+    names = snake_case_names(headers)
+    distinct = {header.lower() for header in headers if header}
+    checkable = len(distinct) == len(headers)
     raw = spark.read.csv(
         path,
+        schema=StructType([StructField(n, StringType()) for n in (headers if checkable else names)]),
         header=True,
-        inferSchema=False,
-        enforceSchema=False,
+        enforceSchema=not checkable,
         escape='"',
         ignoreLeadingWhiteSpace=True,
         ignoreTrailingWhiteSpace=True,
         multiLine=multiline,
     )
-    named = raw.toDF(*snake_case_names(raw.columns))
+    named = raw.toDF(*names)
     return named.selectExpr(*[_value(f"`{name}`") for name in named.columns])
 
 

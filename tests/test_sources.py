@@ -53,6 +53,24 @@ def test_byte_order_mark_and_short_rows(spark, tmp_path):
     assert [tuple(row) for row in frame.collect()] == [("u1", "5", None)]
 
 
+def test_repeated_and_empty_headers(spark, tmp_path):
+    path = write(tmp_path, "a.csv", '\n,Distance,"distance",User Name\n1,2,3,u1\n')
+    frame = read_csv(spark, path)
+    assert frame.columns == ["x", "distance", "distance_2", "user_name"]
+    assert [tuple(row) for row in frame.collect()] == [("1", "2", "3", "u1")]
+
+
+def test_quoted_headers(spark, tmp_path):
+    path = write(tmp_path, "a.csv", '"Distance, metres" , "The ""user"""\n5,u1\n')
+    frame = read_csv(spark, path)
+    assert frame.columns == ["distance_metres", "the_user"]
+    assert [tuple(row) for row in frame.collect()] == [("5", "u1")]
+
+
+def test_an_empty_file_has_no_columns(spark, tmp_path):
+    assert read_csv(spark, write(tmp_path, "a.csv", "")).columns == []
+
+
 def test_line_breaks_in_quotes(spark, tmp_path):
     path = write(tmp_path, "a.csv", 'a,b\n"x\ny",1\nz,2\n')
     assert [tuple(r) for r in read_csv(spark, path, multiline=True).collect()] == [
