@@ -134,7 +134,8 @@ def _with(deliveries: str, select: str) -> str:
     {select}"""
 
 
-COUNTS = f"SELECT {KEYS}, {day_text()}, enumerator, enum_daily_deliv FROM counts"
+COUNTS = f"""SELECT {KEYS}, {day_text()}, CAST(enumerator AS VARCHAR) AS enumerator,
+    enum_daily_deliv FROM counts"""
 
 DAILY = f"SELECT {KEYS}, {day_text()}, round(daily_avg, 6) AS daily_avg FROM daily"
 
@@ -205,7 +206,7 @@ def _profile(deliveries: str, by: str, name: str) -> str:
     return f"""SELECT city, year, {by}, round(avg(enum_deliv), 6) AS {name} FROM (
         SELECT city, year, date, enumerator, {by}, count(*) AS enum_deliv FROM (
             SELECT *, {TOD} AS tod, strftime(date, '%a') AS dow,
-                CAST(dayofweek(date) + 1 AS INTEGER) AS dow_order
+                CAST(dayofweek(date) + 1 AS VARCHAR) AS dow_order
             FROM (SELECT *, hour(delivered_ts) AS hour FROM ({deliveries})))
         GROUP BY city, year, date, enumerator, {by}) GROUP BY city, year, {by}"""
 
@@ -230,12 +231,13 @@ def oracle_sql() -> dict[str, str]:
         "canonical_deliveries": f"""SELECT city, year, enumerator, delivered_raw, {second_text()},
             round(distance, 6) AS distance, property_type, {day_text()} FROM ({campaigns})""",
         "campaign_summary": _with(campaigns, SUMMARY),
+        "campaign_accuracy_comparison": _with(campaigns, COMPARISON),
         "campaign_bad_dates": f"""SELECT DISTINCT city, year, delivered_raw FROM ({campaigns})
             WHERE campaign >= 4 AND {dmy_hms("delivered_raw")} IS NULL""",
         "campaign_pace_dow_tod": _profile(campaigns, *dow_tod),
         "landed_daily_pace": _with(THINNED, DAILY),
-        "accuracy_filter": f"""SELECT event_id, city, year, enumerator, {second_text()},
-            {day_text()}, round(distance, 6) AS distance FROM ({MISSING})
+        "accuracy_filter": f"""SELECT event_id, city, year,
+            CAST(enumerator AS VARCHAR) AS enumerator, {second_text()}, {day_text()}, round(distance, 6) AS distance FROM ({MISSING})
             WHERE distance <= threshold""",
         "missing_date_filter": f"""SELECT event_id, mixed_or_missing FROM ({TEXT})
             WHERE mixed_or_missing IS NOT NULL""",
@@ -249,8 +251,8 @@ def oracle_sql() -> dict[str, str]:
             WHERE mixed_or_missing IS NOT NULL AND {dmy_hms("mixed_or_missing")} IS NULL""",
         "time_features": f"""SELECT event_id, {second_text()}, {day_text("delivered_ts")},
             strftime(delivered_ts, '%a') AS dow,
-            CAST(dayofweek(delivered_ts) + 1 AS INTEGER) AS dow_order,
-            CAST(hour AS INTEGER) AS hour, {TOD} AS tod
+            CAST(dayofweek(delivered_ts) + 1 AS VARCHAR) AS dow_order,
+            CAST(hour AS VARCHAR) AS hour, {TOD} AS tod
             FROM (SELECT *, hour(delivered_ts) AS hour FROM ({MISSING}))""",
         "enumerator_daily_counts": _with(MISSING, COUNTS),
         "daily_pace": _with(MISSING, DAILY),

@@ -1,4 +1,4 @@
-"""Registered queries. Doubles are rounded and dates written as text, for comparison with SQL."""
+"""Registered queries, in a form that compares with SQL: doubles rounded, dates as text."""
 
 from __future__ import annotations
 
@@ -25,12 +25,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 DECIMALS = 6
 
+# Whole numbers that may be missing; some clients turn such columns into floats.
+AS_TEXT = {"enumerator", "hour", "dow_order"}
+
 
 def comparable(result: DataFrame) -> DataFrame:
     columns = []
     for field in result.schema:
         column = F.col(field.name)
-        if isinstance(field.dataType, T.DoubleType):
+        if field.name in AS_TEXT:
+            column = column.cast("string")
+        elif isinstance(field.dataType, T.DoubleType):
             column = F.round(column, DECIMALS)
         elif isinstance(field.dataType, T.DateType):
             column = F.date_format(column, "yyyy-MM-dd")
@@ -140,6 +145,9 @@ def queries() -> dict[str, Query]:
         "multi_file_union": over(_multi_file_union, _scanned),
         "canonical_deliveries": over(_campaigns, _without_source),
         "campaign_summary": over(_campaigns, pace.all_daily_pace, stats.summary_all),
+        "campaign_accuracy_comparison": over(
+            _campaigns, pace.all_daily_pace, stats.accuracy_comparison
+        ),
         "campaign_bad_dates": over(
             _mixed_campaigns, lambda df: normalize.bad_dates(df, keys=pace.CAMPAIGN)
         ),
