@@ -124,7 +124,9 @@ def events_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 10 == 3, _format("yyyy-MM-dd HH:mm:ss"))
         .otherwise(_format("yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .alias("iso_text"),
-        F.when(key % 10 == 7, _format("dd.MM HH")).otherwise(_format("M/d/yyyy H:mm")).alias("mdy_text"),
+        F.when(key % 10 == 7, _format("dd.MM HH"))
+        .otherwise(_format("M/d/yyyy H:mm"))
+        .alias("mdy_text"),
         mixed_text().alias("mixed_text"),
         F.when(key % 17 != 0, mixed_text()).alias("mixed_or_missing"),
         multi_text().alias("multi_text"),
@@ -143,9 +145,10 @@ def _write_csv(frame: DataFrame, path: str, *folders: str) -> None:
 def _team_columns() -> list[Column]:
     """Columns of a team file: padded, empty and ``NA`` fields, quoted lists."""
     key = F.col("event_id")
-    padded = F.concat(F.lit("  "), F.col("mixed_or_missing"), F.lit(" "))
+    time = F.col("mixed_or_missing")
+    padded = F.concat(F.lit("  "), time, F.lit(" "))
     return [
-        F.when(key % 5 == 0, padded).otherwise(F.col("mixed_or_missing")).alias("time_delivery_date"),
+        F.when(key % 5 == 0, padded).otherwise(time).alias("time_delivery_date"),
         F.concat(F.lit("user "), F.col("user_id")).alias("enteredby"),
         F.when(key % 13 == 0, "NA")
         .otherwise((F.col("value") / 1000).cast("string"))
@@ -157,12 +160,13 @@ def _team_columns() -> list[Column]:
 def team_csv(spark: SparkSession, sf_dir: str) -> Source:
     """One campaign in one CSV folder, written from the whole events table."""
     path = scratch_path(spark, "team-csv")
-    _write_csv(events_text(spark, sf_dir).select(*_team_columns()).toDF(*TEAM_HEADERS.values()), path)
+    team = events_text(spark, sf_dir).select(*_team_columns())
+    _write_csv(team.toDF(*TEAM_HEADERS.values()), path)
     return Source("Freetown", 2024, MIXED_KM, (path,))
 
 
 def two_team_csv(spark: SparkSession, sf_dir: str) -> Source:
-    """One campaign in two CSV folders: the second orders its headers differently and has no types."""
+    """One campaign in two CSV folders; the second has other header positions and no types."""
     folder = scratch_path(spark, "two-teams")
     text = events_text(spark, sf_dir).select("event_id", *_team_columns())
     first = text.where(F.col("event_id") % 2 == 0).select(*TEAM_HEADERS)

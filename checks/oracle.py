@@ -14,8 +14,8 @@ TOD = """CASE WHEN hour >= 6 AND hour < 9 THEN '06–08' WHEN hour >= 9 AND hour
     WHEN hour >= 12 AND hour < 15 THEN '12–14' WHEN hour >= 15 AND hour < 18 THEN '15–17'
     ELSE 'Other (Night/Early Morning)' END"""
 
-EVENTS = f"""SELECT event_id, {CITY.format(key="user_id")} AS city, CAST(year(ts) AS INTEGER) AS year,
-    user_id AS enumerator, ts AS delivered_ts, CAST(ts AS DATE) AS date, value AS distance,
+EVENTS = f"""SELECT event_id, {CITY.format(key="user_id")} AS city,
+    CAST(year(ts) AS INTEGER) AS year, user_id AS enumerator, ts AS delivered_ts, CAST(ts AS DATE) AS date, value AS distance,
     CAST(80 AS DOUBLE) AS threshold FROM events"""
 
 THINNED = f"""SELECT * FROM ({EVENTS}) WHERE NOT (day(date) % 9 = 4 AND event_id % 3 <> 0)"""
@@ -186,8 +186,8 @@ def _histogram(bins: int, shared: bool = False) -> str:
 def _density(shared: bool = False) -> str:
     return f"""SELECT {KEYS}, round(bw, 6) AS bw, CAST(point AS INTEGER) AS point,
         round(any_value(x), 6) AS x,
-        round(sum(exp(-0.5 * ((x - daily_avg) / bw) ** 2)) / (any_value(n) * bw * sqrt(2 * pi())), 6)
-            AS density
+        round(sum(exp(-0.5 * ((x - daily_avg) / bw) ** 2))
+            / (any_value(n) * bw * sqrt(2 * pi())), 6) AS density
     FROM (
         SELECT {KEYS}, n, bw, point, low + point * (high - low) / 511 AS x
         FROM (SELECT {KEYS}, n, low, high, 0.9 * coalesce(nullif(least(sd, iqr / 1.34), 0),

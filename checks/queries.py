@@ -156,7 +156,9 @@ def queries() -> dict[str, Query]:
         ),
         "landed_daily_pace": over(_landed, pace.daily_pace),
         # Cleaning
-        "accuracy_filter": over(missing, normalize.accuracy_filter, lambda df: df.drop("threshold")),
+        "accuracy_filter": over(
+            missing, normalize.accuracy_filter, lambda df: df.drop("threshold")
+        ),
         "missing_date_filter": over(_missing_date_filter),
         "split_multivalue": over(
             text,

@@ -1,7 +1,14 @@
 """Column functions: header names, timestamps, shifts."""
 
 from fieldtempo.functions.headers import snake_case_names
-from fieldtempo.functions.shifts import NIGHT_SHIFT, SHIFT_LABELS, SHIFTS, shift, weekday, weekday_order
+from fieldtempo.functions.shifts import (
+    NIGHT_SHIFT,
+    SHIFT_LABELS,
+    SHIFTS,
+    shift,
+    weekday,
+    weekday_order,
+)
 from fieldtempo.functions.timestamps import (
     MIXED_ORDERS,
     parse_delivered,

@@ -27,21 +27,20 @@ def parse_delivered(df: DataFrame, text: str, into: str, orders: Sequence[str])
     """Add ``into``: the wall-clock time of ``text`` under the first order that fits, else NULL.
 
     An order names the date parts as they appear, the year last, and then the clock parts, e.g.
-    ``dmy HMS``. Each row is read on its own: the other rows of the table never change the result.
-    The steps are columns of their own so that each is computed once per row.
+    ``dmy HMS``; a fraction of a second is dropped. Each row is read on its own: the other rows of
+    the table never change the result. The steps are columns of their own so that each is computed
+    once per row.
     """
 
     def number(position: int) -> str:
         return f"get(_numbers, {position})"
 
     def fits(order: str) -> str:
-        # A seventh number is a fraction of a second. A day that its month lacks also rules out the
-        # swapped reading, so ranges are enough to choose an order.
-        count = (6, 7) if order.endswith("HMS") else (5, 5)
+        # A day that its month lacks also rules out the swapped reading, so ranges are enough to
+        # choose an order.
         month, day = number(order.index("m")), number(order.index("d"))
-        return " AND ".join(
-            [_within("size(_numbers)", *count), _within(month, 1, 12), _within(day, 1, 31)]
-        )
+        count = len(order.replace(" ", ""))
+        return " AND ".join([f"_count = {count}", _within(month, 1, 12), _within(day, 1, 31)])
 
     def first_fit(part: str) -> str:
         branches = [f"WHEN {fits(order)} THEN {number(order.index(part))}" for order in orders]
@@ -53,6 +52,7 @@ def parse_delivered(df: DataFrame, text: str, into: str, orders: Sequence[str])
     hour = f"""CASE WHEN NOT {_within(number(3), 1, 12)} THEN {number(3)}
         WHEN {half} = 'AM' THEN {number(3)} % 12
         WHEN {half} = 'PM' THEN {number(3)} % 12 + 12 ELSE {number(3)} END"""
+    fraction = rf"size(_runs) = 7 AND `{text}` RLIKE r':\d+[.]\d+\D*$'"
     second = f"coalesce({number(5)}, 0)"
     in_range = " AND ".join(
         ["_month IS NOT NULL", _within("_hour", 0, 23), _within(number(4), 0, 59)]
@@ -61,13 +61,16 @@ def parse_delivered(df: DataFrame, text: str, into: str, orders: Sequence[str])
     time = f"try_make_timestamp_ntz(_year, _month, _day, _hour, {number(4)}, {second})"
     steps = [
         {"_runs": f"regexp_extract_all(`{text}`, r'[0-9]+', 0)"},
-        {"_numbers": "try_cast(_runs AS array<int>)"},
+        {
+            "_numbers": "try_cast(_runs AS array<int>)",
+            "_count": f"IF({fraction}, 6, size(_runs))",
+        },
         {"_year": year, "_month": first_fit("m"), "_day": first_fit("d"), "_hour": hour},
         {into: f"CASE WHEN {in_range} THEN {time} END"},
     ]
     for step in steps:
         df = df.withColumns({name: F.expr(sql) for name, sql in step.items()})
-    return df.drop("_runs", "_numbers", "_year", "_month", "_day", "_hour")
+    return df.drop("_runs", "_numbers", "_count", "_year", "_month", "_day", "_hour")
 
 
 def parse_dmy_hms(df: DataFrame, text: str, into: str) -> DataFrame:
@@ -96,7 +99,8 @@ def parse_iso(df: DataFrame, text: str, into: str) -> DataFrame:
         + try_cast(right(_offset, 2) AS int)) * IF(_offset LIKE '-%', -1, 1)"""
     steps = [
         {
-            "_local": f"IF(`{text}` RLIKE r'{iso}', try_cast(trim(`{text}`) AS timestamp_ntz), NULL)",
+            "_local": f"""CASE WHEN `{text}` RLIKE r'{iso}'
+                THEN try_cast(trim(`{text}`) AS timestamp_ntz) END""",
             "_offset": rf"""CASE WHEN {after_date} LIKE '%+%' OR {after_date} LIKE '%-%'
                 THEN regexp_extract(`{text}`, r'({offset})\s*$', 1) END""",
         },

@@ -60,13 +60,8 @@ def histogram(
     placed = (
         trimmed.select(*keys, value, low.alias("low"), high.alias("high"))
         .withColumn("width", F.nullif((F.col("high") - F.col("low")) / (bins - 1), F.lit(0.0)))
-        .withColumn(
-            "bin",
-            F.ceil(
-                (F.col(value) - F.col("low")) / F.col("width") + 0.5 - EDGE_TOLERANCE
-            )
-            - 1,
-        )
+        .withColumn("position", (F.col(value) - F.col("low")) / F.col("width") + 0.5)
+        .withColumn("bin", F.ceil(F.col("position") - EDGE_TOLERANCE) - 1)
         .withColumn("bin", F.least(F.greatest("bin", F.lit(0)), F.lit(bins - 1)))
         .withColumn("bin", F.when(F.col("width").isNull(), 0).otherwise(F.col("bin")))
     )

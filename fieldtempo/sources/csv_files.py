@@ -41,9 +41,10 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
     names = snake_case_names(headers)
     distinct = {header.lower() for header in headers if header}
     checkable = len(distinct) == len(headers)
+    columns = headers if checkable else names
     raw = spark.read.csv(
         path,
-        schema=StructType([StructField(n, StringType()) for n in (headers if checkable else names)]),
+        schema=StructType([StructField(column, StringType()) for column in columns]),
         header=True,
         enforceSchema=not checkable,
         escape='"',

@@ -54,7 +54,8 @@ def differences(spark_result, duckdb_result, tolerance: float = 2e-5):
     found = []
     for a, b in zip(left, right):
         for name, x, y in zip(left_columns, a, b):
-            same = abs(x - y) <= tolerance if isinstance(x, float) and isinstance(y, float) else x == y
+            numbers = isinstance(x, float) and isinstance(y, float)
+            same = abs(x - y) <= tolerance if numbers else x == y
             if not same or type(x) is not type(y):
                 found.append(f"{name}: {x!r} != {y!r} in {a} / {b}")
     return found
