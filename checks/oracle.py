@@ -18,13 +18,14 @@ EVENTS = f"""SELECT event_id, {CITY.format(key="user_id")} AS city,
     CAST(year(ts) AS INTEGER) AS year, user_id AS enumerator, ts AS delivered_ts, CAST(ts AS DATE) AS date, value AS distance,
     CAST(80 AS DOUBLE) AS threshold FROM events"""
 
-THINNED = f"""SELECT * FROM ({EVENTS}) WHERE NOT (day(date) % 9 = 4 AND event_id % 3 <> 0)"""
+UNEVEN = f"""SELECT * REPLACE (CASE WHEN day(date) % 9 = 4 THEN enumerator % 15 ELSE enumerator END
+    AS enumerator) FROM ({EVENTS})"""
 
 MISSING = f"""SELECT event_id, city, year, threshold,
     CASE WHEN event_id % 13 <> 0 THEN distance END AS distance,
     CASE WHEN event_id % 17 <> 0 THEN delivered_ts END AS delivered_ts,
     CASE WHEN event_id % 17 <> 0 THEN date END AS date,
-    CASE WHEN event_id % 19 <> 0 THEN enumerator END AS enumerator FROM ({THINNED})"""
+    CASE WHEN event_id % 19 <> 0 THEN enumerator END AS enumerator FROM ({UNEVEN})"""
 
 LINEITEM = f"""SELECT {CITY.format(key="l_suppkey")} AS city,
     CAST(year(l_shipdate) AS INTEGER) AS year, l_suppkey AS enumerator,
@@ -235,7 +236,7 @@ def oracle_sql() -> dict[str, str]:
         "campaign_bad_dates": f"""SELECT DISTINCT city, year, delivered_raw FROM ({campaigns})
             WHERE campaign >= 4 AND {dmy_hms("delivered_raw")} IS NULL""",
         "campaign_pace_dow_tod": _profile(campaigns, *dow_tod),
-        "landed_daily_pace": _with(THINNED, DAILY),
+        "landed_daily_pace": _with(UNEVEN, DAILY),
         "accuracy_filter": f"""SELECT event_id, city, year,
             CAST(enumerator AS VARCHAR) AS enumerator, {second_text()}, {day_text()}, round(distance, 6) AS distance FROM ({MISSING})
             WHERE distance <= threshold""",
@@ -258,30 +259,30 @@ def oracle_sql() -> dict[str, str]:
         "daily_pace": _with(MISSING, DAILY),
         "split_daily_pace": _with(split_events, DAILY),
         "iqr_trim": _with(LINEITEM, TRIMMED),
-        "all_daily_pace": _with(THINNED, TRIMMED),
+        "all_daily_pace": _with(UNEVEN, TRIMMED),
         "all_daily_pace_with_missing": _with(MISSING, TRIMMED),
         "all_daily_pace_orders": _with(ORDERS, TRIMMED),
-        "pace_stats": _with(THINNED, STATS),
+        "pace_stats": _with(UNEVEN, STATS),
         "pace_stats_lineitem": _with(LINEITEM, STATS),
         "pace_stats_orders": _with(ORDERS, STATS),
-        "summary_all": _with(THINNED, SUMMARY),
+        "summary_all": _with(UNEVEN, SUMMARY),
         "summary_all_lineitem": _with(LINEITEM, SUMMARY),
-        "accuracy_comparison": _with(THINNED, COMPARISON),
+        "accuracy_comparison": _with(UNEVEN, COMPARISON),
         "accuracy_comparison_lineitem": _with(LINEITEM, COMPARISON),
         "pace_by_tod": _profile(MISSING, "tod", "avg_daily_pace_tod"),
         "pace_by_dow": _profile(MISSING, "dow, dow_order", "avg_daily_pace_dow"),
         "pace_by_dow_tod": _profile(MISSING, *dow_tod),
         "all_pace_dow_tod": _profile(EVENTS, *dow_tod),
-        "pace_trend_by_tod": _profile(THINNED, *dow_tod),
-        "pace_timeseries": _with(THINNED, TIMESERIES),
-        "pace_histogram": _with(THINNED, _histogram(15)),
+        "pace_trend_by_tod": _profile(UNEVEN, *dow_tod),
+        "pace_timeseries": _with(UNEVEN, TIMESERIES),
+        "pace_histogram": _with(UNEVEN, _histogram(15)),
         "pace_histogram_lineitem": _with(LINEITEM, _histogram(15)),
         "pace_histogram_orders": _with(ORDERS, _histogram(15)),
-        "pace_histogram_faceted": _with(THINNED, _histogram(20, shared=True)),
+        "pace_histogram_faceted": _with(UNEVEN, _histogram(20, shared=True)),
         "pace_histogram_faceted_lineitem": _with(LINEITEM, _histogram(20, shared=True)),
-        "pace_density": _with(THINNED, _density()),
+        "pace_density": _with(UNEVEN, _density()),
         "pace_density_orders": _with(ORDERS, _density()),
-        "pace_density_faceted": _with(THINNED, _density(shared=True)),
-        "report_pace_stats": _with(THINNED, STATS),
-        "report_pace_by_dow": _profile(THINNED, "dow, dow_order", "avg_daily_pace_dow"),
+        "pace_density_faceted": _with(UNEVEN, _density(shared=True)),
+        "report_pace_stats": _with(UNEVEN, STATS),
+        "report_pace_by_dow": _profile(UNEVEN, "dow, dow_order", "avg_daily_pace_dow"),
     }

@@ -93,13 +93,13 @@ def _mixed_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "landed")
-    land_by_campaign(fixtures.events_thinned(spark, sf_dir), path, balance=True)
+    land_by_campaign(fixtures.events_uneven(spark, sf_dir), path, balance=True)
     return read_landed(spark, path)
 
 
 def _report(table: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        deliveries = fixtures.events_thinned(spark, sf_dir)
+        deliveries = fixtures.events_uneven(spark, sf_dir)
         return write_report(deliveries, scratch_path(spark, "report"))[table]
 
     return query
@@ -127,7 +127,7 @@ def _split_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     events = fixtures.events_pace
-    thinned = fixtures.events_thinned
+    uneven = fixtures.events_uneven
     missing = fixtures.events_with_missing
     lineitem = fixtures.lineitem_pace
     orders = fixtures.orders_pace
@@ -180,16 +180,16 @@ def queries() -> dict[str, Query]:
         "daily_pace": over(missing, pace.daily_pace),
         "split_daily_pace": over(_split_pace),
         "iqr_trim": over(lineitem, pace.daily_pace, pace.iqr_trim),
-        "all_daily_pace": over(trimmed(thinned)),
+        "all_daily_pace": over(trimmed(uneven)),
         "all_daily_pace_with_missing": over(trimmed(missing)),
         "all_daily_pace_orders": over(trimmed(orders)),
         # Benchmarks
-        "pace_stats": over(trimmed(thinned), stats.pace_stats),
+        "pace_stats": over(trimmed(uneven), stats.pace_stats),
         "pace_stats_lineitem": over(trimmed(lineitem), stats.pace_stats),
         "pace_stats_orders": over(trimmed(orders), stats.pace_stats),
-        "summary_all": over(trimmed(thinned), stats.summary_all),
+        "summary_all": over(trimmed(uneven), stats.summary_all),
         "summary_all_lineitem": over(trimmed(lineitem), stats.summary_all),
-        "accuracy_comparison": over(trimmed(thinned), stats.accuracy_comparison),
+        "accuracy_comparison": over(trimmed(uneven), stats.accuracy_comparison),
         "accuracy_comparison_lineitem": over(trimmed(lineitem), stats.accuracy_comparison),
         # Profiles
         "pace_by_tod": over(missing, normalize.time_features, profile.pace_by_tod),
@@ -199,18 +199,18 @@ def queries() -> dict[str, Query]:
             events, normalize.time_features, profile.pace_by_dow_tod, chartdata.dow_tod_bars
         ),
         "pace_trend_by_tod": over(
-            thinned, normalize.time_features, profile.pace_by_dow_tod, chartdata.trend_by_tod
+            uneven, normalize.time_features, profile.pace_by_dow_tod, chartdata.trend_by_tod
         ),
         # Chart tables
-        "pace_timeseries": over(trimmed(thinned), chartdata.timeseries),
-        "pace_histogram": over(trimmed(thinned), chartdata.histogram),
+        "pace_timeseries": over(trimmed(uneven), chartdata.timeseries),
+        "pace_histogram": over(trimmed(uneven), chartdata.histogram),
         "pace_histogram_lineitem": over(trimmed(lineitem), chartdata.histogram),
         "pace_histogram_orders": over(trimmed(orders), chartdata.histogram),
-        "pace_histogram_faceted": over(trimmed(thinned), shared_histogram),
+        "pace_histogram_faceted": over(trimmed(uneven), shared_histogram),
         "pace_histogram_faceted_lineitem": over(trimmed(lineitem), shared_histogram),
-        "pace_density": over(trimmed(thinned), chartdata.density),
+        "pace_density": over(trimmed(uneven), chartdata.density),
         "pace_density_orders": over(trimmed(orders), chartdata.density),
-        "pace_density_faceted": over(trimmed(thinned), shared_density),
+        "pace_density_faceted": over(trimmed(uneven), shared_density),
         # The whole report from one pass
         "report_pace_stats": over(_report("pace_stats")),
         "report_pace_by_dow": over(_report("pace_by_dow")),

@@ -4,8 +4,10 @@ from pathlib import Path
 
 import pytest
 
+from checks import fixtures
 from checks.oracle import oracle_sql
 from checks.queries import queries
+from fieldtempo.operators import pace
 from tests.oracle_compare import connect, differences, duckdb_rows, spark_rows
 
 QUERIES = queries()
@@ -19,6 +21,20 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
+@pytest.mark.parametrize(
+    "fixture, least",
+    [
+        (fixtures.events_uneven, 18),
+        (fixtures.events_with_missing, 18),
+        (fixtures.lineitem_pace, 300),
+        (fixtures.orders_pace, 1000),
+    ],
+)
+def test_the_trim_drops_days_of_every_fixture_it_is_compared_on(spark, fixture, least):
+    daily = pace.daily_pace(fixture(spark, SF_DIRS["sf0.01"]))
+    assert daily.count() - pace.iqr_trim(daily).count() >= least
+
+
 @pytest.fixture(scope="session")
 def connections():
     return {name: connect(folder) for name, folder in SF_DIRS.items() if Path(folder).exists()}
