@@ -208,3 +208,31 @@ def test_landing_keeps_the_result_and_prunes(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^]]*city#\d+ = Kenema", plan)
     with pytest.raises(Exception, match="(?i)exist"):
         land_by_campaign(deliveries, folder)
+
+
+def test_known_campaigns_end_to_end(spark, tmp_path):
+    sources = campaign_sources(str(tmp_path))
+    texts = {
+        ISO_METRES: [f"2025-03-0{d}T10:05:00Z" for d in range(1, 6)],
+        MONTH_FIRST_METRES: [f"3/{d}/2025 9:05" for d in range(1, 6)],
+        DAY_FIRST_KM: [f"0{d}/03/2024 09:05:00" for d in range(1, 6)],
+        MIXED_KM: [f"2{d}/03/2024 09:05" for d in range(1, 6)],
+    }
+    for source in sources:
+        layout = source.layout
+        for file in source.paths:
+            lines = [",".join(layout.required)]
+            for number, text in enumerate(texts[layout]):
+                near, far = layout.threshold, layout.threshold * 1.01
+                types = ['"A, B"'] if layout.property_type else []
+                # Two accurate deliveries a day and, on the last day, one that is not.
+                distances = [near, near] + ([far] if number == 4 else [])
+                lines += [",".join([text, "u1", str(d), *types]) for d in distances]
+            write(tmp_path, file.rsplit("/", 1)[1], "\n".join(lines) + "\n")
+    days = pace.daily_pace(read_campaigns(spark, sources)).collect()
+    assert len(days) == 8 * 2 * 5
+    for row in days:
+        files = next(len(s.paths) for s in sources if (s.city, s.year) == (row.city, row.year))
+        split = 1 if row.year == 2025 and row.city != "Freetown" else 2
+        last = row.dataset == "Unfiltered" and row.date.day % 10 == 5
+        assert row.daily_avg == files * split * (3 if last else 2)
