@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtempo.llm import grace_dedup, mixing, secret_ledger, sharding
+import corpus_pipeline
+from fieldtempo.llm import (
+    grace_dedup,
+    language_id,
+    mixing,
+    multi_index,
+    secret_ledger,
+    sharding,
+    simhash_anchors,
+    suffix_pieces,
+    token_attribution,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +86,20 @@ FROM texts LEFT JOIN joined USING (doc_id)
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by sentence, each token counted where most of it lies."""
+    docs = documents(spark, sf_dir)
+    return token_attribution.count_by_section(
+        docs, token_attribution.sentence_lengths(F.col("text")), rule="most"
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score_texts(docs, toxicity.fit(docs, labels))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.duplicate_groups(documents(spark, sf_dir))
 
@@ -86,6 +112,20 @@ FROM texts WINDOW same AS (PARTITION BY text)
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.predict_languages(docs, language_id.fit(docs))
+
+
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return multi_index.search(vectors, F.col("id") % multi_index.QUERY_DIVISOR == 0)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_anchors.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.minimax_shards(documents(spark, sf_dir)).select(
         "doc_id",
@@ -98,6 +138,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, and whether they decode to its text."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return suffix_pieces.encode(docs, check=True).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", "round_trip"
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -105,9 +153,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scans": op1_secret_scans,
+        "op2_token_counts": op2_token_counts,
+        "op3_toxicity": op3_toxicity,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_language_id": op5_language_id,
+        "op6_nearest_vectors": op6_nearest_vectors,
+        "op7_simhash": op7_simhash,
         "op8_sharding": op8_sharding,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_mixing": op10_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
