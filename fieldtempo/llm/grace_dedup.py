@@ -171,6 +171,7 @@ def survivors(
 
     Without ``keep_content`` the content column comes back null, which saves writing it.
     """
+    spark = frame.sparkSession
     hashed, count, placed, total = free_names(frame.columns, "hash", "n", "placed", size)
     names = frame.columns
     places = {name.lower(): n for n, name in enumerate(names)}
@@ -184,33 +185,40 @@ def survivors(
     )
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in records.schema])
     joined = records.mapInArrow(_task(*at, COMBINE_BYTES, True, True), schema)
-    volume = frame.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
 
-    def solved(part: DataFrame, volume: int, level: int) -> list[DataFrame]:
+    def measured(part: DataFrame, *by: str) -> DataFrame:
+        size = F.octet_length(F.coalesce(F.col(content), F.lit(""))) + 64
+        return part.groupBy(*by).agg(F.sum(size).alias("volume"))
+
+    def solved(part: DataFrame, volume: int, level: int, divides: bool = True) -> list[DataFrame]:
         digit = F.xxhash64(F.col(hashed), F.lit(level))
         buckets = -(-2 * volume // table_bytes) or 1
-        if buckets > MOST_PARTITIONS:
-            path = new_path(frame.sparkSession, "grace")
+        if buckets > MOST_PARTITIONS and divides:
+            path = new_path(spark, "grace")
             (folder,) = free_names(part.columns, "bucket")
             part.withColumn(folder, F.pmod(digit, F.lit(FILE_FAN_OUT))).write.partitionBy(
                 folder
             ).parquet(path)
+            typed = T.StructType([*schema, T.StructField(folder, T.IntegerType())])
+            sizes = measured(spark.read.schema(typed).parquet(path), folder).collect()
             done = []
-            for n in range(FILE_FAN_OUT):
-                bucket = frame.sparkSession.read.schema(schema).parquet(f"{path}/{folder}={n}")
-                done += solved(bucket, -(-volume // FILE_FAN_OUT), level + 1)
+            for row in sizes:
+                bucket = spark.read.schema(schema).parquet(f"{path}/{folder}={row[folder]}")
+                # Copies of one content stay together however often they are dealt; a table takes
+                # any number of them.
+                done += solved(bucket, row["volume"], level + 1, len(sizes) > 1)
             return done
-        dealt = part.repartition(max(buckets, least), digit)
+        dealt = part.repartition(max(min(buckets, MOST_PARTITIONS), least), digit)
         tried = written(
             dealt.mapInArrow(_task(*at, table_bytes, False, keep_content), schema), "grace"
         )
-        found = tried.where(F.col(placed))
         spilled = tried.where(~F.col(placed))
-        rest = spilled.agg(F.sum(F.octet_length(F.coalesce(content, F.lit(""))) + 64)).first()[0]
+        rest = measured(spilled).first()["volume"]
+        found = tried.where(F.col(placed))
         return [found, *(solved(spilled, rest, level + 1) if rest else [])]
 
-    least = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = reduce(DataFrame.unionAll, solved(joined, volume, 0))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = reduce(DataFrame.unionAll, solved(joined, measured(frame).first()["volume"] or 0, 0))
     return kept.select(*names, F.col(count).alias(total))
 
 

@@ -1,13 +1,15 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Features of a text are its lower-case words and their beginnings of four and five letters, so that
-inflected forms meet. Of the features of a bounded sample of labelled documents those are indexed
-whose chi-square against the label is above what chance gives the best of so many. The sampled
-documents lie in blocks of similar ones; the index holds, for each feature, the blocks it occurs in
-and its largest weight there. A query sums those to an upper bound for each block, visits blocks from
-the highest bound down, scores their documents exactly, and stops when no block left can reach the
-k-th best. Votes are weighted by similarity and by how much a class is under-represented in the
-sample, and smoothed with the base rate, which gives a calibrated score; the neighbours are evidence.
+inflected forms meet. Term frequency is counted in steps: a word or beginning that occurs at least
+twice, or four times, is a further feature each, weighted by its own document frequency. Of the
+features of a bounded sample of labelled documents those are indexed whose chi-square against the
+label is above what chance gives the best of so many. The sampled documents lie in blocks of similar
+ones; the index holds, for each feature, the blocks it occurs in and its largest weight there. A
+query sums those to an upper bound for each block, visits blocks from the highest bound down, scores
+their documents exactly, and stops when no block left can reach the k-th best. Votes are weighted by
+similarity and by how much a class is under-represented in the sample, and smoothed with the base
+rate, which gives a calibrated score; the neighbours are evidence.
 
 Labels come only from documents whose CRC-32 remainder is not that of the held-out fold. Null and
 empty texts, and those without an indexed feature, get the base rate. Without any labels every score
@@ -37,6 +39,8 @@ PER_CLASS = 2000
 #: Features indexed at most, those of the largest chi-square.
 FEATURES = 50_000
 PREFIXES = (4, 5)
+#: Occurrences at which a word or beginning is a further feature.
+STEPS = (1, 2, 4)
 NEIGHBOURS = 15
 BLOCK = 64
 #: Weight of the base rate in a vote, in neighbours of similarity 1.
@@ -55,12 +59,16 @@ def word_features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) >= n)]
 
 
-def features(text: str | None) -> Counter:
-    found: Counter = Counter()
+def step_name(feature: str, step: int) -> str:
+    return feature if step == 1 else f"{feature}{step}"
+
+
+def features(text: str | None) -> list[str]:
+    counts: Counter = Counter()
     for word, n in Counter(WORD.findall((text or "").lower())).items():
         for feature in word_features(word):
-            found[feature] += n
-    return found
+            counts[feature] += n
+    return [step_name(f, step) for f, n in counts.items() for step in STEPS if n >= step]
 
 
 @dataclass
@@ -77,10 +85,9 @@ class BlockMaxIndex:
     blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
-    def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        numbers = np.fromiter(sorted(counts), np.int64, len(counts))
-        tf = np.array([1.0 + math.log(counts[n]) for n in numbers.tolist()])
-        values = tf * idf[numbers]
+    def vector(found: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        numbers = np.array(sorted(found), np.int64)
+        values = idf[numbers]
         return numbers, values / (np.linalg.norm(values) or 1.0)
 
     @classmethod
@@ -89,20 +96,22 @@ class BlockMaxIndex:
         vocabulary: dict[str, int],
         df: list[int],
         total: int,
-        examples: list[tuple[int | None, int, dict[int, int]]],
+        examples: list[tuple[int | None, int, list[int]]],
         class_sizes: dict[int, int],
+        sampled: dict[int, int],
     ) -> BlockMaxIndex:
         idf = np.log((total + 1) / (np.array(df, float) + 1)) + 1
-        vectors = [(i, label, *cls.vector(counts, idf)) for i, label, counts in examples]
+        vectors = [(i, label, *cls.vector(found, idf)) for i, label, found in examples]
         # Neighbours in the order of their heaviest features share blocks.
         vectors.sort(
             key=lambda v: (v[2][np.argsort(-v[3], kind="stable")].tolist(), v[0] is None, v[0] or 0)
         )
         labels = np.array([v[1] for v in vectors], int)
-        sampled = Counter(labels.tolist())
         known = sum(class_sizes.values())
+        # Each class stands for as many labels as were not sampled.
         weight = {
-            label: class_sizes[label] / known * len(vectors) / n for label, n in sampled.items()
+            label: class_sizes[label] / known * sum(sampled.values()) / n
+            for label, n in sampled.items()
         }
         blocks, by_feature = [], {}
         for b in range(0, len(vectors), BLOCK):
@@ -131,9 +140,9 @@ class BlockMaxIndex:
             blocks,
         )
 
-    def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, found: list[int], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and exact cosines of the k nearest examples, ties to the smaller number."""
-        numbers, values = self.vector(counts, self.idf)
+        numbers, values = self.vector(found, self.idf)
         bounds = np.zeros(len(self.blocks))
         for number, value in zip(numbers.tolist(), values.tolist()):
             block, most = self.postings[number]
@@ -154,10 +163,10 @@ class BlockMaxIndex:
             best, scores = best[order], scores[order]
         return best, np.minimum(scores, 1.0)
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[dict]]:
-        if not counts or not len(self.labels):
+    def score(self, found: list[int]) -> tuple[float, list[dict]]:
+        if not found or not len(self.labels):
             return self.prior, []
-        best, similar = self.nearest(counts)
+        best, similar = self.nearest(found)
         votes = similar * self.weights[best]
         toxic = float((votes * self.labels[best]).sum())
         score = (toxic + SMOOTHING * self.prior) / (float(votes.sum()) + SMOOTHING)
@@ -169,14 +178,16 @@ class BlockMaxIndex:
 
     def scorer(self):
         """A function from text to score and evidence that remembers words and feature sets."""
-        words: dict[str, tuple[int, ...]] = {}
+        words: dict[str, tuple[str, ...]] = {}
         seen: dict[tuple, tuple[float, list[dict]]] = {}
-        known = self.vocabulary
+        steps: dict[str, list[tuple[int, int]]] = {}
+        for name, number in self.vocabulary.items():
+            step = int(name[-1]) if name[-1].isdigit() else 1
+            steps.setdefault(name if step == 1 else name[:-1], []).append((step, number))
 
-        def numbers(word: str) -> tuple[int, ...]:
-            found = tuple(known[f] for f in word_features(word) if f in known)
-            words[word] = found
-            return found
+        def indexed(word: str) -> tuple[str, ...]:
+            words[word] = tuple(f for f in word_features(word) if f in steps)
+            return words[word]
 
         def score(text: str | None) -> tuple[float, list[dict]]:
             counts: Counter = Counter()
@@ -185,12 +196,14 @@ class BlockMaxIndex:
             if len(seen) > REMEMBERED:
                 seen.clear()
             for word, n in Counter(WORD.findall((text or "").lower())).items():
-                found = words.get(word)
-                for number in numbers(word) if found is None else found:
-                    counts[number] += n
-            key = tuple(sorted(counts.items()))
+                known = words.get(word)
+                for feature in indexed(word) if known is None else known:
+                    counts[feature] += n
+            key = tuple(
+                sorted(number for f, n in counts.items() for step, number in steps[f] if n >= step)
+            )
             if key not in seen:
-                seen[key] = self.score(counts)
+                seen[key] = self.score(list(key))
             return seen[key]
 
         return score
@@ -219,8 +232,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 {
                     "doc_id": pa.array([i] * len(found), pa.int64()),
                     "toxic": pa.array([toxic] * len(found), pa.int32()),
-                    "feature": pa.array(list(found), pa.string()),
-                    "n": pa.array(list(found.values()), pa.int64()),
+                    "feature": pa.array(found, pa.string()),
                 }
             )
 
@@ -229,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> BlockMaxIndex:
     sample, sizes = labelled(docs, labels)
     counted = written(
         sample.select("doc_id", "toxic", "text").mapInArrow(
-            _sample_features, "doc_id bigint, toxic int, feature string, n bigint"
+            _sample_features, "doc_id bigint, toxic int, feature string"
         ),
         "toxicity",
     )
@@ -260,15 +272,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> BlockMaxIndex:
     rows = chosen.select("feature", "df").collect()
     vocabulary = {row["feature"]: n for n, row in enumerate(rows)}
     kept = counted.join(F.broadcast(chosen.select("feature")), "feature")
-    examples: dict[tuple, dict[int, int]] = {}
+    examples: dict[tuple, list[int]] = {}
     for row in kept.collect():
-        examples.setdefault((row["doc_id"], row["toxic"]), {})[vocabulary[row["feature"]]] = row["n"]
+        examples.setdefault((row["doc_id"], row["toxic"]), []).append(vocabulary[row["feature"]])
     return BlockMaxIndex.build(
         vocabulary,
         [row["df"] for row in rows],
         total,
-        [(i, toxic, counts) for (i, toxic), counts in examples.items()],
+        [(i, toxic, found) for (i, toxic), found in examples.items()],
         sizes,
+        members,
     )
 
 

@@ -1,0 +1,87 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fieldtempo.llm import multi_index
+from fieldtempo.llm.entries import queries
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int, id int, cell int, block string"
+
+
+def table(spark, rows):
+    data = [(i, None if v is None else [None if x is None else float(x) for x in v], 0, 1, 2, "b")
+            for i, v in rows]
+    return spark.createDataFrame(data, SCHEMA)
+
+
+def brute(rows, queries_, neighbours=20):
+    ids = np.array([i for i, _ in rows])
+    matrix = np.array([v for _, v in rows], np.float32).astype(float)
+    found = {}
+    for q in queries_:
+        for n in np.flatnonzero(ids == q)[:1]:
+            scores = np.cumsum(matrix * matrix[n], axis=1)[:, -1]
+            others = np.flatnonzero(ids != q)
+            order = others[np.lexsort((ids[others], -scores[others]))[:neighbours]]
+            found[q] = [(int(ids[i]), float(scores[i])) for i in order]
+    return found
+
+
+def results(frame):
+    found = {}
+    for r in sorted(frame.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        assert r["rank"] == len(found.setdefault(r["query_id"], [])) + 1
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    return found
+
+
+def test_recall_against_brute_force(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    found = results(queries()["op6_nearest_vectors"](spark, folder))
+    expected = brute(rows, [i for i, _ in rows if i % 20 == 0])
+    assert found.keys() == expected.keys()
+    hits = sum(len({v for v, _ in found[q]} & {v for v, _ in expected[q]}) for q in expected)
+    assert hits >= 0.9 * 20 * len(expected)
+    scores = {i: np.array(v, np.float32).astype(float) for i, v in rows}
+    for q, best in found.items():
+        assert len(best) == 20 and best == sorted(best, key=lambda x: (-x[1], x[0]))
+        assert all(s == pytest.approx(float(scores[q] @ scores[v]), abs=1e-12) for v, s in best)
+
+
+def test_a_hot_vector_is_split_and_ties_go_to_smaller_ids(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "BLOCK_ENTRIES", 64)
+    monkeypatch.setattr(multi_index, "TASK_QUERIES", 8)
+    monkeypatch.setattr(multi_index, "RECALL", 1.0)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6)) for i in range(900)]
+    rows += [(900 + i, [1.0, 0, 0, 0, 0, 0]) for i in range(500)]
+    found = results(multi_index.search(table(spark, rows), F.col("id") % 20 == 0))
+    expected = brute(rows, [i for i, _ in rows if i % 20 == 0])
+    hits = sum(found[q][n] == pytest.approx(expected[q][n]) for q in expected for n in range(20))
+    assert hits >= 0.98 * 20 * len(expected)
+    assert [v for v, _ in found[1000]][:5] == [v for v, _ in expected[1000]][:5]
+
+
+def test_unusable_vectors_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1, 0, 0]), (20, [0, 1, 0]), (1, [1, 1, 0]), (1, [1, 1, 0]), (2, None), (40, [0, 0, 0]),
+            (3, [nan, 1, 1]), (4, [inf, 1, 1]), (5, [None, 1, 1]), (6, [1, 1]), (7, []), (None, [1, 1, 1])]
+    found = results(multi_index.search(table(spark, rows), F.col("id") % 20 == 0))
+    assert found == {0: [(1, 1.0), (1, 1.0), (20, 0.0)], 20: [(1, 1.0), (1, 1.0), (0, 0.0)]}
+    assert multi_index.search(table(spark, []), F.col("id") % 20 == 0).count() == 0
+    assert multi_index.search(table(spark, [(20, [1, 0])]), F.col("id") % 20 == 0).count() == 0
+
+
+def test_cells_come_in_the_order_of_the_summed_distance():
+    rng = np.random.default_rng(1)
+    first, second, query = rng.normal(size=(7, 3)), rng.normal(size=(5, 3)), rng.normal(size=6)
+    entries = rng.integers(0, 4, 35)
+    index = multi_index.MultiIndex(first, second, 1.0, entries, entries, entries)
+    distance = -((first @ query[:3])[:, None] + (second @ query[3:])[None, :]).ravel()
+    expected = [c for c in np.argsort(distance) if entries[c]]
+    assert index.visited(query).tolist() == expected
+    index.share = 0.5
+    some = index.visited(query)
+    assert some.tolist() == expected[: len(some)]
+    assert entries[some].sum() >= 0.5 * entries.sum() > entries[some[:-1]].sum()
