@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtempo.session import scratch_path
+from checks.scratch import finish, kept_path
 from fieldtempo.sources import CAMPAIGNS, MIXED_KM, Source
 
 # The text columns of a day-first or mixed campaign file, as its headers spell them.
@@ -92,14 +92,27 @@ def _format(pattern: str) -> Column:
     return F.date_format("ts", pattern)
 
 
+def _dotted_half() -> Column:
+    return F.when(F.hour("ts") < 12, "a.m.").otherwise("p.m.")
+
+
 def mixed_text() -> Column:
-    """Delivery time as text in four formats, and some that is no time at all."""
+    """Delivery time as text in four orders, some of each with markers, two-digit years, fractions,
+    month names or no separators, and some that is no time at all."""
     key = F.col("event_id")
     return (
         F.when(key % 8 == 3, "rejected")
+        .when(key % 32 == 2, F.concat(_format("dd/MM/yyyy HH:mm:ss"), F.lit(" WAT")))
+        .when(key % 16 == 4, _format("dd/MM/yyyy hh:mm:ss a"))
+        .when(key % 16 == 8, _format("dd-MMM-yyyy HH:mm:ss"))
+        .when(key % 16 == 12, _format("dd/MM/yy HH:mm:ss"))
         .when(key % 4 == 0, _format("dd/MM/yyyy HH:mm:ss"))
+        .when(key % 16 == 5, _format("MM/dd/yyyy HH:mm:ss.SSS"))
+        .when(key % 16 == 9, _format("MMddyyyy HHmmss"))
         .when(key % 4 == 1, _format("MM/dd/yyyy HH:mm:ss"))
+        .when(key % 16 == 6, F.concat(_format("dd/MM/yyyy hh:mm "), _dotted_half()))
         .when(key % 4 == 2, _format("dd/MM/yyyy HH:mm"))
+        .when(key % 16 == 7, _format("MMM dd yyyy HH:mm"))
         .otherwise(_format("MM/dd/yyyy HH:mm"))
     )
 
@@ -123,9 +136,13 @@ def events_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         F.when(key % 10 == 7, "not a date")
         .when(key % 10 == 3, _format("yyyy-MM-dd HH:mm:ss"))
+        .when(key % 10 == 5, _format("yyyy-MM-dd'T'HH:mm:ss'+02'"))
         .otherwise(_format("yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .alias("iso_text"),
         F.when(key % 10 == 7, _format("dd.MM HH"))
+        .when(key % 10 == 5, _format("M/d/yyyy h:mm a"))
+        .when(key % 10 == 1, _format("M/d/yy H:mm"))
+        .when(key % 10 == 9, _format("MMM d yyyy H:mm"))
         .otherwise(_format("M/d/yyyy H:mm"))
         .alias("mdy_text"),
         mixed_text().alias("mixed_text"),
@@ -140,7 +157,7 @@ def _write_csv(frame: DataFrame, path: str, *folders: str) -> None:
     writer = writer.option("ignoreTrailingWhiteSpace", False)
     if folders:
         writer = writer.partitionBy(*folders)
-    writer.csv(path)
+    writer.mode("overwrite").csv(path)
 
 
 def _team_columns() -> list[Column]:
@@ -160,32 +177,58 @@ def _team_columns() -> list[Column]:
 
 def team_csv(spark: SparkSession, sf_dir: str) -> Source:
     """One campaign in one CSV folder, written from the whole events table."""
-    path = scratch_path(spark, "team-csv")
-    team = events_text(spark, sf_dir).select(*_team_columns())
-    _write_csv(team.toDF(*TEAM_HEADERS.values()), path)
+    path, finished = kept_path(spark, "team-csv", sf_dir)
+    if not finished:
+        team = events_text(spark, sf_dir).select(*_team_columns())
+        _write_csv(team.toDF(*TEAM_HEADERS.values()), path)
+        finish(spark, path)
     return Source("Freetown", 2024, MIXED_KM, (path,))
 
 
 def two_team_csv(spark: SparkSession, sf_dir: str) -> Source:
     """One campaign in two CSV folders; the second has other header positions and no types."""
-    folder = scratch_path(spark, "two-teams")
-    text = events_text(spark, sf_dir).select("event_id", *_team_columns())
-    first = text.where(F.col("event_id") % 2 == 0).select(*TEAM_HEADERS)
-    second = text.where(F.col("event_id") % 2 == 1).select(
-        "time_gps_distance_original", "enteredby", "time_delivery_date"
-    )
-    _write_csv(first.toDF(*TEAM_HEADERS.values()), f"{folder}/team_1-3")
-    _write_csv(second, f"{folder}/team_4-6")
+    folder, finished = kept_path(spark, "two-teams", sf_dir)
+    if not finished:
+        text = events_text(spark, sf_dir).select("event_id", *_team_columns())
+        first = text.where(F.col("event_id") % 2 == 0).select(*TEAM_HEADERS)
+        second = text.where(F.col("event_id") % 2 == 1).select(
+            "time_gps_distance_original", "enteredby", "time_delivery_date"
+        )
+        _write_csv(first.toDF(*TEAM_HEADERS.values()), f"{folder}/team_1-3")
+        _write_csv(second, f"{folder}/team_4-6")
+        finish(spark, folder)
     return Source("Freetown", 2024, MIXED_KM, (f"{folder}/team_1-3", f"{folder}/team_4-6"))
 
 
+def uneven_headers_csv(spark: SparkSession, sf_dir: str) -> str:
+    """One folder whose sub-folders, named like partitions, hold files of other headers: reordered,
+    repeated, empty, and with columns missing."""
+    folder, finished = kept_path(spark, "uneven-headers", sf_dir)
+    if not finished:
+        key, kind = F.col("event_id"), F.col("event_type")
+        rows = table(spark, sf_dir, "events").select(key.cast("string"), kind, "user_id")
+        parts = [
+            (["Note", "note", "Key"], [kind, F.lit("other"), key]),
+            (["note", "Note", "Key"], [kind, F.lit("other"), key]),
+            (["Key", "", "Note"], [key, F.lit("unnamed"), kind]),
+            (["Key", "User"], [key, F.concat(F.lit("user "), F.col("user_id"))]),
+        ]
+        for n, (headers, columns) in enumerate(parts):
+            named = [c.alias(f"c{i}") for i, c in enumerate(columns)]
+            part = rows.where(key.cast("bigint") % 4 == n).select(*named)
+            # Spark refuses to write repeated headers, so they are the first line of the text.
+            first = spark.range(1).select(F.lit(",".join(headers)).alias("value"))
+            lines = part.select(F.concat_ws(",", *part.columns).alias("value"))
+            first.unionAll(lines).coalesce(1).write.mode("overwrite").text(f"{folder}/files/part={n}")
+        finish(spark, folder)
+    return f"{folder}/files/*"
+
+
 # The known campaigns, each dealt the events of the users whose ``user_id % 8`` is its position.
 MANIFEST = [(city_name, year, layout) for city_name, year, layout, _ in CAMPAIGNS]
 
 
-def manifest_csv(spark: SparkSession, sf_dir: str) -> list[Source]:
-    """Eight campaigns in the five layouts, together the whole events table."""
-    folder = scratch_path(spark, "manifest")
+def _write_manifest(spark: SparkSession, sf_dir: str, folder: str) -> None:
     campaign = F.col("user_id") % 8
     text = events_text(spark, sf_dir)
     iso = text.where(campaign == 0).select(
@@ -205,12 +248,20 @@ def manifest_csv(spark: SparkSession, sf_dir: str) -> list[Source]:
     _write_csv(month_first, f"{folder}/month_first")
     _write_csv(teams, f"{folder}/teams", "campaign", "team")
 
+
+def manifest_csv(spark: SparkSession, sf_dir: str) -> list[Source]:
+    """Eight campaigns in the five layouts, together the whole events table."""
+    folder, finished = kept_path(spark, "manifest", sf_dir)
+    if not finished:
+        _write_manifest(spark, sf_dir, folder)
+        finish(spark, folder)
+
     def paths(number: int) -> tuple[str, ...]:
         if number < 2:
             return (f"{folder}/{('iso', 'month_first')[number]}",)
         one_file = MANIFEST[number][:2] == ("Kenema", 2024)
         teams_of = f"{folder}/teams/campaign={number}"
-        return (f"{teams_of}/*",) if one_file else (f"{teams_of}/team=0", f"{teams_of}/team=1")
+        return (teams_of,) if one_file else (f"{teams_of}/team=0", f"{teams_of}/team=1")
 
     return [
         Source(city_name, year, layout, paths(number))

@@ -38,9 +38,18 @@ ORDERS = f"""SELECT {CITY.format(key="o_custkey")} AS city,
     CAST(400000 AS DOUBLE) AS threshold FROM orders"""
 
 MIXED_TEXT = """CASE WHEN event_id % 8 = 3 THEN 'rejected'
+    WHEN event_id % 32 = 2 THEN strftime(ts, '%d/%m/%Y %H:%M:%S WAT')
+    WHEN event_id % 16 = 4 THEN strftime(ts, '%d/%m/%Y %I:%M:%S %p')
+    WHEN event_id % 16 = 8 THEN strftime(ts, '%d-%b-%Y %H:%M:%S')
+    WHEN event_id % 16 = 12 THEN strftime(ts, '%d/%m/%y %H:%M:%S')
     WHEN event_id % 4 = 0 THEN strftime(ts, '%d/%m/%Y %H:%M:%S')
+    WHEN event_id % 16 = 5 THEN strftime(ts, '%m/%d/%Y %H:%M:%S.%g')
+    WHEN event_id % 16 = 9 THEN strftime(ts, '%m%d%Y %H%M%S')
     WHEN event_id % 4 = 1 THEN strftime(ts, '%m/%d/%Y %H:%M:%S')
+    WHEN event_id % 16 = 6 THEN strftime(ts, '%d/%m/%Y %I:%M ')
+        || CASE WHEN hour(ts) < 12 THEN 'a.m.' ELSE 'p.m.' END
     WHEN event_id % 4 = 2 THEN strftime(ts, '%d/%m/%Y %H:%M')
+    WHEN event_id % 16 = 7 THEN strftime(ts, '%b %d %Y %H:%M')
     ELSE strftime(ts, '%m/%d/%Y %H:%M') END"""
 
 MULTI_TEXT = """CASE WHEN event_id % 11 <> 0 THEN CASE WHEN event_id % 3 = 0
@@ -49,21 +58,46 @@ MULTI_TEXT = """CASE WHEN event_id % 11 <> 0 THEN CASE WHEN event_id % 3 = 0
 TEXT = f"""SELECT event_id, user_id, value, ts,
     CASE WHEN event_id % 10 = 7 THEN 'not a date'
         WHEN event_id % 10 = 3 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+        WHEN event_id % 10 = 5 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+02')
         ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS iso_text,
     CASE WHEN event_id % 10 = 7 THEN strftime(ts, '%d.%m %H')
+        WHEN event_id % 10 = 5 THEN strftime(ts, '%-m/%-d/%Y %-I:%M %p')
+        WHEN event_id % 10 = 1 THEN strftime(ts, '%-m/%-d/%y %-H:%M')
+        WHEN event_id % 10 = 9 THEN strftime(ts, '%b %-d %Y %-H:%M')
         ELSE strftime(ts, '%-m/%-d/%Y %-H:%M') END AS mdy_text,
     {MIXED_TEXT} AS mixed_text,
     CASE WHEN event_id % 17 <> 0 THEN {MIXED_TEXT} END AS mixed_or_missing,
     {MULTI_TEXT} AS multi_text FROM events"""
 
 
+ISO_TIME = """CASE WHEN event_id % 10 = 5 THEN ts - INTERVAL 2 HOUR
+    WHEN event_id % 10 <> 7 THEN ts END"""
+
+
+def _formats(*days: str, clocks: tuple[str, ...]) -> list[str]:
+    """Two-digit years first: a four-digit one would be taken for them otherwise."""
+    return [f"{day} {clock}" for day in days for clock in clocks]
+
+
+SECONDS = ("%H:%M:%S", "%I:%M:%S %p", "%H:%M:%S.%g")
+MINUTES = ("%H:%M", "%I:%M %p")
+DMY, MDY = ("%d/%m/%y", "%d/%m/%Y", "%d-%b-%Y"), ("%m/%d/%y", "%m/%d/%Y", "%b %d %Y")
+DMY_HMS = [*_formats(*DMY, clocks=SECONDS), "%d%m%Y %H%M%S"]
+MDY_HMS = [*_formats(*MDY, clocks=SECONDS), "%m%d%Y %H%M%S"]
+DMY_HM, MDY_HM = _formats(*DMY, clocks=MINUTES), _formats(*MDY, clocks=MINUTES)
+
+
+def _read(text: str, formats: list[str]) -> str:
+    plain = f"replace({text}, '.m.', 'm')"
+    return f"date_trunc('second', try_strptime({plain}, {formats!r}))"
+
+
 def dmy_hms(text: str) -> str:
-    return f"try_strptime({text}, '%d/%m/%Y %H:%M:%S')"
+    return _read(text, DMY_HMS)
 
 
 def mixed(text: str) -> str:
-    formats = "['%d/%m/%Y %H:%M:%S', '%m/%d/%Y %H:%M:%S', '%d/%m/%Y %H:%M', '%m/%d/%Y %H:%M']"
-    return f"try_strptime({text}, {formats})"
+    return _read(text, DMY_HMS + MDY_HMS + DMY_HM + MDY_HM)
 
 
 def split(text: str) -> str:
@@ -92,21 +126,21 @@ def _campaigns() -> str:
             ELSE 'Freetown' END AS city,
         CAST(CASE campaign WHEN 0 THEN 2025 WHEN 1 THEN 2025 WHEN 2 THEN 2024
             ELSE 2028 - campaign END AS INTEGER) AS year,
-        campaign, enumerator, delivered_raw, delivered_ts, distance,
+        campaign, enumerator, delivered_raw, delivered_ts, distance, source,
         CAST(CASE WHEN campaign < 2 THEN 80 ELSE 0.08 END AS DOUBLE) AS threshold,
         CAST(property_type AS VARCHAR) AS property_type, CAST(delivered_ts AS DATE) AS date
     FROM (
         SELECT 0 AS campaign, iso_text AS delivered_raw, CAST(user_id AS VARCHAR) AS enumerator,
             value AS distance,
-            CASE WHEN event_id % 10 <> 7 THEN date_trunc('second', ts) END AS delivered_ts,
-            NULL AS property_type FROM ({TEXT}) WHERE user_id % 8 = 0
+            date_trunc('second', {ISO_TIME}) AS delivered_ts,
+            NULL AS property_type, 'iso' AS source FROM ({TEXT}) WHERE user_id % 8 = 0
         UNION ALL
         SELECT 1, mdy_text, CAST(user_id AS VARCHAR), value,
-            CASE WHEN event_id % 10 <> 7 THEN date_trunc('minute', ts) END, NULL
+            CASE WHEN event_id % 10 <> 7 THEN date_trunc('minute', ts) END, NULL, 'month_first'
             FROM ({TEXT}) WHERE user_id % 8 = 1
         UNION ALL
-        SELECT campaign, delivered_raw, enumerator, distance, delivered_ts, {split_type}
-            FROM ({teams})
+        SELECT campaign, delivered_raw, enumerator, distance, delivered_ts, {split_type},
+            'teams/campaign=' || campaign || '/team=' || (event_id % 2) FROM ({teams})
     )"""
 
 
@@ -223,6 +257,7 @@ def oracle_sql() -> dict[str, str]:
         return f"SELECT event_id, {second_text(expression)} FROM ({TEXT})"
 
     dow_tod = ("dow, dow_order, tod", "avg_daily_pace_tod_dow")
+    in_range = "delivered_ts >= '2024-01-10' AND delivered_ts < '2024-01-21'"
 
     return {
         "csv_scan": _team_file("true", "multi_text"),
@@ -230,24 +265,35 @@ def oracle_sql() -> dict[str, str]:
         + " UNION ALL "
         + _team_file("event_id % 2 = 1", "NULL"),
         "canonical_deliveries": f"""SELECT city, year, enumerator, delivered_raw, {second_text()},
-            round(distance, 6) AS distance, property_type, {day_text()} FROM ({campaigns})""",
+            round(distance, 6) AS distance, threshold, property_type, source, {day_text()}
+            FROM ({campaigns})""",
+        "csv_uneven_headers": """SELECT CAST(event_id AS VARCHAR) AS key, 'part=' || event_id % 4 AS source,
+            CASE WHEN event_id % 4 < 3 THEN event_type END AS note,
+            CASE WHEN event_id % 4 < 2 THEN 'other' END AS note_2,
+            CASE WHEN event_id % 4 = 2 THEN 'unnamed' END AS x,
+            CASE WHEN event_id % 4 = 3 THEN 'user ' || user_id END AS user FROM events""",
+        "campaign_date_range_summary": _with(
+            f"SELECT * FROM ({campaigns}) WHERE {in_range}", SUMMARY
+        ),
         "campaign_summary": _with(campaigns, SUMMARY),
         "campaign_accuracy_comparison": _with(campaigns, COMPARISON),
         "campaign_bad_dates": f"""SELECT DISTINCT city, year, delivered_raw FROM ({campaigns})
-            WHERE campaign >= 4 AND {dmy_hms("delivered_raw")} IS NULL""",
+            WHERE campaign >= 2 AND {dmy_hms("delivered_raw")} IS NULL""",
         "campaign_pace_dow_tod": _profile(campaigns, *dow_tod),
         "landed_daily_pace": _with(UNEVEN, DAILY),
         "accuracy_filter": f"""SELECT event_id, city, year,
-            CAST(enumerator AS VARCHAR) AS enumerator, {second_text()}, {day_text()}, round(distance, 6) AS distance FROM ({MISSING})
-            WHERE distance <= threshold""",
+            CAST(enumerator AS VARCHAR) AS enumerator, {second_text()}, {day_text()}, round(distance, 6) AS distance, threshold
+            FROM ({MISSING}) WHERE distance <= threshold""",
         "missing_date_filter": f"""SELECT event_id, mixed_or_missing FROM ({TEXT})
             WHERE mixed_or_missing IS NOT NULL""",
         "split_multivalue": f"""SELECT event_id, {split("multi_text")} AS property_type
             FROM ({TEXT})""",
-        "parse_iso": parsed("CASE WHEN event_id % 10 <> 7 THEN ts END"),
-        "parse_mdy_hm": parsed("try_strptime(mdy_text, '%m/%d/%Y %H:%M')"),
+        "parse_iso": parsed(ISO_TIME),
+        "parse_mdy_hm": parsed(_read("mdy_text", MDY_HM)),
         "parse_dmy_hms": parsed(dmy_hms("mixed_text")),
         "parse_mixed_formats": parsed(mixed("mixed_text")),
+        "parse_mixed_date_range": f"""SELECT event_id, {second_text()} FROM (
+            SELECT event_id, {mixed("mixed_text")} AS delivered_ts FROM ({TEXT})) WHERE {in_range}""",
         "bad_dates": f"""SELECT DISTINCT mixed_or_missing FROM ({TEXT})
             WHERE mixed_or_missing IS NOT NULL AND {dmy_hms("mixed_or_missing")} IS NULL""",
         "time_features": f"""SELECT event_id, {second_text()}, {day_text("delivered_ts")},
@@ -284,5 +330,15 @@ def oracle_sql() -> dict[str, str]:
         "pace_density_orders": _with(ORDERS, _density()),
         "pace_density_faceted": _with(UNEVEN, _density(shared=True)),
         "report_pace_stats": _with(UNEVEN, STATS),
+        "report_summary_all": _with(UNEVEN, SUMMARY),
+        "report_accuracy_comparison": _with(UNEVEN, COMPARISON),
+        "report_pace_by_tod": _profile(UNEVEN, "tod", "avg_daily_pace_tod"),
         "report_pace_by_dow": _profile(UNEVEN, "dow, dow_order", "avg_daily_pace_dow"),
+        "report_pace_by_dow_tod": _profile(UNEVEN, *dow_tod),
+        "report_pace_trend_by_tod": _profile(UNEVEN, *dow_tod),
+        "report_pace_timeseries": _with(UNEVEN, TIMESERIES),
+        "report_pace_histogram": _with(UNEVEN, _histogram(15)),
+        "report_pace_density": _with(UNEVEN, _density()),
+        "report_pace_histogram_shared": _with(UNEVEN, _histogram(20, shared=True)),
+        "report_pace_density_shared": _with(UNEVEN, _density(shared=True)),
     }

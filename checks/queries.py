@@ -3,23 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks import fixtures
+from checks.scratch import kept_path, scratch_path
 from fieldtempo import functions
 from fieldtempo.operators import chartdata, normalize, pace, profile, stats
 from fieldtempo.plans import write_report
-from fieldtempo.session import scratch_path
-from fieldtempo.sources import (
-    MIXED_KM,
-    land_by_campaign,
-    read_campaigns,
-    read_landed,
-    read_source,
-)
+from fieldtempo.sources import land_by_campaign, read_campaigns, read_csv, read_landed, read_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,8 +65,15 @@ def _scanned(df: DataFrame) -> DataFrame:
     return df.drop("source").withColumn(distance, F.col(distance).try_cast("double"))
 
 
-def _without_source(df: DataFrame) -> DataFrame:
-    return df.drop("source", "threshold")
+def _named_source(df: DataFrame) -> DataFrame:
+    """The file's folder, as far as it does not change from run to run."""
+    folder = r"(iso|month_first|teams/campaign=\d+/team=\d+)/[^/]+$"
+    return df.withColumn("source", F.regexp_extract("source", folder, 1))
+
+
+def _csv_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = read_csv(spark, fixtures.uneven_headers_csv(spark, sf_dir))
+    return files.withColumn("source", F.regexp_extract("source", r"(part=\d+)/", 1))
 
 
 def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +88,26 @@ def _campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_campaigns(spark, fixtures.manifest_csv(spark, sf_dir))
 
 
-def _mixed_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = fixtures.manifest_csv(spark, sf_dir)
-    return read_campaigns(spark, [source for source in sources if source.layout is MIXED_KM])
+def _date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date texts of the campaigns whose rows are split, as read, before the split."""
+    frames = [
+        read_source(spark, source).select(
+            F.lit(source.city).alias("city"),
+            F.lit(source.year).alias("year"),
+            F.col(source.layout.delivered).alias("delivered_raw"),
+        )
+        for source in fixtures.manifest_csv(spark, sf_dir)
+        if source.layout.property_type
+    ]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _in_range(column: str) -> Callable[[DataFrame], DataFrame]:
+    """Some days of a year: what a user picks first."""
+    return lambda df: df.where(
+        f"""{column} IS NOT NULL AND year({column}) = 2024
+            AND {column} >= timestamp_ntz'2024-01-10' AND {column} < timestamp_ntz'2024-01-21'"""
+    )
 
 
 def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,13 +117,22 @@ def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(table: str) -> Query:
+    """A table of the report; the first one asked for writes it, the others find it finished."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         deliveries = fixtures.events_uneven(spark, sf_dir)
-        return write_report(deliveries, scratch_path(spark, "report"))[table]
+        return write_report(deliveries, kept_path(spark, "report", sf_dir)[0])[table]
 
     return query
 
 
+REPORT_TABLES = (
+    "pace_stats summary_all accuracy_comparison pace_by_tod pace_by_dow pace_by_dow_tod "
+    "pace_trend_by_tod pace_timeseries pace_histogram pace_density pace_histogram_shared "
+    "pace_density_shared"
+).split()
+
+
 def _missing_date_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = fixtures.events_text(spark, sf_dir)
     kept = normalize.drop_missing_dates(text, raw="mixed_or_missing")
@@ -143,22 +171,24 @@ def queries() -> dict[str, Query]:
         # Sources
         "csv_scan": over(_csv_scan, _scanned),
         "multi_file_union": over(_multi_file_union, _scanned),
-        "canonical_deliveries": over(_campaigns, _without_source),
+        "csv_uneven_headers": over(_csv_headers),
+        "canonical_deliveries": over(_campaigns, _named_source),
         "campaign_summary": over(_campaigns, pace.all_daily_pace, stats.summary_all),
         "campaign_accuracy_comparison": over(
             _campaigns, pace.all_daily_pace, stats.accuracy_comparison
         ),
+        "campaign_date_range_summary": over(
+            _campaigns, _in_range("delivered_ts"), pace.all_daily_pace, stats.summary_all
+        ),
         "campaign_bad_dates": over(
-            _mixed_campaigns, lambda df: normalize.bad_dates(df, keys=pace.CAMPAIGN)
+            _date_texts, lambda df: normalize.bad_dates(df, keys=pace.CAMPAIGN)
         ),
         "campaign_pace_dow_tod": over(
             _campaigns, normalize.time_features, profile.pace_by_dow_tod, chartdata.dow_tod_bars
         ),
         "landed_daily_pace": over(_landed, pace.daily_pace),
         # Cleaning
-        "accuracy_filter": over(
-            missing, normalize.accuracy_filter, lambda df: df.drop("threshold")
-        ),
+        "accuracy_filter": over(missing, normalize.accuracy_filter),
         "missing_date_filter": over(_missing_date_filter),
         "split_multivalue": over(
             text,
@@ -170,6 +200,9 @@ def queries() -> dict[str, Query]:
         "parse_mdy_hm": over(text, _parsed("mdy_text", functions.parse_mdy_hm)),
         "parse_dmy_hms": over(text, _parsed("mixed_text", functions.parse_dmy_hms)),
         "parse_mixed_formats": over(text, _parsed("mixed_text", functions.parse_mixed)),
+        "parse_mixed_date_range": over(
+            text, _parsed("mixed_text", functions.parse_mixed), _in_range("delivered_ts")
+        ),
         "bad_dates": over(text, lambda df: normalize.bad_dates(df, raw="mixed_or_missing")),
         "time_features": over(
             missing,
@@ -212,6 +245,5 @@ def queries() -> dict[str, Query]:
         "pace_density_orders": over(trimmed(orders), chartdata.density),
         "pace_density_faceted": over(trimmed(uneven), shared_density),
         # The whole report from one pass
-        "report_pace_stats": over(_report("pace_stats")),
-        "report_pace_by_dow": over(_report("pace_by_dow")),
+        **{f"report_{name}": over(_report(name)) for name in REPORT_TABLES},
     }

@@ -1,8 +1,11 @@
 """Delivery timestamps: text to wall-clock time (``TIMESTAMP_NTZ``, UTC).
 
-``TIMESTAMP_NTZ`` makes every result independent of the session time zone. Numeric dates are read
-from the runs of digits in the text, so any separators do. Fields are range-checked before a
-timestamp is built: a failed format costs a comparison, not an exception per row.
+``TIMESTAMP_NTZ`` makes every result independent of the session time zone. Dates are read from the
+runs of digits in the text, so any separators do. Fields are range-checked before a timestamp is
+built: a failed format costs a comparison, not an exception per row.
+
+The result leaves each reader through a generator of one row. Spark would otherwise push a filter on
+the result, say a range of dates, through the steps of the reader and repeat them inside the filter.
 """
 
 from __future__ import annotations
@@ -18,18 +21,61 @@ MIXED_ORDERS = ("dmy HMS", "mdy HMS", "dmy HM", "mdy HM")
 # Two-digit years up to this one are 20xx, later ones 19xx.
 LAST_2000S_YEAR = 68
 
+# Month names as they may be written: the first letters, or all.
+MONTHS = (
+    "JAN(?:UARY)?",
+    "FEB(?:RUARY)?",
+    "MAR(?:CH)?",
+    "APR(?:IL)?",
+    "MAY",
+    "JUNE?",
+    "JULY?",
+    "AUG(?:UST)?",
+    "SEPT?(?:EMBER)?",
+    "OCT(?:OBER)?",
+    "NOV(?:EMBER)?",
+    "DEC(?:EMBER)?",
+)
+
+# Letters that may follow the clock: a half of the day, and a name of UTC.
+KNOWN_TAIL = "^(AM|PM)?(Z|UTC|GMT)?$"
+
+# Sign and hours of a UTC offset, with or without minutes.
+OFFSET = r"[+-]\d{2}(?::?\d{2})?"
+
 
 def _within(number: str, low: int, high: int) -> str:
     return f"({number} >= {low} AND {number} <= {high})"
 
 
+def _name(months: str) -> str:
+    return f"(?<![A-Z])(?:{months})(?![A-Z])"
+
+
+def _offset_minutes(offset: str) -> str:
+    return f"""(CAST(substring({offset}, 2, 2) AS int) * 60
+        + IF(length({offset}) > 3, CAST(right({offset}, 2) AS int), 0))
+        * IF({offset} LIKE '-%', -1, 1)"""
+
+
+def _through_steps(
+    df: DataFrame, steps: Sequence[dict[str, str]], result: str, into: str
+) -> DataFrame:
+    """Add ``into``; each step is columns of its own, so that each is computed once per row."""
+    columns = [f"`{name}`" for name in df.columns if name != into]
+    for step in steps:
+        df = df.withColumns({name: F.expr(sql) for name, sql in step.items()})
+    return df.selectExpr(*columns, f"inline_outer(array(named_struct('{into}', {result})))")
+
+
 def parse_delivered(df: DataFrame, text: str, into: str, orders: Sequence[str]) -> DataFrame:
     """Add ``into``: the wall-clock time of ``text`` under the first order that fits, else NULL.
 
     An order names the date parts as they appear, the year last, and then the clock parts, e.g.
-    ``dmy HMS``; a fraction of a second is dropped. Each row is read on its own: the other rows of
-    the table never change the result. The steps are columns of their own so that each is computed
-    once per row.
+    ``dmy HMS``; a fraction of a second is dropped. The month may be a name in its place, and the
+    digits of a date with a four-digit year may stand without separators. ``AM`` and ``PM``, dotted
+    or not, need an hour from 1 to 12; a UTC offset is applied. Text with letters that are none of
+    these is NULL. Each row is read on its own: the other rows of the table never change the result.
     """
 
     def number(position: int) -> str:
@@ -40,37 +86,70 @@ def parse_delivered(df: DataFrame, text: str, into: str, orders: Sequence[str])
         # choose an order.
         month, day = number(order.index("m")), number(order.index("d"))
         count = len(order.replace(" ", ""))
-        return " AND ".join([f"_count = {count}", _within(month, 1, 12), _within(day, 1, 31)])
+        named = f"_named IN (0, {order.index('m') + 1})"
+        return " AND ".join([f"_count = {count}", named, _within(month, 1, 12), _within(day, 1, 31)])
 
     def first_fit(part: str) -> str:
         branches = [f"WHEN {fits(order)} THEN {number(order.index(part))}" for order in orders]
         return f"CASE {' '.join(branches)} END"
 
+    any_month = _name("|".join(MONTHS))
+    numbered = "_body"
+    for month, name in enumerate(MONTHS, 1):
+        numbered = f"regexp_replace({numbered}, r'{_name(name)}', concat(chr(1), '{month}', ' '))"
+    # Digits without separators: day, month and year in eight, then the clock in four or six.
+    joined = "concat_ws('', _tokens)"
+    compact = f"""size(_tokens) = 2 AND length(get(_tokens, 0)) = 8
+            AND length(get(_tokens, 1)) IN (4, 6)
+        OR size(_tokens) = 1 AND length(get(_tokens, 0)) IN (12, 14)"""
+    cut = ", ".join(f"substring({joined}, {a}, {n})" for a, n in ((1, 2), (3, 2), (5, 4), (9, 2)))
+    cut = f"""filter(array({cut}, substring({joined}, 11, 2), substring({joined}, 13, 2)),
+        part -> part <> '')"""
+    runs = f"""CASE WHEN _has_name THEN transform(_tokens, token -> ltrim(chr(1), token))
+        WHEN {compact} THEN {cut} ELSE _tokens END"""
+    named = """CASE WHEN NOT _has_name THEN 0
+        WHEN size(filter(_tokens, token -> startswith(token, chr(1)))) = 1
+        THEN array_position(transform(_tokens, token -> startswith(token, chr(1))), true) END"""
+
     year = f"""CASE length(get(_runs, 2)) WHEN 4 THEN {number(2)}
         WHEN 2 THEN {number(2)} + IF({number(2)} <= {LAST_2000S_YEAR}, 2000, 1900) END"""
-    half = f"upper(right(rtrim(`{text}`), 2))"
-    hour = f"""CASE WHEN NOT {_within(number(3), 1, 12)} THEN {number(3)}
-        WHEN {half} = 'AM' THEN {number(3)} % 12
-        WHEN {half} = 'PM' THEN {number(3)} % 12 + 12 ELSE {number(3)} END"""
-    fraction = rf"size(_runs) = 7 AND `{text}` RLIKE r':\d+[.]\d+\D*$'"
+    hour = f"""CASE WHEN _tail = '' THEN {number(3)}
+        WHEN NOT _tail RLIKE '{KNOWN_TAIL}' THEN NULL
+        WHEN _tail NOT LIKE '_M%' THEN {number(3)}
+        WHEN {_within(number(3), 1, 12)} THEN {number(3)} % 12 + IF(_tail LIKE 'P%', 12, 0) END"""
+    letters = f"""CASE WHEN _lettered THEN regexp_replace(
+        _body, r'{any_month}|(?<=[0-9])T(?=[0-9])|[^A-Z]', '') ELSE '' END"""
+    tail = """CASE WHEN _lettered
+        THEN regexp_replace(regexp_extract(_body, r'[^0-9]*$', 0), '[^A-Z]', '') ELSE '' END"""
+    fraction = r"size(_runs) = 7 AND _body RLIKE r':\d+[.]\d+\D*$'"
     second = f"coalesce({number(5)}, 0)"
     in_range = " AND ".join(
-        ["_month IS NOT NULL", _within("_hour", 0, 23), _within(number(4), 0, 59)]
-        + [_within(second, 0, 59)]
+        ["_month IS NOT NULL", "_letters = _tail", _within("_hour", 0, 23)]
+        + [_within(number(4), 0, 59), _within(second, 0, 59)]
     )
     time = f"try_make_timestamp_ntz(_year, _month, _day, _hour, {number(4)}, {second})"
+    moved = f"""IF(_offset IS NULL, _time,
+        timestampadd(MINUTE, -({_offset_minutes("_offset")}), _time))"""
     steps = [
-        {"_runs": f"regexp_extract_all(`{text}`, r'[0-9]+', 0)"},
+        {"_text": f"upper(trim(`{text}`))"},
+        {
+            "_offset": rf"""CASE WHEN _text RLIKE r':\d+([.]\d+)?\s*{OFFSET}$'
+                THEN regexp_extract(_text, r'{OFFSET}$', 0) END"""
+        },
+        {"_body": "IF(_offset IS NULL, _text, left(_text, length(_text) - length(_offset)))"},
+        {"_lettered": "_body RLIKE '[A-Z]'"},
+        {"_has_name": f"_lettered AND _body RLIKE r'{any_month}'"},
+        {"_letters": letters, "_tail": tail, "_plain": f"IF(_has_name, {numbered}, _body)"},
+        {"_tokens": r"regexp_extract_all(_plain, r'\x01?[0-9]+', 0)"},
+        {"_runs": runs, "_named": named},
         {
             "_numbers": "try_cast(_runs AS array<int>)",
             "_count": f"IF({fraction}, 6, size(_runs))",
         },
         {"_year": year, "_month": first_fit("m"), "_day": first_fit("d"), "_hour": hour},
-        {into: f"CASE WHEN {in_range} THEN {time} END"},
+        {"_time": f"CASE WHEN {in_range} THEN {time} END"},
     ]
-    for step in steps:
-        df = df.withColumns({name: F.expr(sql) for name, sql in step.items()})
-    return df.drop("_runs", "_numbers", "_count", "_year", "_month", "_day", "_hour")
+    return _through_steps(df, steps, moved, into)
 
 
 def parse_dmy_hms(df: DataFrame, text: str, into: str) -> DataFrame:
@@ -91,21 +170,22 @@ def parse_iso(df: DataFrame, text: str, into: str) -> DataFrame:
 
     Text without a full date is NULL.
     """
-    day, clock, offset = r"\d{4}-\d{1,2}-\d{1,2}", "[T ][0-9:.]+", r"[+-]\d{2}:?\d{2}"
-    iso = rf"^\s*{day}({clock})?\s*(Z|{offset})?\s*$"
+    day, clock = r"\d{4}-\d{1,2}-\d{1,2}", "[T ][0-9:.]+"
+    iso = rf"^{day}({clock})?\s*(Z|{OFFSET})?$"
     # A sign after the date can only be that of an offset; most texts have none to look for.
-    after_date = f"substring(trim(`{text}`), 9)"
-    minutes = """(try_cast(substring(_offset, 2, 2) AS int) * 60
-        + try_cast(right(_offset, 2) AS int)) * IF(_offset LIKE '-%', -1, 1)"""
+    after_date = "substring(_text, 9)"
     steps = [
+        {"_text": f"trim(`{text}`)"},
         {
-            "_local": f"""CASE WHEN `{text}` RLIKE r'{iso}'
-                THEN try_cast(trim(`{text}`) AS timestamp_ntz) END""",
             "_offset": rf"""CASE WHEN {after_date} LIKE '%+%' OR {after_date} LIKE '%-%'
-                THEN regexp_extract(`{text}`, r'({offset})\s*$', 1) END""",
+                THEN nullif(regexp_extract(_text, r'[0-9]\s*({OFFSET})$', 1), '') END"""
+        },
+        {
+            "_local": f"""CASE WHEN _text RLIKE r'{iso}' THEN try_cast(rtrim(
+                IF(_offset IS NULL, _text, left(_text, length(_text) - length(_offset))))
+                AS timestamp_ntz) END""",
         },
-        {into: f"IF(_offset IS NULL, _local, timestampadd(MINUTE, -({minutes}), _local))"},
     ]
-    for step in steps:
-        df = df.withColumns({name: F.expr(sql) for name, sql in step.items()})
-    return df.drop("_local", "_offset")
+    moved = f"""IF(_offset IS NULL, _local,
+        timestampadd(MINUTE, -({_offset_minutes("_offset")}), _local))"""
+    return _through_steps(df, steps, moved, into)

@@ -15,6 +15,12 @@ CAMPAIGN_BINS = 15
 SHARED_BINS = 20
 CURVE_POINTS = 512
 
+# Stretches that a curve is cut into, and tasks that all stretches of all curves are dealt to.
+CURVE_SLICES = 8
+CURVE_TASKS = 32
+# Days of a key that a curve can be made of: a calendar of two centuries.
+MOST_DAYS = 73_200
+
 # A value this fraction of a bin above an edge is on the edge: it absorbs rounding in the division.
 EDGE_TOLERANCE = 1e-8
 
@@ -95,8 +101,10 @@ def density(
     """Gaussian kernel density on a regular grid over the axis; keys of one day have no curve.
 
     The bandwidth is ``0.9 * min(sd, IQR / 1.34) * n^-0.2``; if that minimum is 0, the deviation,
-    then the size of the earliest value, then 1 takes its place. The values of a key, one per
-    calendar day, travel as one array, so no pair of grid point and day becomes a row.
+    then the size of the earliest value, then 1 takes its place. The values of a key travel as one
+    array, so no pair of grid point and day becomes a row; ``daily`` must have one row per key and
+    day, and a key with more rows than days fails. The kernel sums are the work: each curve is cut
+    into slices, and these are dealt to tasks whose number does not follow the few bytes they hold.
     """
     low, high = _axis(trimmed, value, keys, shared_range)
     size = F.col("n").cast("double")
@@ -111,6 +119,9 @@ def density(
         unless_zero(F.abs(F.col("earliest"))),
         F.lit(1.0),
     )
+    few_enough = F.assert_true(
+        F.col("n") <= MOST_DAYS, "a curve needs one row per key and day"
+    ).isNull()
     shaped = (
         trimmed.select(*keys, value, order, low.alias("low"), high.alias("high"))
         .groupBy(*keys, "low", "high")
@@ -121,19 +132,21 @@ def density(
             F.min_by(value, order).alias("earliest"),
             F.collect_list(value).alias("days"),
         )
-        .where(F.col("n") >= 2)
+        .where((F.col("n") >= 2) & few_enough)
         .withColumn("bw", 0.9 * scale * F.pow(size, F.lit(-0.2)))
         .withColumn("exponent", -0.5 / (F.col("bw") * F.col("bw")))
         .withColumn("step", (F.col("high") - F.col("low")) / (points - 1))
-        .withColumn(
-            "grid",
-            F.transform(
-                F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("low") + i * F.col("step")
-            ),
-        )
+        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(CURVE_SLICES - 1))))
+        .repartition(CURVE_TASKS, *keys, "slice")
     )
+    stretch = -(-points // CURVE_SLICES)
+    first = F.col("slice") * stretch
+    last = F.least(first + stretch, F.lit(points)) - 1
+    numbers = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    def grid_point(number: Column) -> Column:
+        x = F.col("low") + number * F.col("step")
 
-    def grid_point(x: Column, number: Column) -> Column:
         def add_kernel(total: Column, day: Column) -> Column:
             return total + F.exp((x - day) * (x - day) * F.col("exponent"))
 
@@ -144,7 +157,7 @@ def density(
             (height / (size * F.col("bw") * math.sqrt(2 * math.pi))).alias("density"),
         )
 
-    return shaped.select(*keys, "bw", F.inline(F.transform("grid", grid_point)))
+    return shaped.select(*keys, "bw", F.inline(F.transform(numbers, grid_point)))
 
 
 def dow_tod_bars(profile: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:

@@ -38,13 +38,11 @@ def bad_dates(
 ) -> DataFrame:
     """The distinct texts, per key if any, that are present but cannot be read.
 
-    Readable rows collapse into one NULL group per task and are dropped after the aggregate; a
-    filter below it would repeat the whole parse inside its condition.
+    Best run on rows as read, before a split repeats their texts.
     """
-    parsed = parse(deliveries.select(*keys, raw), raw, "_parsed")
-    unreadable = F.when(F.col("_parsed").isNull(), F.col(raw))
-    counted = parsed.select(*keys, unreadable.alias(raw)).groupBy(*keys, raw)
-    return counted.agg(F.count(raw).alias("_rows")).where(F.col("_rows") > 0).drop("_rows")
+    texts = deliveries.select(*keys, raw).where(F.col(raw).isNotNull())
+    parsed = parse(texts, raw, "_parsed")
+    return parsed.where(F.col("_parsed").isNull()).select(*keys, raw).distinct()
 
 
 def time_features(deliveries: DataFrame, timestamp: str = "delivered_ts") -> DataFrame:

@@ -1,6 +1,6 @@
 """Pace by shift and weekday: all deliveries, no accuracy filter, no trimming.
 
-The ``*_profile`` functions start from day counts, the ``pace_by_*`` functions from deliveries.
+The ``*_profile`` functions start from ``profile_base``, the ``pace_by_*`` functions from deliveries.
 """
 
 from __future__ import annotations
@@ -14,48 +14,64 @@ from fieldtempo.functions import SHIFT_LABELS, weekday, weekday_order
 from fieldtempo.operators.pace import CAMPAIGN, count_enumerator_days
 
 
-def _active_shifts(days: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per enumerator, day and shift with a delivery, from day counts by shift."""
-    labels = F.array(*[F.lit(label) for label in SHIFT_LABELS])
+def profile_base(days: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
+    """Sum and number of the counts by weekday and shift, in one pass over day counts.
+
+    A row without ``tod`` has the counts of whole days; counts without ``by_shift`` give only those.
+    There are at most 7 weekdays and a missing one, each with the shifts and one such row, for every
+    key; all profiles follow from it.
+    """
+    counts, labels = F.array("deliveries"), F.array().cast("array<string>")
+    if "by_shift" in days.columns:
+        counts = F.array_append("by_shift", F.col("deliveries"))
+        labels = F.array(*[F.lit(label) for label in SHIFT_LABELS])
+    active = days.select(*keys, "date", F.posexplode(counts).alias("number", "deliveries"))
+    # The weekday follows from the date, so it is added to the counts, not grouped on below them.
     return (
-        days.select(*keys, "date", F.posexplode("by_shift").alias("number", "deliveries"))
-        .where(F.col("deliveries") > 0)
-        .withColumn("tod", F.get(labels, F.col("number")))
+        active.where(F.col("deliveries") > 0)
+        .select(
+            *keys,
+            weekday(F.col("date")).alias("dow"),
+            weekday_order(F.col("date")).alias("dow_order"),
+            F.get(labels, F.col("number")).alias("tod"),
+            "deliveries",
+        )
+        .groupBy(*keys, "dow", "dow_order", "tod")
+        .agg(F.sum("deliveries").alias("total"), F.count("deliveries").alias("days"))
     )
 
 
-def _average(counts: DataFrame, keys: Sequence[str], by: Sequence[str], name: str) -> DataFrame:
-    # The weekday follows from the date, so it is added to the counts, not grouped on below them.
-    if "dow" in by:
-        counts = counts.withColumns(
-            {"dow": weekday(F.col("date")), "dow_order": weekday_order(F.col("date"))}
-        )
-        by = [*by, "dow_order"]
-    return counts.groupBy(*keys, *by).agg(F.avg("deliveries").alias(name))
+def _averages(base: DataFrame, by: Sequence[str], whole_days: bool, name: str) -> DataFrame:
+    rows = base.where(F.col("tod").isNull() if whole_days else F.col("tod").isNotNull())
+    return rows.groupBy(*by).agg((F.sum("total") / F.sum("days")).alias(name))
 
 
-def tod_profile(days: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
+def tod_profile(base: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
     """Average deliveries of an enumerator in a shift."""
-    return _average(_active_shifts(days, keys), keys, ["tod"], "avg_daily_pace_tod")
+    return _averages(base, [*keys, "tod"], False, "avg_daily_pace_tod")
 
 
-def dow_profile(days: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
+def dow_profile(base: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
     """Average deliveries of an enumerator on a weekday."""
-    return _average(days, keys, ["dow"], "avg_daily_pace_dow")
+    return _averages(base, [*keys, "dow", "dow_order"], True, "avg_daily_pace_dow")
 
 
-def dow_tod_profile(days: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
+def dow_tod_profile(base: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
     """Average deliveries of an enumerator in a shift of a weekday."""
-    return _average(_active_shifts(days, keys), keys, ["dow", "tod"], "avg_daily_pace_tod_dow")
+    return _averages(base, [*keys, "dow", "tod", "dow_order"], False, "avg_daily_pace_tod_dow")
+
+
+def _base(features: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return profile_base(count_enumerator_days(features, keys, by_shift=True), keys)
 
 
 def pace_by_tod(features: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
-    return tod_profile(count_enumerator_days(features, keys, by_shift=True), keys)
+    return tod_profile(_base(features, keys), keys)
 
 
 def pace_by_dow(features: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
-    return dow_profile(count_enumerator_days(features, keys), keys)
+    return dow_profile(_base(features, keys), keys)
 
 
 def pace_by_dow_tod(features: DataFrame, keys: Sequence[str] = CAMPAIGN) -> DataFrame:
-    return dow_tod_profile(count_enumerator_days(features, keys, by_shift=True), keys)
+    return dow_tod_profile(_base(features, keys), keys)

@@ -1,33 +1,40 @@
 """Every result table from one pass over the deliveries.
 
 The deliveries are scanned and shuffled once, into counts per enumerator and day. The counts are
-written before use, so a lost executor costs a read of that small table and never a new pass over
-the deliveries; everything else is computed from it with shuffles of a few rows per day.
+written before use and read twice: for the daily pace and for the base of the profiles. Everything
+else is computed from those two with shuffles of a few rows per day, so a lost executor costs a read
+of a small table, never a new pass over the deliveries.
+
+A run on a folder that already holds tables goes on where the last one ended: finished tables are
+read, others are written again. A lost driver costs what was being written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 from fieldtempo.operators import chartdata, pace, profile, stats
 from fieldtempo.operators.normalize import time_features
-from fieldtempo.sources.landing import land_by_campaign, read_landed
+from fieldtempo.sources.landing import CAMPAIGN_FOLDERS, land_by_campaign
 
+INPUT = "input"
 ENUMERATOR_DAYS = "enumerator_days"
 DAILY_PACE = "all_daily_pace"
+PROFILE_BASE = "profile_base"
 
 
-def report_tables(days: DataFrame, trimmed: DataFrame) -> dict[str, DataFrame]:
-    """The tables that follow from day counts by shift and trimmed daily pace."""
-    dow_tod = profile.dow_tod_profile(days)
-    return {
+def report_tables(base: DataFrame, trimmed: DataFrame, shifts: bool = True) -> dict[str, DataFrame]:
+    """The tables that follow from the base of the profiles and the trimmed daily pace; those of
+    shifts need the time of day."""
+    tables = {
         "pace_stats": stats.pace_stats(trimmed),
         "summary_all": stats.summary_all(trimmed),
         "accuracy_comparison": stats.accuracy_comparison(trimmed),
-        "pace_by_tod": profile.tod_profile(days),
-        "pace_by_dow": profile.dow_profile(days),
-        "pace_by_dow_tod": chartdata.dow_tod_bars(dow_tod),
-        "pace_trend_by_tod": chartdata.trend_by_tod(dow_tod),
+        "pace_by_dow": profile.dow_profile(base),
         "pace_timeseries": chartdata.timeseries(trimmed),
         "pace_histogram": chartdata.histogram(trimmed),
         "pace_density": chartdata.density(trimmed),
@@ -36,22 +43,70 @@ def report_tables(days: DataFrame, trimmed: DataFrame) -> dict[str, DataFrame]:
         ),
         "pace_density_shared": chartdata.density(trimmed, shared_range=True),
     }
+    if shifts:
+        dow_tod = profile.dow_tod_profile(base)
+        tables |= {
+            "pace_by_tod": profile.tod_profile(base),
+            "pace_by_dow_tod": chartdata.dow_tod_bars(dow_tod),
+            "pace_trend_by_tod": chartdata.trend_by_tod(dow_tod),
+        }
+    return tables
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
+def _signature(deliveries: DataFrame) -> str:
+    """The files the deliveries are read from, and what is done with them."""
+    plan = deliveries._jdf.queryExecution().optimizedPlan().canonicalized().toString()
+    text = "\n".join([*sorted(deliveries.inputFiles()), re.sub(r"#\d+L?", "", plan)])
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _written(table: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> DataFrame:
+    spark = table.sparkSession
+    if not _finished(spark, path):
+        write(table, path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
+def _plain(table: DataFrame, path: str) -> None:
+    table.write.mode("overwrite").parquet(path)
+
+
+def _by_campaign(table: DataFrame, path: str) -> None:
+    # One folder per campaign, so that a reader of one skips the others.
+    table.write.mode("overwrite").partitionBy(*CAMPAIGN_FOLDERS).parquet(path)
+
+
+def _balanced(table: DataFrame, path: str) -> None:
+    land_by_campaign(table, path, balance=True, mode="overwrite")
 
 
 def write_report(deliveries: DataFrame, folder: str) -> dict[str, DataFrame]:
-    """Write every table of canonical ``deliveries`` under ``folder``; return them as read back."""
+    """Write every table of canonical ``deliveries`` under ``folder``; return them as read back.
+
+    Without ``delivered_ts`` the tables of shifts are left out. A folder that holds the report of
+    other deliveries is refused.
+    """
     spark = deliveries.sparkSession
     folder = folder.rstrip("/")
+    signed = spark.range(1).selectExpr(f"'{_signature(deliveries)}' AS signature")
+    if _written(signed, f"{folder}/{INPUT}", _plain).first() != signed.first():
+        raise ValueError(f"{folder} holds the report of other deliveries")
 
-    counts = pace.count_enumerator_days(time_features(deliveries), by_shift=True)
-    counts.write.mode("error").parquet(f"{folder}/{ENUMERATOR_DAYS}")
-    days = spark.read.parquet(f"{folder}/{ENUMERATOR_DAYS}")
-
-    land_by_campaign(pace.iqr_trim(pace.average_days(days)), f"{folder}/{DAILY_PACE}", balance=True)
-    trimmed = read_landed(spark, f"{folder}/{DAILY_PACE}")
+    shifts = "delivered_ts" in deliveries.columns
+    features = time_features(deliveries) if shifts else deliveries
+    counts = pace.count_enumerator_days(features, by_shift=shifts)
+    days = _written(counts, f"{folder}/{ENUMERATOR_DAYS}", _by_campaign)
+    daily = pace.iqr_trim(pace.average_days(days))
+    trimmed = _written(daily, f"{folder}/{DAILY_PACE}", _balanced)
+    base = _written(profile.profile_base(days), f"{folder}/{PROFILE_BASE}", _plain)
 
-    written = {ENUMERATOR_DAYS: days, DAILY_PACE: trimmed}
-    for name, table in report_tables(days, trimmed).items():
-        table.write.mode("error").parquet(f"{folder}/{name}")
-        written[name] = spark.read.parquet(f"{folder}/{name}")
+    written = {ENUMERATOR_DAYS: days, DAILY_PACE: trimmed, PROFILE_BASE: base}
+    for name, table in report_tables(base, trimmed, shifts).items():
+        written[name] = _written(table, f"{folder}/{name}", _plain)
     return written

@@ -1,10 +1,7 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 
 # AQE sizes the small shuffles that follow the first one, so the partition count only has to be
@@ -20,16 +17,49 @@ BASE_CONF = {
     "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
-# Starting point for ~100 TB on ~1000 executors: scan splits of 512 MB keep the map side near
-# 200,000 tasks, and counts are small after map-side combine, so 4,000 reducers hold them easily.
-# A task of a partitioned write holds few campaigns: open writers for them spare it a sort.
+# For ~1000 executors: scan splits of 512 MB keep the map side of 100 TB near 200,000 tasks. A task
+# of a partitioned write holds few campaigns: open writers for them spare it a sort.
 CLUSTER_CONF = {
     **BASE_CONF,
     "spark.sql.files.maxPartitionBytes": "512m",
-    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.maxConcurrentOutputFileWriters": "32",
 }
 
+# The first shuffle holds a row per enumerator and day. Where few deliveries share one it is about as
+# large as the columns in use, and adaptive execution can join partitions of an aggregate but never
+# split them: so there are enough for that case, and the others end with fewer.
+SHUFFLE_BYTES = 128 << 20
+LEAST_PARTITIONS, MOST_PARTITIONS = 200, 200_000
+
+
+def first_partitions(input_bytes: int) -> int:
+    """Partitions of the first shuffle, if all of the input's bytes went through it."""
+    return min(MOST_PARTITIONS, max(LEAST_PARTITIONS, -(-input_bytes // SHUFFLE_BYTES)))
+
+
+def cluster_conf(input_bytes: int) -> dict[str, str]:
+    """Settings for deliveries of that many bytes; Spark joins the small partitions again."""
+    partitions = str(first_partitions(input_bytes))
+    return {
+        **CLUSTER_CONF,
+        "spark.sql.shuffle.partitions": partitions,
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": partitions,
+    }
+
+
+def cluster_session(input_bytes: int, app: str = "fieldtempo", **conf: str) -> SparkSession:
+    """A session for a cluster; the master comes from the environment that submits it."""
+    settings = {**cluster_conf(input_bytes), **_named(conf)}
+    builder = SparkSession.builder.appName(app)
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
+def _named(conf: dict[str, str]) -> dict[str, str]:
+    return {key.replace("__", "."): value for key, value in conf.items()}
+
 
 def local_session(cores: int | str = "*", app: str = "fieldtempo", **conf: str) -> SparkSession:
     """A session on this machine, for tests and the bench."""
@@ -38,7 +68,7 @@ def local_session(cores: int | str = "*", app: str = "fieldtempo", **conf: str)
         **BASE_CONF,
         "spark.sql.shuffle.partitions": "8" if cores == "*" else str(cores),
         "spark.driver.memory": "12g",
-        **{key.replace("__", "."): value for key, value in conf.items()},
+        **_named(conf),
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -46,15 +76,3 @@ def local_session(cores: int | str = "*", app: str = "fieldtempo", **conf: str)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder the session gives in ``spark.checkpoint.dir``.
-
-    Only a local session may do without that setting: its executors share this machine's disk.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="fieldtempo-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterable
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,43 +18,75 @@ from fieldtempo.sources.manifest import Layout, Source
 # Field texts that mean "missing".
 MISSING = ("", "NA")
 
+#: The column that names the file a row comes from; a column of that name in a file is not read.
+SOURCE = "source"
+
 
 def _value(column: str) -> str:
     missing = ", ".join(f"'{text}'" for text in MISSING)
     return f"CASE WHEN trim({column}) NOT IN ({missing}) THEN trim({column}) END AS {column}"
 
 
-def _headers(spark: SparkSession, path: str) -> list[str]:
-    """The header cells of the first file under ``path``."""
-    first = spark.read.text(path).where("trim(value) <> ''").first()
-    cells = next(csv.reader([first.value], skipinitialspace=True)) if first else []
-    return [cell.strip() for cell in cells]
+def _files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files under ``path`` by their header line, found in one pass over all of them.
+
+    The line of the smallest row number in the first block of a file is its header. Blank files
+    have none and hold nothing.
+    """
+    lines = spark.read.text(path, recursiveFileLookup=True).select(
+        "value",
+        F.monotonically_increasing_id().alias("number"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+    )
+    first = (
+        lines.where((F.col("start") == 0) & (F.trim("value") != ""))
+        .groupBy("file")
+        .agg(F.min(F.struct("number", "value")).alias("line"))
+        .groupBy(F.col("line.value").alias("header"))
+        .agg(F.array_sort(F.collect_list("file")).alias("files"))
+        .orderBy("header")
+    )
+    # As long as the list of files, which the driver has anyway.
+    return {row["header"]: [unquote(file) for file in row["files"]] for row in first.collect()}
+
+
+def _names(header: str) -> list[str]:
+    cells = next(csv.reader([header.removeprefix("\ufeff")], skipinitialspace=True))
+    return snake_case_names([cell.strip() for cell in cells])
 
 
 def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Every column as text, headers in snake_case, missing values as NULL.
+    """Every column as text, headers in snake_case, missing values as NULL, and ``source``, the file.
 
-    Spark maps CSV columns by position; ``enforceSchema=False`` makes it fail, rather than misread,
-    if a file under ``path`` orders the headers of the columns in use differently. It cannot check
-    headers that are empty or repeated, so such a path is read without the check.
+    Spark maps CSV columns by position, so the files of each distinct header are read with a schema
+    of their own and stacked by name; a column a file lacks is NULL there. Repeated and empty headers
+    get names of their own. Folders named like partitions are folders: only the files' columns count.
     """
-    headers = _headers(spark, path)
-    names = snake_case_names(headers)
-    distinct = {header.lower() for header in headers if header}
-    checkable = len(distinct) == len(headers)
-    columns = headers if checkable else names
-    raw = spark.read.csv(
-        path,
-        schema=StructType([StructField(column, StringType()) for column in columns]),
-        header=True,
-        enforceSchema=not checkable,
-        escape='"',
-        ignoreLeadingWhiteSpace=True,
-        ignoreTrailingWhiteSpace=True,
-        multiLine=multiline,
-    )
-    named = raw.toDF(*names)
-    return named.selectExpr(*[_value(f"`{name}`") for name in named.columns])
+    frames = []
+    for header, files in _files_by_header(spark, path).items():
+        names = _names(header)
+        raw = spark.read.csv(
+            files,
+            schema=StructType([StructField(name, StringType()) for name in names]),
+            header=True,
+            enforceSchema=True,
+            escape='"',
+            ignoreLeadingWhiteSpace=True,
+            ignoreTrailingWhiteSpace=True,
+            multiLine=multiline,
+            recursiveFileLookup=True,
+        )
+        file = "_metadata.file_path AS source"
+        values = [_value(f"`{name}`") for name in names if name != SOURCE]
+        frames.append(raw.selectExpr(*values, file))
+    if not frames:
+        raise ValueError(f"{path}: no file has a header")
+    return reduce(_stacked, frames)
+
+
+def _stacked(above: DataFrame, below: DataFrame) -> DataFrame:
+    return above.unionByName(below, allowMissingColumns=True)
 
 
 def read_source(spark: SparkSession, source: Source) -> DataFrame:
@@ -63,18 +96,18 @@ def read_source(spark: SparkSession, source: Source) -> DataFrame:
     for path in source.paths:
         frame = read_csv(spark, path, source.multiline)
         present = [name for name in required if name in frame.columns]
-        frames.append(frame.select(*present, F.lit(path).alias("source")))
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+        frames.append(frame.select(*present, SOURCE))
+    stacked = reduce(_stacked, frames)
     absent = [name for name in required if name not in stacked.columns]
     if absent:
         raise ValueError(f"{source.city} {source.year}: no file has the columns {absent}")
-    return stacked
+    return stacked.select(*required, SOURCE)
 
 
 def canonical(raw: DataFrame, city: str, year: int, layout: Layout) -> DataFrame:
     """One row per delivery in the columns every campaign shares.
 
-    Each text is parsed once, before the split. City and year are the campaign's labels: a row
+    Each text is parsed once, before the split, whatever filters follow. City and year are the campaign's labels: a row
     whose date falls in another year still counts under them.
     """
     property_type = F.col(layout.property_type) if layout.property_type else F.lit(None)

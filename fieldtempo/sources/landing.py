@@ -7,16 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 CAMPAIGN_FOLDERS = ("city", "year")
 
 
-def land_by_campaign(table: DataFrame, path: str, balance: bool = False) -> None:
+def land_by_campaign(
+    table: DataFrame, path: str, balance: bool = False, mode: str = "error"
+) -> None:
     """Write ``table`` under ``path``, one folder per city and year.
 
     Rows read from campaign files need no shuffle: a scan task holds one campaign, so it writes one
     file. After a shuffle every task holds every campaign; ``balance`` then gathers the rows of a
-    campaign, and adaptive execution splits the campaigns that are too large for one task.
+    campaign, and adaptive execution splits the campaigns that are too large for one task. Without
+    adaptive execution nothing would split them, so balancing is refused.
     """
     if balance:
+        if table.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":
+            raise ValueError("balancing by campaign needs spark.sql.adaptive.enabled")
         table = table.hint("rebalance", *CAMPAIGN_FOLDERS)
-    table.write.mode("error").partitionBy(*CAMPAIGN_FOLDERS).parquet(path)
+    table.write.mode(mode).partitionBy(*CAMPAIGN_FOLDERS).parquet(path)
 
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:

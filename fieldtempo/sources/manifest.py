@@ -32,8 +32,8 @@ class Layout:
 class Source:
     """One campaign: its labels, its layout, and its files.
 
-    A path may be a file, a folder or a glob; the files under one path must share one header.
-    Files with different headers go under paths of their own and are stacked by column name.
+    A path may be a file, a folder or a glob. Files may differ in their headers; they are stacked by
+    column name.
     """
 
     city: str

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtempo.functions import (
+    NIGHT_SHIFT,
     parse_dmy_hms,
     parse_iso,
     parse_mdy_hm,
@@ -16,8 +17,6 @@ from fieldtempo.functions import (
     weekday_order,
 )
 
-NIGHT = "Other (Night/Early Morning)"
-
 
 @pytest.mark.parametrize(
     "headers, names",
@@ -57,7 +56,31 @@ def test_parse_dmy_hms(spark):
         "14/03/2024 12:05:00 am": at(2024, 3, 14, 0, 5),
         "14/03/2024 12:05:00 PM": at(2024, 3, 14, 12, 5),
         "14/03/2024 09:05:00.250": at(2024, 3, 14, 9, 5),
-        "14/03/2024 09:05:00 +0200": None,
+        "14/03/2024 09:05:00 p.m.": at(2024, 3, 14, 21, 5),
+        "14/03/2024 09:05:00 P.M": at(2024, 3, 14, 21, 5),
+        "14/03/2024 09:05:00PM": at(2024, 3, 14, 21, 5),
+        "14/03/2024 09:05:00 PM GMT": at(2024, 3, 14, 21, 5),
+        "14/03/2024 09:05:00 UTC": at(2024, 3, 14, 9, 5),
+        "14/03/2024 09:05:00 PM WAT": None,
+        "14/03/2024 09:05:00 WAT": None,
+        "14/03/2024 09:05:00 P": None,
+        "PM 14/03/2024 09:05:00": None,
+        "14/03/2024 00:05:00 PM": None,
+        "14/03/2024 13:05:00 PM": None,
+        "14/03/2024 09:05:00 +0200": at(2024, 3, 14, 7, 5),
+        "14/03/2024 09:05:00-0330": at(2024, 3, 14, 12, 35),
+        "14/03/2024 09:05:00.5+02": at(2024, 3, 14, 7, 5),
+        "14-Mar-2024 09:05:00": at(2024, 3, 14, 9, 5),
+        "14 march 2024, 09:05:00 pm": at(2024, 3, 14, 21, 5),
+        "14Sept2024T09:05:00Z": at(2024, 9, 14, 9, 5),
+        "Mar 14 2024 09:05:00": None,
+        "Mar 5 2024 09:05:00": None,
+        "14 Mars 2024 09:05:00": None,
+        "Thu 14/03/2024 09:05:00": None,
+        "14032024 090500": at(2024, 3, 14, 9, 5),
+        "14032024090507": at(2024, 3, 14, 9, 5, 7),
+        "14032024 0905": None,
+        "140324 090500": None,
         "29/02/2024 00:00:00": at(2024, 2, 29),
         "29/02/2023 00:00:00": None,
         "03/14/2024 09:05:00": None,
@@ -81,6 +104,11 @@ def test_parse_mdy_hm(spark):
         "03/04/2025 23:59": at(2025, 3, 4, 23, 59),
         "3/14/25 9:05 PM": at(2025, 3, 14, 21, 5),
         "14/3/2025 9:05": None,
+        "3/14/2025 9:05 p.m.": at(2025, 3, 14, 21, 5),
+        "3/14/2025 0:05 PM": None,
+        "Mar 14 2025 9:05": at(2025, 3, 14, 9, 5),
+        "14 Mar 2025 9:05": None,
+        "03142025 0905": at(2025, 3, 14, 9, 5),
         "3/14/2025 9:05:00": None,
         None: None,
     }
@@ -95,6 +123,9 @@ def test_parse_mixed_takes_the_first_order_that_fits(spark):
         "03/14/2023 09:05": at(2023, 3, 14, 9, 5),
         "03/04/2023 09:05": at(2023, 4, 3, 9, 5),
         "31/02/2023 09:05": None,
+        "Mar 5 2023 09:05": at(2023, 3, 5, 9, 5),
+        "5 Mar 2023 09:05:00": at(2023, 3, 5, 9, 5),
+        "03142023 0905": at(2023, 3, 14, 9, 5),
         "rejected": None,
     }
     assert parse_all(spark, parse_mixed, list(cases)) == list(cases.values())
@@ -107,6 +138,8 @@ def test_parse_iso(spark):
         "2025-03-04T10:05:00.500Z": at(2025, 3, 4, 10, 5, 0, 500000),
         "2025-03-04T10:05:00+02:00": at(2025, 3, 4, 8, 5),
         "2025-03-04T22:05:00-0330": at(2025, 3, 5, 1, 35),
+        "2025-03-04T10:05:00+02": at(2025, 3, 4, 8, 5),
+        "2025-03-04 10:05:00 -02": at(2025, 3, 4, 12, 5),
         "2025-03-04": at(2025, 3, 4),
         "2025": None,
         "10:05": None,
@@ -134,7 +167,7 @@ def test_shift_brackets(spark):
     frame = spark.createDataFrame([(i, h) for i, h in enumerate(hours)], "i int, h int")
     labels = [r.s for r in frame.select("i", shift(F.col("h")).alias("s")).orderBy("i").collect()]
     day_shifts = [s for s in ("06–08", "09–11", "12–14", "15–17") for _ in range(2)]
-    assert labels == [NIGHT, NIGHT, *day_shifts, NIGHT, NIGHT, NIGHT]
+    assert labels == [NIGHT_SHIFT, NIGHT_SHIFT, *day_shifts, NIGHT_SHIFT, NIGHT_SHIFT, NIGHT_SHIFT]
 
 
 def test_weekdays_start_on_sunday(spark):

@@ -3,10 +3,14 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks import fixtures
 from checks.queries import queries
+from fieldtempo import functions
 from fieldtempo.operators import chartdata, normalize, pace, stats
+from fieldtempo.plans import report
+from fieldtempo.sources import ISO_METRES, read_campaigns, read_source
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -54,9 +58,23 @@ def test_accuracy_filter_reaches_the_scan(spark):
     assert "LessThanOrEqual(value,80.0)" in plan
 
 
-@pytest.mark.parametrize("chart", [chartdata.histogram, chartdata.density])
-def test_charts_need_no_shuffle_of_their_own(spark, chart):
-    assert len(exchanges(plan_of(chart(trimmed(spark))))) == 3
+def test_histograms_need_no_shuffle_of_their_own(spark):
+    assert len(exchanges(plan_of(chartdata.histogram(trimmed(spark))))) == 3
+
+
+def test_curves_are_dealt_to_several_tasks(spark):
+    curve = chartdata.density(trimmed(spark))
+    found = exchanges(plan_of(curve))
+    assert len(found) == 4
+    assert found[0][1].endswith(f"{chartdata.CURVE_TASKS}")
+    points = curve.groupBy(F.spark_partition_id()).count().count()
+    assert points > 4
+
+
+def test_a_curve_refuses_more_rows_than_days(spark, monkeypatch):
+    monkeypatch.setattr(chartdata, "MOST_DAYS", 3)
+    with pytest.raises(Exception, match="one row per key and day"):
+        chartdata.density(trimmed(spark)).collect()
 
 
 def test_shared_axis_scans_once(spark):
@@ -68,15 +86,67 @@ def test_shared_axis_scans_once(spark):
     assert "CartesianProduct" not in main and "NestedLoop" not in main
 
 
-PURE = sorted(
-    name
-    for name in queries()
-    if not name.startswith(("campaign_", "report_", "canonical_", "csv_", "multi_", "landed_"))
+PREDICATES = [
+    "ts IS NOT NULL",
+    "to_date(ts) IS NOT NULL",
+    "ts BETWEEN timestamp_ntz'2024-01-05' AND timestamp_ntz'2024-01-20'",
+    "year(ts) = 2024",
+]
+
+
+@pytest.mark.parametrize("predicate", [None, *PREDICATES])
+@pytest.mark.parametrize(
+    "text, parse, pattern",
+    [
+        ("iso_text", functions.parse_iso, "RLIKE"),
+        ("mdy_text", functions.parse_mdy_hm, "regexp_extract_all"),
+        ("mixed_text", functions.parse_dmy_hms, "regexp_extract_all"),
+        ("mixed_text", functions.parse_mixed, "regexp_extract_all"),
+    ],
 )
+def test_a_predicate_on_the_result_does_not_repeat_the_parse(spark, text, parse, pattern, predicate):
+    parsed = parse(fixtures.events_text(spark, SF_DIR).select("event_id", text), text, "ts")
+    if predicate:
+        parsed = parsed.where(predicate)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(pattern) == 1
+
+
+@pytest.mark.parametrize("predicate", [None, *PREDICATES])
+def test_a_predicate_on_campaigns_does_not_repeat_the_parse(spark, predicate):
+    sources = fixtures.manifest_csv(spark, SF_DIR)
+    deliveries = read_campaigns(spark, sources).withColumn("ts", F.col("delivered_ts"))
+    if predicate:
+        deliveries = deliveries.where(predicate)
+    plan = deliveries._jdf.queryExecution().optimizedPlan().toString()
+    # One for each set of files whose dates are not ISO; each row belongs to one of them.
+    assert plan.count("regexp_extract_all") == sum(
+        len(source.paths) for source in sources if source.layout is not ISO_METRES
+    )
+
+
+def test_only_the_needed_csv_columns_are_read(spark):
+    source = fixtures.manifest_csv(spark, SF_DIR)[-1]
+    plan = plan_of(read_source(spark, source).groupBy("enteredby").count())
+    assert set(re.findall(r"ReadSchema: struct<([^>]*)>", plan)) == {"enteredby:string"}
+
+
+def test_enumerator_days_are_read_twice_by_the_report(spark, tmp_path, monkeypatch):
+    read = []
+    spark_plan = report._written
+
+    def watched(table, path, write):
+        read.append((path, any("/enumerator_days/" in file for file in table.inputFiles())))
+        return spark_plan(table, path, write)
+
+    monkeypatch.setattr(report, "_written", watched)
+    report.write_report(fixtures.events_uneven(spark, SF_DIR), str(tmp_path / "r"))
+    assert len(read) == 16
+    assert sum(found for _, found in read) == 2
 
 
-@pytest.mark.parametrize("name", PURE)
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_no_python_workers_and_no_joins(spark, name):
     plan = plan_of(queries()[name](spark, SF_DIR))
-    assert "EvalPython" not in plan and "InPandas" not in plan
+    assert "EvalPython" not in plan and "InPandas" not in plan and "InArrow" not in plan
     assert "Join" not in plan and "Cartesian" not in plan

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from checks import fixtures
 from checks.queries import comparable
+from checks.scratch import scratch_path
+from fieldtempo import session
 from fieldtempo.operators import chartdata, normalize, pace, profile, stats
 from fieldtempo.plans import write_report
-from fieldtempo.session import scratch_path
+from fieldtempo.session import cluster_conf, first_partitions
+from fieldtempo.sources import land_by_campaign
 from tests.frames import deliveries
 from tests.oracle_compare import differences, spark_rows
 
@@ -39,13 +42,106 @@ def test_report_equals_the_direct_results(spark, tmp_path):
         "pace_histogram_shared": chartdata.histogram(trimmed, bins=20, shared_range=True),
         "pace_density_shared": chartdata.density(trimmed, shared_range=True),
     }
-    assert set(report) == {*direct, "enumerator_days"}
+    assert set(report) == {*direct, "enumerator_days", "profile_base"}
     for name, table in direct.items():
         written, expected = spark_rows(comparable(report[name])), spark_rows(comparable(table))
         assert expected[1], name
         assert differences(written, expected) == [], name
 
 
+def rows_of(report):
+    return {name: spark_rows(comparable(table)) for name, table in report.items() if name != "input"}
+
+
+def test_a_second_run_goes_on_where_the_first_ended(spark, tmp_path, monkeypatch):
+    events = fixtures.events_uneven(spark, SF_DIR)
+    folder = tmp_path / "report"
+    expected = rows_of(write_report(events, str(folder)))
+    written = {p: (folder / p / "_SUCCESS").stat().st_mtime_ns for p in ("enumerator_days", "summary_all")}
+    # A run that broke off: one table is missing, another half written.
+    (folder / "summary_all" / "_SUCCESS").unlink()
+    for file in (folder / "pace_by_dow").iterdir():
+        file.unlink()
+    assert rows_of(write_report(events, str(folder))) == expected
+    again = {p: (folder / p / "_SUCCESS").stat().st_mtime_ns for p in written}
+    assert again["enumerator_days"] == written["enumerator_days"]
+    assert again["summary_all"] != written["summary_all"]
+    with pytest.raises(ValueError, match="other deliveries"):
+        write_report(events.where("distance > 1"), str(folder))
+
+
+def test_days_are_written_by_campaign(spark, tmp_path):
+    report = write_report(fixtures.events_uneven(spark, SF_DIR), str(tmp_path / "r"))
+    one = report["enumerator_days"].where("city = 'Kenema'")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(city" in plan
+
+
+def test_deliveries_without_a_time_give_the_tables_they_can(spark, tmp_path):
+    dated = fixtures.lineitem_pace(spark, SF_DIR)
+    report = write_report(dated, str(tmp_path / "r"))
+    assert not {"pace_by_tod", "pace_by_dow_tod", "pace_trend_by_tod"} & set(report)
+    expected = spark_rows(comparable(stats.summary_all(pace.all_daily_pace(dated))))
+    assert differences(spark_rows(comparable(report["summary_all"])), expected) == []
+    timed = dated.withColumn("delivered_ts", F.col("date").cast("timestamp_ntz"))
+    by_dow = profile.pace_by_dow(normalize.time_features(timed))
+    assert differences(spark_rows(comparable(report["pace_by_dow"])), spark_rows(comparable(by_dow))) == []
+
+
+def test_balancing_needs_adaptive_execution(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with pytest.raises(ValueError, match="adaptive"):
+            land_by_campaign(fixtures.events_uneven(spark, SF_DIR), str(tmp_path / "x"), balance=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_the_cluster_settings_follow_the_input(spark):
+    assert first_partitions(0) == 200
+    assert first_partitions(100 << 40) == 200_000
+    assert first_partitions(1 << 40) == 8192
+    conf = cluster_conf(1 << 40)
+    assert conf["spark.sql.shuffle.partitions"] == "8192"
+    assert conf["spark.sql.adaptive.coalescePartitions.enabled"] == "true"
+    changed = {k: v for k, v in conf.items() if spark.conf.isModifiable(k)}
+    kept = {key: spark.conf.get(key, None) for key in changed}
+    try:
+        # The running session takes over what it can; a new one takes all of it.
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        days = pace.count_enumerator_days(fixtures.events_uneven(spark, SF_DIR))
+        assert "8192" in days._jdf.queryExecution().executedPlan().toString()
+        # Small partitions are joined again at run time.
+        assert days.rdd.getNumPartitions() < 100
+    finally:
+        for key, value in kept.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def test_a_cluster_session_is_built_with_the_settings_and_its_own(monkeypatch):
+    given = {}
+
+    class Builder:
+        def appName(self, name):
+            given["app"] = name
+            return self
+
+        def config(self, key, value):
+            given[key] = value
+            return self
+
+        def getOrCreate(self):
+            return given
+
+    monkeypatch.setattr(session.SparkSession, "builder", Builder())
+    built = session.cluster_session(1 << 40, app="pace", spark__executor__memory="8g")
+    assert built == {"app": "pace", **cluster_conf(1 << 40), "spark.executor.memory": "8g"}
+
+
 def test_scratch_follows_the_session(spark, tmp_path):
     before = spark.conf.get("spark.checkpoint.dir", None)
     path = scratch_path(spark, "x")

@@ -21,6 +21,11 @@ from fieldtempo.sources import (
 )
 
 
+def values(frame):
+    """The rows without the file they come from."""
+    return [tuple(row) for row in frame.drop("source").collect()]
+
+
 def write(folder, name, text, encoding="utf-8"):
     path = folder / name
     path.write_text(text, encoding=encoding)
@@ -38,8 +43,8 @@ def test_missing_values_blanks_and_quotes(spark, tmp_path):
         "\n",
     )
     frame = read_csv(spark, path)
-    assert frame.columns == ["time_delivery_date", "property_type", "remark"]
-    assert [tuple(row) for row in frame.collect()] == [
+    assert frame.columns == ["time_delivery_date", "property_type", "remark", "source"]
+    assert values(frame) == [
         ("14/03/2024 09:05:00", 'Domestic, "Shop", Kiosk', None),
         (None, None, '" x "'),
         (None, None, "N/A"),
@@ -49,41 +54,86 @@ def test_missing_values_blanks_and_quotes(spark, tmp_path):
 def test_byte_order_mark_and_short_rows(spark, tmp_path):
     path = write(tmp_path, "a.csv", "User Name,Distance,Delivered On\nu1,5\n", "utf-8-sig")
     frame = read_csv(spark, path)
-    assert frame.columns == ["user_name", "distance", "delivered_on"]
-    assert [tuple(row) for row in frame.collect()] == [("u1", "5", None)]
+    assert frame.columns == ["user_name", "distance", "delivered_on", "source"]
+    assert values(frame) == [("u1", "5", None)]
 
 
 def test_repeated_and_empty_headers(spark, tmp_path):
     path = write(tmp_path, "a.csv", '\n,Distance,"distance",User Name\n1,2,3,u1\n')
     frame = read_csv(spark, path)
-    assert frame.columns == ["x", "distance", "distance_2", "user_name"]
-    assert [tuple(row) for row in frame.collect()] == [("1", "2", "3", "u1")]
+    assert frame.columns == ["x", "distance", "distance_2", "user_name", "source"]
+    assert values(frame) == [("1", "2", "3", "u1")]
 
 
 def test_quoted_headers(spark, tmp_path):
     path = write(tmp_path, "a.csv", '"Distance, metres" , "The ""user"""\n5,u1\n')
     frame = read_csv(spark, path)
-    assert frame.columns == ["distance_metres", "the_user"]
-    assert [tuple(row) for row in frame.collect()] == [("5", "u1")]
+    assert frame.columns == ["distance_metres", "the_user", "source"]
+    assert values(frame) == [("5", "u1")]
 
 
 def test_an_empty_file_has_no_columns(spark, tmp_path):
-    assert read_csv(spark, write(tmp_path, "a.csv", "")).columns == []
+    empty = write(tmp_path, "a.csv", "")
+    with pytest.raises(ValueError, match="no file has a header"):
+        read_csv(spark, empty)
+    write(tmp_path, "b.csv", "a\n1\n")
+    assert values(read_csv(spark, str(tmp_path))) == [("1",)]
 
 
 def test_line_breaks_in_quotes(spark, tmp_path):
     path = write(tmp_path, "a.csv", 'a,b\n"x\ny",1\nz,2\n')
-    assert [tuple(r) for r in read_csv(spark, path, multiline=True).collect()] == [
+    assert values(read_csv(spark, path, multiline=True)) == [
         ("x\ny", "1"),
         ("z", "2"),
     ]
 
 
-def test_files_of_one_path_must_agree_on_headers(spark, tmp_path):
+def test_files_of_one_path_may_differ_in_their_headers(spark, tmp_path):
     write(tmp_path, "1.csv", "a,b\n1,2\n")
-    write(tmp_path, "2.csv", "b,a\n2,1\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        read_csv(spark, str(tmp_path)).collect()
+    write(tmp_path, "2.csv", "b,a\n2,1\n3,4\n")
+    write(tmp_path, "3.csv", "A,,c\n5,6,7\n")
+    rows = read_csv(spark, str(tmp_path)).collect()
+    assert sorted((r.a, r.b, r.c, r.x, r.source.rsplit("/", 1)[1]) for r in rows) == [
+        ("1", "2", None, None, "1.csv"),
+        ("1", "2", None, None, "2.csv"),
+        ("4", "3", None, None, "2.csv"),
+        ("5", None, "7", "6", "3.csv"),
+    ]
+
+
+def test_repeated_headers_in_another_order_are_not_swapped(spark, tmp_path):
+    write(tmp_path, "1.csv", "When,Who,Note,note\n2025-03-04,u1,x,y\n")
+    write(tmp_path, "2.csv", "Who,When,Note,note\nu2,2025-03-05,x,y\n")
+    rows = read_csv(spark, str(tmp_path)).collect()
+    assert {(r.who, r.when, r.note, r.note_2) for r in rows} == {
+        ("u1", "2025-03-04", "x", "y"),
+        ("u2", "2025-03-05", "x", "y"),
+    }
+
+
+def test_folders_named_like_partitions(spark, tmp_path):
+    for day, order in ((1, "a,b\n1,2\n"), (2, "b,a\n2,1\n")):
+        folder = tmp_path / f"dt={day} x" / "team=1"
+        folder.mkdir(parents=True)
+        write(folder, "a b.csv", order)
+    for path in (str(tmp_path), f"{tmp_path}/*", f"{tmp_path}/*/*"):
+        frame = read_csv(spark, path)
+        assert frame.columns == ["a", "b", "source"]
+        assert values(frame) == [("1", "2")] * 2
+
+
+def test_the_rows_number_does_not_decide_on_the_header(spark, tmp_path):
+    lines = "".join(f"{n},{n}\n" for n in range(50_000))
+    write(tmp_path, "1.csv", "key,other\n" + lines)
+    write(tmp_path, "2.csv", "other,key\n" + lines)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        frame = read_csv(spark, str(tmp_path))
+        assert frame.count() == 100_000
+        assert frame.where("key <> other").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
 def test_files_stack_by_name(spark, tmp_path):
@@ -111,7 +161,8 @@ def test_files_stack_by_name(spark, tmp_path):
     ]
     assert normalize.accuracy_filter(deliveries).count() == 2
     assert {r.date for r in deliveries.collect()} == {datetime.date(2024, 3, 14)}
-    assert {r.source for r in deliveries.collect()} == {first, second}
+    files = {r.source.removeprefix("file:") for r in deliveries.collect()}
+    assert files == {first, second}
 
 
 def test_a_column_no_file_has_is_an_error(spark, tmp_path):
