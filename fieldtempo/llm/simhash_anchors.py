@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtempo.llm.components import component_roots
@@ -363,20 +363,35 @@ def near_duplicates(
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """The documents that stay, one of each component: that of the smallest id, or of several rows
-    with that id the one whose identity sorts first; of rows equal in id and text, one."""
+    with that id the one whose identity sorts first; of rows equal in id and text, one.
+
+    Most documents stay, so what leaves the table is the identities of those that go. While these
+    are few they are broadcast, and no text is shuffled; more of them are joined.
+    """
     digest = _digest(docs, shingle)
-    x, y, place = free_names(docs.columns, "x", "y", "place")
-    stays = components(digest, distance).select(
-        F.col("stays.x").alias(x), F.col("stays.y").alias(y)
-    ).distinct()
-    text = F.coalesce("text", F.lit(""))
-    number = F.col("doc_id").cast("bigint")
+    found = written(
+        digest.join(components(digest, distance), "fp")
+        .groupBy(F.col("identity.x").alias("x"), F.col("identity.y").alias("y"))
+        .agg(
+            F.max(F.col("identity") == F.col("stays")).alias("stay"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+        .where(~F.col("stay") | (F.col("rows") > 1)),
+        "simhash",
+    )
+    x, y = free_names(docs.columns, "x", "y")
+    text, number = F.coalesce("text", F.lit("")), F.col("doc_id").cast("bigint")
     rows = docs.withColumn(x, F.xxhash64(number, text)).withColumn(
         y, F.xxhash64(text, F.lit(1), number)
     )
-    return (
-        rows.join(stays, [x, y])
-        .withColumn(place, F.row_number().over(Window.partitionBy(x, y).orderBy(F.lit(0))))
-        .where(F.col(place) == 1)
-        .select(*docs.columns)
-    )
+
+    def among(some: DataFrame) -> DataFrame:
+        return small(some.select(F.col("x").alias(x), F.col("y").alias(y)), some.count())
+
+    kept = rows.join(among(found), [x, y], "left_anti")
+    repeated = found.where("stay")
+    if repeated.take(1):
+        kept = kept.unionAll(
+            rows.join(among(repeated), [x, y], "left_semi").dropDuplicates([x, y])
+        )
+    return kept.select(*docs.columns)

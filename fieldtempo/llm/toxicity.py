@@ -47,8 +47,9 @@ BLOCK = 64
 SMOOTHING = 0.25
 EVIDENCE = 5
 HELD_OUT_OF = 5
-#: Distinct words, and distinct feature sets, that a worker remembers.
-REMEMBERED = 200_000
+#: Distinct words, and distinct feature sets, that a task remembers.
+REMEMBERED_WORDS = 100_000
+REMEMBERED_SETS = 10_000
 WORD = regex.compile(r"\p{L}+")
 
 EVIDENCE_TYPE = "array<struct<doc_id:bigint,similarity:double,toxic:int>>"
@@ -191,9 +192,9 @@ class BlockMaxIndex:
 
         def score(text: str | None) -> tuple[float, list[dict]]:
             counts: Counter = Counter()
-            if len(words) > REMEMBERED:
+            if len(words) > REMEMBERED_WORDS:
                 words.clear()
-            if len(seen) > REMEMBERED:
+            if len(seen) > REMEMBERED_SETS:
                 seen.clear()
             for word, n in Counter(WORD.findall((text or "").lower())).items():
                 known = words.get(word)
