@@ -27,6 +27,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,15 +59,26 @@ class SuffixIndex:
             self.keys.append(key)
         # Ranks of the first characters, then of those and the next ones, and so on.
         self.levels = []
-        rank = np.zeros(len(codes), np.uint64)
+        rank = None
         for key in self.keys:
-            values, place = np.unique(key, return_inverse=True)
-            combined = rank * np.uint64(len(values) + 1) + place.astype(np.uint64)
-            ranks, rank = np.unique(combined, return_inverse=True)
-            rank = rank.astype(np.uint64)
+            values, place, order = self._ranked(key)
+            if rank is None:
+                ranks, rank = np.arange(len(values), dtype=np.uint64), place
+            else:
+                ranks, rank, order = self._ranked(rank * np.uint64(len(values) + 1) + place)
             self.levels.append((values, ranks))
-        self.order = np.argsort(rank, kind="stable")
-        self.sorted = rank[self.order]
+        self.order = order
+        self.sorted = rank[order]
+
+    @staticmethod
+    def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, the place of each key among them, and the order of the keys."""
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        place = np.empty(len(keys), np.uint64)
+        place[order] = np.cumsum(new).astype(np.uint64) - np.uint64(1)
+        return ordered[new], place, order
 
     def ranges(self, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each piece, padded with -1 to the depth, the range of ``order`` that begins with it."""
@@ -156,32 +168,33 @@ class Encoder:
         return self.values[place], bounds
 
     def _learn(self, stretches: list[str]) -> None:
-        """Appends the ids of new stretches."""
-        order = sorted(range(len(stretches)), key=lambda n: len(stretches[n]))
-        found: list[np.ndarray | None] = [None] * len(stretches)
-        held, size = [], 0
-        for n in order:
-            held.append(n)
+        """Appends the ids of new stretches, shorter ones first."""
+        order = np.argsort(np.array([len(x) for x in stretches]), kind="stable")
+        values, sizes, held, size = [self.values], [], [], 0
+        for n in order.tolist():
+            held.append(stretches[n])
             size += len(stretches[n]) + 1
             if size >= CHUNK:
-                self._chunk(stretches, held, found)
+                self._chunk(held, values, sizes)
                 held, size = [], 0
         if held:
-            self._chunk(stretches, held, found)
-        sizes = np.array([len(x) for x in found], np.int64)
-        starts = len(self.values) + np.cumsum(sizes) - sizes
-        self.values = np.concatenate([self.values, *found]).astype(np.int32)
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.starts = np.concatenate([self.starts, starts])
-
-    def _chunk(self, stretches: list[str], held: list[int], found: list) -> None:
-        words = [stretches[n].replace(" ", SPACE) for n in held]
-        lengths = np.array([len(word) for word in words])
+            self._chunk(held, values, sizes)
+        known = len(self.values)
+        self.values = np.concatenate(values)
+        by_order = np.concatenate(sizes)
+        own = np.empty((2, len(stretches)), np.int64)
+        own[:, order] = by_order, known + np.cumsum(by_order) - by_order
+        self.sizes = np.concatenate([self.sizes, own[0]])
+        self.starts = np.concatenate([self.starts, own[1]])
+
+    def _chunk(self, stretches: list[str], values: list, sizes: list) -> None:
+        """Appends the ids of some stretches, one after the other, and how many each has."""
+        lengths = np.array([len(x) for x in stretches])
         # Each stretch is followed by a character that is in no piece.
-        text = "\0".join(words) + "\0"
+        text = ("\0".join(stretches) + "\0").replace(" ", SPACE)
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
         first = np.cumsum(lengths + 1) - lengths - 1
-        owner = np.repeat(np.arange(len(words)), lengths + 1)
+        owner = np.repeat(np.arange(len(stretches)), lengths + 1)
         separator = first + lengths
         codes[separator] = 0x110000
         start, end, piece = self._edges(codes)
@@ -195,17 +208,20 @@ class Encoder:
         by_key = np.argsort(key)
         wanted = begin * 64 + (finish - begin)
         place = np.minimum(np.searchsorted(key[by_key], wanted), max(0, len(key) - 1))
-        symbol = np.full(len(begin), -1, np.int64)
+        symbol = np.full(len(begin), -1, np.int32)
         if len(key):
             hit = key[by_key][place] == wanted
             symbol[hit] = self.ids[piece[by_key[place[hit]]]]
         of = owner[begin]
-        cuts = np.searchsorted(of, np.arange(len(words) + 1))
-        for n, number in enumerate(held):
-            ids = symbol[cuts[n] : cuts[n + 1]]
-            if len(ids) and ids.min() < 0:
-                ids = self._with_bytes(ids, words[n], begin[cuts[n] : cuts[n + 1]] - first[n])
-            found[number] = ids.astype(np.int32)
+        cuts = np.searchsorted(of, np.arange(len(stretches) + 1))
+        counts, done = np.diff(cuts), 0
+        for n in np.unique(of[symbol < 0]).tolist():
+            part = slice(cuts[n], cuts[n + 1])
+            ids = self._with_bytes(symbol[part], text, begin[part])
+            values += [symbol[done : cuts[n]], ids]
+            done, counts[n] = cuts[n + 1], len(ids)
+        values.append(symbol[done:])
+        sizes.append(counts)
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and piece of all occurrences, by position."""
@@ -266,16 +282,23 @@ class Encoder:
             if (right := after.get(b)) is not None and (a, right) in ranks:
                 heapq.heappush(heap, (ranks[a, right], a, b, right))
 
-    def _with_bytes(self, ids: np.ndarray, word: str, begin: np.ndarray) -> np.ndarray:
+    def _with_bytes(self, ids: np.ndarray, text: str, begin: np.ndarray) -> np.ndarray:
         out: list[int] = []
         for n, at in zip(ids.tolist(), begin.tolist()):
             if n >= 0:
                 out.append(n)
             elif self.vocabulary.bytes:
-                out.extend(self.vocabulary.bytes[b] for b in word[at].encode("utf-8"))
+                out.extend(self.vocabulary.bytes[b] for b in text[at].encode("utf-8"))
             else:
                 out.append(self.vocabulary.unknown)
-        return np.array(out, np.int64)
+        return np.array(out, np.int32)
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str = VOCABULARY) -> Encoder:
+    """The encoder of a Python worker, which runs many tasks: a stretch that one task has encoded
+    is known to the next."""
+    return Encoder(path)
 
 
 @lru_cache(maxsize=2)
@@ -300,7 +323,7 @@ def decode_ids(ids: list[int] | None, path: str = VOCABULARY) -> str:
 def _parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """The rows in runs of at most so many characters, or of one row."""
     start = size = 0
-    lengths = [len(x or "") for x in batch.column(text).to_pylist()]
+    lengths = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()
     for n, length in enumerate(lengths):
         if n > start and size + length > BATCH:
             yield batch.slice(start, n - start)
@@ -321,7 +344,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, check: bool = False) -> Data
     schema = ", ".join(filter(None, [kinds, "ids array<int>", "round_trip boolean" * check]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         for batch in batches:
             for part in _parts(batch, len(others)):
                 texts = part.column(len(others)).to_pylist()
