@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldtempo.llm.storage import written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -185,6 +187,9 @@ def findings_by_path(
             ).alias("found")
         )
     )
+    # A table of its own: both sides of the join are then shuffles of their own, and Spark can split
+    # the paths of a blob that very many of them share.
+    found = written(found, "findings")
     paths = versions.select(F.col(path).alias("path"), address(F.col(text)).alias("blob"))
     return paths.join(found, "blob", "left").select(
         "path",
