@@ -34,6 +34,8 @@ MOST_PARTITIONS = 8192
 FILE_FAN_OUT = 64
 #: Rows sent to Spark at a time are bounded by bytes too, so long texts make short batches.
 OUT_BYTES = 8 << 20
+#: What a record takes besides its text: short texts fill a table, too.
+RECORD_BYTES = 400
 
 
 class ContentTable:
@@ -66,7 +68,7 @@ class ContentTable:
         self.contents.append(content)
         self.rows.append(row)
         self.counts.append(count)
-        self.bytes += len(content) + 64
+        self.bytes += len(content) + RECORD_BYTES
         if 2 * len(self.hashes) > len(self.slots):
             self._grow()
 
@@ -92,7 +94,7 @@ def _emitted(rows: Iterator[tuple], schema: pa.Schema, content: int) -> Iterator
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row[content] or "") + 64
+        size += len(row[content] or "") + RECORD_BYTES
         if size >= OUT_BYTES:
             yield _batch(held, schema)
             held, size = [], 0
@@ -187,7 +189,7 @@ def survivors(
     joined = records.mapInArrow(_task(*at, COMBINE_BYTES, True, True), schema)
 
     def measured(part: DataFrame, *by: str) -> DataFrame:
-        size = F.octet_length(F.coalesce(F.col(content), F.lit(""))) + 64
+        size = F.octet_length(F.coalesce(F.col(content), F.lit(""))) + RECORD_BYTES
         return part.groupBy(*by).agg(F.sum(size).alias("volume"))
 
     def solved(part: DataFrame, volume: int, level: int, divides: bool = True) -> list[DataFrame]:
