@@ -14,7 +14,14 @@ from checks.scratch import kept_path, scratch_path
 from fieldtempo import functions
 from fieldtempo.operators import chartdata, normalize, pace, profile, stats
 from fieldtempo.plans import write_report
-from fieldtempo.sources import land_by_campaign, read_campaigns, read_csv, read_landed, read_source
+from fieldtempo.sources import (
+    file_headers,
+    land_by_campaign,
+    read_campaigns,
+    read_csv,
+    read_landed,
+    read_source,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,13 +97,15 @@ def _campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The date texts of the campaigns whose rows are split, as read, before the split."""
+    sources = fixtures.manifest_csv(spark, sf_dir)
+    headers = file_headers(spark, [path for source in sources for path in source.paths])
     frames = [
-        read_source(spark, source).select(
+        read_source(spark, source, headers).select(
             F.lit(source.city).alias("city"),
             F.lit(source.year).alias("year"),
             F.col(source.layout.delivered).alias("delivered_raw"),
         )
-        for source in fixtures.manifest_csv(spark, sf_dir)
+        for source in sources
         if source.layout.property_type
     ]
     return reduce(DataFrame.unionByName, frames)

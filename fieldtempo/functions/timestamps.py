@@ -37,8 +37,13 @@ MONTHS = (
     "DEC(?:EMBER)?",
 )
 
-# Letters that may follow the clock: a half of the day, and a name of UTC.
-KNOWN_TAIL = "^(AM|PM)?(Z|UTC|GMT)?$"
+# Where letters may stand: a T between date and clock, and behind the clock a half of the day, dotted
+# or not, and a name of UTC.
+KNOWN_LETTERS = (
+    "^[^A-Z]*((?<=[0-9])T(?=[0-9])[^A-Z]*)?(?<=[0-9])[^0-9A-Z]*"
+    "([AP][^0-9A-Z]?M[^0-9A-Z]*)?(Z|UTC|GMT)?[^0-9A-Z]*$"
+)
+HALF = "([AP])[^0-9A-Z]?M[^0-9]*$"
 
 # Sign and hours of a UTC offset, with or without minutes.
 OFFSET = r"[+-]\d{2}(?::?\d{2})?"
@@ -48,10 +53,6 @@ def _within(number: str, low: int, high: int) -> str:
     return f"({number} >= {low} AND {number} <= {high})"
 
 
-def _name(months: str) -> str:
-    return f"(?<![A-Z])(?:{months})(?![A-Z])"
-
-
 def _offset_minutes(offset: str) -> str:
     return f"""(CAST(substring({offset}, 2, 2) AS int) * 60
         + IF(length({offset}) > 3, CAST(right({offset}, 2) AS int), 0))
@@ -93,10 +94,9 @@ def parse_delivered(df: DataFrame, text: str, into: str, orders: Sequence[str])
         branches = [f"WHEN {fits(order)} THEN {number(order.index(part))}" for order in orders]
         return f"CASE {' '.join(branches)} END"
 
-    any_month = _name("|".join(MONTHS))
-    numbered = "_body"
-    for month, name in enumerate(MONTHS, 1):
-        numbered = f"regexp_replace({numbered}, r'{_name(name)}', concat(chr(1), '{month}', ' '))"
+    any_month = f"(?<![A-Z])(?:{'|'.join(MONTHS)})(?![A-Z])"
+    abbreviations = "".join(name[:3] for name in MONTHS)
+    month_number = f"(locate(left(_name, 3), '{abbreviations}') + 2) div 3"
     # Digits without separators: day, month and year in eight, then the clock in four or six.
     joined = "concat_ws('', _tokens)"
     compact = f"""size(_tokens) = 2 AND length(get(_tokens, 0)) = 8
@@ -105,26 +105,25 @@ def parse_delivered(df: DataFrame, text: str, into: str, orders: Sequence[str])
     cut = ", ".join(f"substring({joined}, {a}, {n})" for a, n in ((1, 2), (3, 2), (5, 4), (9, 2)))
     cut = f"""filter(array({cut}, substring({joined}, 11, 2), substring({joined}, 13, 2)),
         part -> part <> '')"""
-    runs = f"""CASE WHEN _has_name THEN transform(_tokens, token -> ltrim(chr(1), token))
+    runs = f"""CASE WHEN _name <> '' THEN transform(_tokens, token -> ltrim(chr(1), token))
         WHEN {compact} THEN {cut} ELSE _tokens END"""
-    named = """CASE WHEN NOT _has_name THEN 0
+    named = """CASE WHEN _name = '' THEN 0
         WHEN size(filter(_tokens, token -> startswith(token, chr(1)))) = 1
         THEN array_position(transform(_tokens, token -> startswith(token, chr(1))), true) END"""
 
     year = f"""CASE length(get(_runs, 2)) WHEN 4 THEN {number(2)}
         WHEN 2 THEN {number(2)} + IF({number(2)} <= {LAST_2000S_YEAR}, 2000, 1900) END"""
-    hour = f"""CASE WHEN _tail = '' THEN {number(3)}
-        WHEN NOT _tail RLIKE '{KNOWN_TAIL}' THEN NULL
-        WHEN _tail NOT LIKE '_M%' THEN {number(3)}
-        WHEN {_within(number(3), 1, 12)} THEN {number(3)} % 12 + IF(_tail LIKE 'P%', 12, 0) END"""
-    letters = f"""CASE WHEN _lettered THEN regexp_replace(
-        _body, r'{any_month}|(?<=[0-9])T(?=[0-9])|[^A-Z]', '') ELSE '' END"""
-    tail = """CASE WHEN _lettered
-        THEN regexp_replace(regexp_extract(_body, r'[^0-9]*$', 0), '[^A-Z]', '') ELSE '' END"""
+    hour = f"""CASE WHEN _half = '' THEN {number(3)}
+        WHEN {_within(number(3), 1, 12)} THEN {number(3)} % 12 + IF(_half = 'P', 12, 0) END"""
+    # Most texts have no sign behind the date and no letters, and need none of the patterns for them.
+    behind = "substring(_text, 9)"
+    offset = rf"""CASE WHEN (contains({behind}, '+') OR contains({behind}, '-'))
+            AND _text RLIKE r':\d+([.]\d+)?\s*{OFFSET}$'
+        THEN regexp_extract(_text, r'{OFFSET}$', 0) END"""
     fraction = r"size(_runs) = 7 AND _body RLIKE r':\d+[.]\d+\D*$'"
     second = f"coalesce({number(5)}, 0)"
     in_range = " AND ".join(
-        ["_month IS NOT NULL", "_letters = _tail", _within("_hour", 0, 23)]
+        ["_month IS NOT NULL", "_known", _within("_hour", 0, 23)]
         + [_within(number(4), 0, 59), _within(second, 0, 59)]
     )
     time = f"try_make_timestamp_ntz(_year, _month, _day, _hour, {number(4)}, {second})"
@@ -132,14 +131,18 @@ def parse_delivered(df: DataFrame, text: str, into: str, orders: Sequence[str])
         timestampadd(MINUTE, -({_offset_minutes("_offset")}), _time))"""
     steps = [
         {"_text": f"upper(trim(`{text}`))"},
+        {"_offset": offset},
+        {"_body": "IF(_offset IS NULL, _text, left(_text, length(_text) - length(_offset)))"},
+        {"_lettered": "_body <> lower(_body)"},
+        {"_name": f"IF(_lettered, regexp_extract(_body, r'{any_month}', 0), '')"},
         {
-            "_offset": rf"""CASE WHEN _text RLIKE r':\d+([.]\d+)?\s*{OFFSET}$'
-                THEN regexp_extract(_text, r'{OFFSET}$', 0) END"""
+            "_plain": f"""IF(_name = '', _body,
+                replace(_body, _name, concat(chr(1), {month_number}, ' ')))"""
+        },
+        {
+            "_known": f"NOT _lettered OR _plain RLIKE '{KNOWN_LETTERS}'",
+            "_half": f"IF(_lettered, regexp_extract(_plain, '{HALF}', 1), '')",
         },
-        {"_body": "IF(_offset IS NULL, _text, left(_text, length(_text) - length(_offset)))"},
-        {"_lettered": "_body RLIKE '[A-Z]'"},
-        {"_has_name": f"_lettered AND _body RLIKE r'{any_month}'"},
-        {"_letters": letters, "_tail": tail, "_plain": f"IF(_has_name, {numbered}, _body)"},
         {"_tokens": r"regexp_extract_all(_plain, r'\x01?[0-9]+', 0)"},
         {"_runs": runs, "_named": named},
         {

@@ -1,6 +1,12 @@
 """Campaign files in, tables out."""
 
-from fieldtempo.sources.csv_files import canonical, read_campaigns, read_csv, read_source
+from fieldtempo.sources.csv_files import (
+    canonical,
+    file_headers,
+    read_campaigns,
+    read_csv,
+    read_source,
+)
 from fieldtempo.sources.landing import land_by_campaign, read_landed
 from fieldtempo.sources.manifest import (
     CAMPAIGNS,
@@ -23,6 +29,7 @@ __all__ = [
     "Source",
     "campaign_sources",
     "canonical",
+    "file_headers",
     "land_by_campaign",
     "read_campaigns",
     "read_csv",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Iterable
 from functools import reduce
 from urllib.parse import unquote
@@ -27,13 +28,18 @@ def _value(column: str) -> str:
     return f"CASE WHEN trim({column}) NOT IN ({missing}) THEN trim({column}) END AS {column}"
 
 
-def _files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """The files under ``path`` by their header line, found in one pass over all of them.
+def _file(path: str) -> str:
+    """A file's name as both the listing and the rows give it: not escaped, one slash."""
+    return re.sub("^([a-zA-Z0-9]+):/+", r"\1:/", unquote(path))
+
+
+def file_headers(spark: SparkSession, paths: Iterable[str]) -> dict[str, str]:
+    """The header line of every file under the paths, found in one pass over all of them.
 
     The line of the smallest row number in the first block of a file is its header. Blank files
     have none and hold nothing.
     """
-    lines = spark.read.text(path, recursiveFileLookup=True).select(
+    lines = spark.read.text(list(paths), recursiveFileLookup=True).select(
         "value",
         F.monotonically_increasing_id().alias("number"),
         F.col("_metadata.file_path").alias("file"),
@@ -43,12 +49,21 @@ def _files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
         lines.where((F.col("start") == 0) & (F.trim("value") != ""))
         .groupBy("file")
         .agg(F.min(F.struct("number", "value")).alias("line"))
-        .groupBy(F.col("line.value").alias("header"))
-        .agg(F.array_sort(F.collect_list("file")).alias("files"))
-        .orderBy("header")
     )
     # As long as the list of files, which the driver has anyway.
-    return {row["header"]: [unquote(file) for file in row["files"]] for row in first.collect()}
+    return {_file(row["file"]): row["line"]["value"] for row in first.collect()}
+
+
+def _files_by_header(
+    spark: SparkSession, path: str, headers: dict[str, str] | None
+) -> dict[str, list[str]]:
+    if headers is None:
+        headers = file_headers(spark, [path])
+    found: dict[str, list[str]] = {}
+    for listed in sorted(spark.read.text(path, recursiveFileLookup=True).inputFiles()):
+        if (file := _file(listed)) in headers:
+            found.setdefault(headers[file], []).append(unquote(listed))
+    return found
 
 
 def _names(header: str) -> list[str]:
@@ -56,15 +71,21 @@ def _names(header: str) -> list[str]:
     return snake_case_names([cell.strip() for cell in cells])
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    multiline: bool = False,
+    headers: dict[str, str] | None = None,
+) -> DataFrame:
     """Every column as text, headers in snake_case, missing values as NULL, and ``source``, the file.
 
     Spark maps CSV columns by position, so the files of each distinct header are read with a schema
     of their own and stacked by name; a column a file lacks is NULL there. Repeated and empty headers
     get names of their own. Folders named like partitions are folders: only the files' columns count.
+    ``headers``, from ``file_headers``, spares a pass where many paths are read.
     """
     frames = []
-    for header, files in _files_by_header(spark, path).items():
+    for header, files in _files_by_header(spark, path, headers).items():
         names = _names(header)
         raw = spark.read.csv(
             files,
@@ -89,12 +110,16 @@ def _stacked(above: DataFrame, below: DataFrame) -> DataFrame:
     return above.unionByName(below, allowMissingColumns=True)
 
 
-def read_source(spark: SparkSession, source: Source) -> DataFrame:
+def read_source(
+    spark: SparkSession, source: Source, headers: dict[str, str] | None = None
+) -> DataFrame:
     """The files of one campaign stacked by column name; a column a file lacks is NULL there."""
     required = source.layout.required
+    if headers is None:
+        headers = file_headers(spark, source.paths)
     frames = []
     for path in source.paths:
-        frame = read_csv(spark, path, source.multiline)
+        frame = read_csv(spark, path, source.multiline, headers)
         present = [name for name in required if name in frame.columns]
         frames.append(frame.select(*present, SOURCE))
     stacked = reduce(_stacked, frames)
@@ -132,8 +157,10 @@ def canonical(raw: DataFrame, city: str, year: int, layout: Layout) -> DataFrame
 
 def read_campaigns(spark: SparkSession, sources: Iterable[Source]) -> DataFrame:
     """Every campaign in one canonical table."""
+    sources = list(sources)
+    headers = file_headers(spark, [path for source in sources for path in source.paths])
     frames = [
-        canonical(read_source(spark, source), source.city, source.year, source.layout)
+        canonical(read_source(spark, source, headers), source.city, source.year, source.layout)
         for source in sources
     ]
     return reduce(DataFrame.unionByName, frames)
