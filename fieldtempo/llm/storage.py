@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +17,22 @@ SETTING = "spark.checkpoint.dir"
 BROADCAST_ROWS = 100_000
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="llm-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local session without one gets a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; a local session without one gets a temporary one,
+    which goes when the process ends."""
     folder = spark.conf.get(SETTING, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError(f"set {SETTING} to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set(SETTING, folder)
+        folder = _local_folder()
     return folder.rstrip("/")
 
 
