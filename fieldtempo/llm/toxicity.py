@@ -7,9 +7,9 @@ features of a bounded sample of labelled documents those are indexed whose chi-s
 label is above what chance gives the best of so many. The sampled documents lie in blocks of similar
 ones; the index holds, for each feature, the blocks it occurs in and its largest weight there. A
 query sums those to an upper bound for each block, visits blocks from the highest bound down, scores
-their documents exactly, and stops when no block left can reach the k-th best. Votes are weighted by a power of the similarity and by how much a class is
-under-represented in the sample, and smoothed with the base rate, which gives a calibrated score; the
-neighbours are evidence.
+their documents exactly, and stops when no block left can reach the k-th best. Votes are weighted by
+a power of the similarity and by how much a class is under-represented in the sample, and smoothed
+with the base rate, which gives a calibrated score; the neighbours are evidence.
 
 Labels come only from documents whose CRC-32 remainder is not that of the held-out fold. Null and
 empty texts, and those without an indexed feature, get the base rate. Without any labels every score
