@@ -9,7 +9,8 @@ expectation maximisation over all segmentations (forward and backward passes).
 Texts are lower-cased. A character that is no piece has the same small probability everywhere.
 Null texts and texts without a letter are ``und`` with score 0; so is every text if nothing could be
 learned. Equal likelihoods go to the language that sorts first. Null ids are never learned from and
-count as not held out. Very long words are scaled as the pass goes on. Copies score alike.
+count as not held out. Long words, such as sentences of languages written without spaces, are learned
+from and scored whole; both passes scale them as they go on. Copies score alike.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ BACKOFF = 0.05
 #: Words that a worker remembers, and characters scored at a time.
 REMEMBERED = 300_000
 CHARACTERS = 400_000
+#: Characters of a language whose segmentations are kept between the rounds; more are built anew.
+KEPT_CHARACTERS = 2_000_000
 LETTER = regex.compile(r"\p{L}")
 #: A pass multiplies by this for every character, to stay within range; every SCALE_STEP characters
 #: it also divides by what it has reached.
@@ -128,6 +131,7 @@ class Lattice:
         self.nodes = len(codes) + len(words)
         self.first = first + np.arange(len(words))
         self.last = self.first + lengths
+        self.within = np.arange(self.nodes) - np.repeat(self.first, lengths + 1)
 
     def _steps(self, depth: np.ndarray, node: np.ndarray) -> Iterator[tuple]:
         """Edges of the same depth, with where those of each node begin, and these nodes."""
@@ -138,9 +142,12 @@ class Lattice:
             begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             yield step, begin, at[begin]
 
-    def forward(self, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def forward(
+        self, probability: np.ndarray, shift: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scaled sums at the nodes, the weights of the edges, and the logarithm of each word's
-        probability; ``probability`` has a row for each piece, the last for the unknown."""
+        probability; ``probability`` has a row for each piece, the last for the unknown. ``shift``
+        gets the logarithm of what the sum at each node has been divided by."""
         languages = probability.shape[1]
         weight = probability[self.piece] * PER_CHARACTER ** self.size[:, None]
         alpha = np.zeros((self.nodes, languages))
@@ -150,31 +157,49 @@ class Lattice:
             alpha[nodes] = np.add.reduceat(alpha[self.start[step]] * weight[step], begin, axis=0)
             depth = int(self.depth[step[0]])
             if depth % SCALE_STEP == 0:
-                self._rescale(alpha, scale, depth)
+                self._rescale(alpha, scale, depth, max(0, depth - SCALE_STEP), shift)
+        if shift is not None:
+            # No later scaling has reached the nodes behind the last one of their word.
+            behind = self.within > np.repeat((self.lengths - 1) // SCALE_STEP, self.lengths + 1) * SCALE_STEP
+            shift[behind] = np.repeat(scale, self.lengths + 1, axis=0)[behind]
         total = np.log(np.maximum(alpha[self.last], 1e-300))
         return alpha, weight, total + scale - self.lengths[:, None] * np.log(PER_CHARACTER)
 
-    def _rescale(self, alpha: np.ndarray, scale: np.ndarray, depth: int) -> None:
-        """Divides the nodes of the long words that a later edge can start from by their sum."""
+    def _rescale(
+        self, sums: np.ndarray, scale: np.ndarray, depth: int, first: int, shift: np.ndarray | None
+    ) -> None:
+        """Divides the nodes of the long words that a later edge can reach, a step's nodes from
+        ``first`` on, by the largest of them."""
         long = np.flatnonzero(self.lengths > depth)
         if not len(long):
             return
-        reach = np.arange(max(0, depth - 32), depth + 1)
+        reach = np.minimum(np.arange(first, first + SCALE_STEP + 1), self.lengths[long][:, None])
         nodes = self.first[long][:, None] + reach
-        most = np.maximum(alpha[nodes].max(axis=1), 1e-300)
-        alpha[nodes] /= most[:, None, :]
+        most = np.maximum(sums[nodes].max(axis=1), 1e-300)
+        sums[nodes] /= most[:, None, :]
         scale[long] += np.log(most)
+        if shift is not None:
+            shift[nodes] = scale[long][:, None, :]
 
     def expected(self, probability: np.ndarray, counts: np.ndarray, pieces: int) -> np.ndarray:
-        """Expected occurrences of each piece in one language; words must be short."""
-        alpha, weight, _ = self.forward(probability)
-        beta = np.zeros(self.nodes)
+        """Expected occurrences of each piece in one language."""
+        before, after = np.zeros((self.nodes, 1)), np.zeros((self.nodes, 1))
+        alpha, weight, total = self.forward(probability, before)
+        beta = np.zeros((self.nodes, 1))
         beta[self.last] = 1.0
-        w = weight[:, 0]
+        scale = np.zeros((len(self.lengths), 1))
         for step, begin, nodes in self._steps(-self.from_depth, self.start):
-            beta[nodes] = np.add.reduceat(beta[self.end[step]] * w[step], begin)
-        total = np.maximum(alpha[self.last, 0], 1e-300)
-        share = alpha[self.start, 0] * w * beta[self.end] / total[self.owner] * counts[self.owner]
+            beta[nodes] = np.add.reduceat(beta[self.end[step]] * weight[step], begin, axis=0)
+            depth = int(self.from_depth[step[0]])
+            if depth and depth % SCALE_STEP == 0:
+                self._rescale(beta, scale, depth, depth, after)
+        early = self.within < SCALE_STEP
+        after[early] = np.repeat(scale, self.lengths + 1, axis=0)[early]
+        total = total[:, 0] + self.lengths * np.log(PER_CHARACTER)
+        shift = before[self.start, 0] + after[self.end, 0] - total[self.owner]
+        with np.errstate(divide="ignore"):
+            share = np.log(alpha[self.start, 0]) + np.log(weight[:, 0]) + np.log(beta[self.end, 0])
+        share = np.exp(share + shift) * counts[self.owner]
         return np.bincount(self.piece % (pieces + 1), share, minlength=pieces + 1)[:pieces]
 
 
@@ -235,8 +260,7 @@ class LanguageModel:
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(*[column.to_pylist() for column in batch.columns]):
-            # A word too long to be one would need a scaled backward pass; it says little.
-            found = Counter(w for w in (text or "").lower().split() if len(w) <= 64)
+            found = Counter((text or "").lower().split())
             yield pa.RecordBatch.from_pydict(
                 {
                     "lang": pa.array([lang] * len(found), pa.string()),
@@ -283,16 +307,24 @@ def fit(docs: DataFrame, path: str = VOCABULARY) -> LanguageModel:
 def _learned(words: list[tuple[str, int]], matcher: PieceMatcher, pieces: int) -> np.ndarray:
     """Piece probabilities of one language, in chunks of words to bound memory."""
     probability = np.full(pieces, 1.0 / pieces)
-    counts = np.array([n for _, n in words], float)
-    lattices = []
-    for start in range(0, len(words), 20_000):
-        part = slice(start, start + 20_000)
-        lattices.append((Lattice([w for w, _ in words[part]], matcher), counts[part]))
+    # Words of like length share a chunk, as a chunk takes as many steps as its longest word.
+    parts, size = [[]], 0
+    for word, n in sorted(words, key=lambda x: (len(x[0]), x)):
+        if size >= CHARACTERS:
+            parts, size = [*parts, []], 0
+        parts[-1].append((word, n))
+        size += len(word) + 1
+    kept: dict[int, Lattice] = {}
+    free = KEPT_CHARACTERS
     for _ in range(ROUNDS):
         column = np.append(probability, UNKNOWN)[:, None]
         expected = np.full(pieces, 0.01)
-        for lattice, n in lattices:
-            expected += lattice.expected(column, n, pieces)
+        for number, part in enumerate(parts):
+            lattice = kept.get(number) or Lattice([w for w, _ in part], matcher)
+            if number not in kept and int(lattice.lengths.sum()) <= free:
+                kept[number] = lattice
+                free -= int(lattice.lengths.sum())
+            expected += lattice.expected(column, np.array([n for _, n in part], float), pieces)
         probability = expected / expected.sum()
     return probability
 

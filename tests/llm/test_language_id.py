@@ -74,6 +74,33 @@ def test_expected_counts_cover_the_words(words):
     assert characters == pytest.approx(known)
 
 
+def test_expected_counts_of_long_words_are_those_without_scaling(monkeypatch):
+    table = probabilities(1)
+    words = ["ab" * n + "c" * (n % 3) for n in (1, 16, 31, 32, 33, 47, 48, 64)] + ["ba" * 16 + "a"]
+    counts = np.arange(1.0, len(words) + 1)
+    scaled = language_id.Lattice(words, MATCHER).expected(table, counts, len(PIECES))
+    with monkeypatch.context() as patched:
+        patched.setattr(language_id, "SCALE_STEP", 1 << 20)
+        whole = language_id.Lattice(words, MATCHER).expected(table, counts, len(PIECES))
+    assert scaled == pytest.approx(whole, rel=1e-9)
+    expected = language_id.Lattice(["ab" * 4000], MATCHER).expected(table, np.ones(1), len(PIECES))
+    assert (expected * [len(p) for p in PIECES]).sum() == pytest.approx(8001)
+
+
+def test_languages_without_spaces_are_learned(spark):
+    rng = np.random.default_rng(3)
+    letters = {"zh": "的一是不了人我在有他这中大来上", "ja": "のにはをたがでてとしれさある"}
+    rows = [
+        (n, "".join(rng.choice(list(letters[lang]), 200 + n)), lang)
+        for n, lang in enumerate(["zh", "ja"] * 30)
+    ] + [(n, "the cat sat on a mat and saw the dog", "en") for n in range(60, 90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.languages == ["en", "ja", "zh"]
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.predict_languages(docs, model).collect()}
+    assert found == {n: lang for n, _, lang in rows}
+
+
 def test_matcher_finds_every_piece_of_the_public_vocabulary():
     matcher = language_id.PieceMatcher(vocabulary().pieces)
     text = "▁the▁información▁straße"
