@@ -12,8 +12,10 @@ and a cell with more entries than a block takes is split over several; a block t
 visit is copied to as many tasks as they need. What a task holds is bounded, no candidate is dropped.
 
 Vectors that are null, zero, hold a null or a non-finite component, or differ in length from most,
-take no part. Repeated ids are candidates each; a query's own id is not among its candidates. Fewer
-candidates than wanted give all of them. Further columns may have any name.
+take no part. Repeated ids are candidates each; a query's own id is not among its candidates. Every row
+that asks has a list of its own, so repeated rows, or several vectors of one id, give as many lists
+under their id. Rows are dealt by numbers of their own, whatever their ids. Fewer candidates than
+wanted give all of them. Further columns may have any name.
 """
 
 from __future__ import annotations
@@ -196,12 +198,13 @@ def search(
     """(query_id, rank, vec_id, score) of the nearest found of every query; ``is_query`` is a
     condition on ``id``."""
     spark = vectors.sparkSession
-    rows = written(usable(vectors, key, vector), "multi_index")
+    numbered = usable(vectors, key, vector).withColumn("row", F.monotonically_increasing_id())
+    rows = written(numbered, "multi_index")
     sizes = rows.groupBy("size").count().orderBy(F.desc("count"), "size").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     dimension, count = sizes["size"], sizes["count"]
-    rows = rows.where(F.col("size") == dimension).select("id", "vec")
+    rows = rows.where(F.col("size") == dimension).select("id", "vec", "row")
     index = fit(rows, count, dimension, neighbours)
     cells = spark.sparkContext.broadcast(index)
 
@@ -209,11 +212,12 @@ def search(
         for batch in batches:
             found = cells.value.cells(_matrix(batch.column(1), dimension))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found)], names=["id", "vec", "cell"]
+                [*batch.columns, pa.array(found)], names=["id", "vec", "row", "cell"]
             )
 
     entries = written(
-        rows.mapInArrow(assigned, "id bigint, vec array<double>, cell bigint"), "multi_index"
+        rows.mapInArrow(assigned, "id bigint, vec array<double>, row bigint, cell bigint"),
+        "multi_index",
     )
     # At most as many rows as there are pairs of centroids.
     counted = np.zeros(len(index.first) * len(index.second), np.int64)
@@ -237,12 +241,14 @@ def search(
                     pa.array(blocks, pa.list_(pa.int64())),
                     pa.array(masks, pa.binary()),
                 ],
-                names=["id", "vec", "blocks", "mask"],
+                names=["id", "vec", "row", "blocks", "mask"],
             )
 
     asked = (
         rows.where(is_query)
-        .mapInArrow(visits, "id bigint, vec array<double>, blocks array<bigint>, mask binary")
+        .mapInArrow(
+            visits, "id bigint, vec array<double>, row bigint, blocks array<bigint>, mask binary"
+        )
         .withColumn("block", F.explode("blocks"))
         .drop("blocks")
     )
@@ -263,15 +269,15 @@ def search(
     )
     left = (
         entries.join(F.broadcast(cell_plan), "cell")
-        .withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("splits")))
+        .withColumn("block", F.col("first") + F.pmod(F.xxhash64("row"), F.col("splits")))
         .join(parts_hint, "block")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("block", "part", "id", "vec", "cell")
     )
     right = (
         asked.join(parts_hint, "block")
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        .select("block", "part", "id", "vec", "mask")
+        .withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+        .select("block", "part", "id", "row", "vec", "mask")
     )
 
     def reranked(_: tuple, there: pa.Table, queries: pa.Table) -> pa.Table:
@@ -280,7 +286,7 @@ def search(
             ids = there["id"].to_numpy()
             cell = there["cell"].to_numpy()
             matrix = _matrix(there["vec"], dimension)
-            asking = queries["id"].to_numpy()
+            asking, asking_row = queries["id"].to_numpy(), queries["row"].to_numpy()
             vectors = _matrix(queries["vec"], dimension)
             for start in range(0, len(asking), 256):
                 some = slice(start, start + 256)
@@ -291,10 +297,12 @@ def search(
                 scores = vectors[some] @ matrix.T
                 seen &= asking[some][:, None] != ids[None, :]
                 scores[~seen] = -np.inf
-                found += _best(asking[some], ids, matrix, vectors[some], scores, neighbours)
+                places = np.arange(len(asking))[some]
+                found += _best(places, ids, matrix, vectors[some], scores, neighbours)
         return pa.table(
             {
-                "query_id": pa.array([x[0] for x in found], pa.int64()),
+                "query_id": pa.array([asking[x[0]] for x in found], pa.int64()),
+                "row": pa.array([asking_row[x[0]] for x in found], pa.int64()),
                 "vec_id": pa.array([x[1] for x in found], pa.int64()),
                 "score": pa.array([x[2] for x in found], pa.float64()),
             }
@@ -303,9 +311,9 @@ def search(
     partial = (
         left.groupBy("block", "part")
         .cogroup(right.groupBy("block", "part"))
-        .applyInArrow(reranked, "query_id bigint, vec_id bigint, score double")
+        .applyInArrow(reranked, "query_id bigint, row bigint, vec_id bigint, score double")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return (
         partial.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= neighbours)

@@ -63,6 +63,22 @@ def test_a_hot_vector_is_split_and_ties_go_to_smaller_ids(spark, monkeypatch):
     assert [v for v, _ in found[1000]][:5] == [v for v, _ in expected[1000]][:5]
 
 
+def test_repeated_rows_of_a_query_id_have_their_own_lists(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "TASK_QUERIES", 8)
+    rng = np.random.default_rng(4)
+    rows = [(2 * i + 1, rng.normal(size=6)) for i in range(150)]
+    copies, other = rng.normal(size=6), rng.normal(size=6)
+    asking = [(20, copies)] * 25 + [(20, other)]
+    found = multi_index.search(table(spark, rows + asking), F.col("id") % 20 == 0).collect()
+    lists = {}
+    for r in found:
+        lists.setdefault((r["query_id"], r["rank"]), []).append((r["vec_id"], r["score"]))
+    for n in range(20):
+        expected = [brute([*rows, (20, v)], [20])[20][n] for v in (copies, other)]
+        assert sorted(lists[20, n + 1]) == sorted([expected[0]] * 25 + [expected[1]])
+    assert len(found) == 26 * 20
+
+
 def test_unusable_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1, 0, 0]), (20, [0, 1, 0]), (1, [1, 1, 0]), (1, [1, 1, 0]), (2, None), (40, [0, 0, 0]),
