@@ -1,18 +1,18 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Features of a text are its lower-case words and their beginnings of four and five letters, so that
-inflected forms meet. Term frequency is counted in steps: a word or beginning that occurs at least
-twice, or four times, is a further feature each, weighted by its own document frequency. Of the
-features of a bounded sample of labelled documents those are indexed whose chi-square against the
-label is above what chance gives the best of so many. The sampled documents lie in blocks of similar
-ones; the index holds, for each feature, the blocks it occurs in and its largest weight there. A
-query sums those to an upper bound for each block, visits blocks from the highest bound down, scores
-their documents exactly, and stops when no block left can reach the k-th best. Votes are weighted by
-a power of the similarity and by how much a class is under-represented in the sample, and smoothed
-with the base rate, which gives a calibrated score; the neighbours are evidence.
+inflected forms meet. All features of a bounded sample of labelled documents are indexed, with their
+number of occurrences; how many documents hold a feature is counted over all documents. Features whose
+chi-square against the label is not above what chance gives the best of so many weigh little, but are
+in all vectors and norms. Features that no example has are counted by hash: they add to the norm of a
+query, and two of them may share a counter. The sampled documents lie in blocks of similar ones. A
+query sums the largest weights of its features in each block to an upper bound, scores the best block
+exactly, then all blocks that can still reach the k-th best. Votes are weighted by a power of the
+similarity over the distance, so that a copy of an example decides, and by how much a class is
+under-represented in the sample, and smoothed with the base rate; the neighbours are evidence.
 
 Labels come only from documents whose CRC-32 remainder is not that of the held-out fold. Null and
-empty texts, and those without an indexed feature, get the base rate. Without any labels every score
+empty texts, and those that share no feature with an example, get the base rate. Without any labels every score
 is 0. Null ids are never learned from and count as not held out. Copies get equal scores. Further
 columns are carried whatever their names.
 """
@@ -20,6 +20,7 @@ columns are carried whatever their names.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,26 +33,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtempo.llm.sampling import bounded_sample, remainder
-from fieldtempo.llm.storage import written
 
 #: Labelled documents of each class to learn from; the bound of the sample.
 PER_CLASS = 2000
-#: Features indexed at most, those of the largest chi-square.
-FEATURES = 50_000
+#: Weight of features whose chi-square may be chance.
+WEAK = 0.01
+#: Counters of documents for the features that no example has.
+COUNTERS = 1 << 20
 PREFIXES = (4, 5)
-#: Occurrences at which a word or beginning is a further feature.
-STEPS = (1, 2, 4)
 NEIGHBOURS = 15
 BLOCK = 64
 #: Weight of the base rate in a vote, in neighbours of similarity 1.
 SMOOTHING = 0.25
 #: Power of the similarity in a vote: neighbours that share little hardly count.
 CLOSENESS = 3
+#: Added to the distance a vote is divided by: little, so that an exact copy outvotes near ones.
+DISTANCE = 1e-6
+#: Blocks that are scored one by one; more are scored by feature.
+FEW_BLOCKS = 4
 EVIDENCE = 5
 HELD_OUT_OF = 5
-#: Distinct words, and distinct feature sets, that a task remembers.
+#: Distinct words that a task remembers.
 REMEMBERED_WORDS = 100_000
-REMEMBERED_SETS = 10_000
 WORD = regex.compile(r"\p{L}+")
 
 EVIDENCE_TYPE = "array<struct<doc_id:bigint,similarity:double,toxic:int>>"
@@ -62,21 +65,48 @@ def word_features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) >= n)]
 
 
-def step_name(feature: str, step: int) -> str:
-    return feature if step == 1 else f"{feature}{step}"
-
-
-def features(text: str | None) -> list[str]:
+def features(text: str | None) -> Counter:
+    """Features of a text, and how often they occur."""
     counts: Counter = Counter()
     for word, n in Counter(WORD.findall((text or "").lower())).items():
         for feature in word_features(word):
             counts[feature] += n
-    return [step_name(f, step) for f, n in counts.items() for step in STEPS if n >= step]
+    return counts
+
+
+def numbered(vocabulary: dict[str, int]):
+    """A function from text to the numbers of its features, one for each occurrence of one, that
+    remembers words. Features outside the vocabulary have the numbers of their counters."""
+    words: dict[str, list[int]] = {}
+    known = len(vocabulary)
+
+    def numbers(text: str | None) -> np.ndarray:
+        if len(words) > REMEMBERED_WORDS:
+            words.clear()
+        found: list[int] = []
+        for word in WORD.findall((text or "").lower()):
+            some = words.get(word)
+            if some is None:
+                some = words[word] = [
+                    vocabulary[f] if f in vocabulary else known + zlib.crc32(f.encode()) % COUNTERS
+                    for f in word_features(word)
+                ]
+            found += some
+        return np.array(found, np.int64)
+
+    return numbers
+
+
+def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places from each start to its end, one span after the other."""
+    sizes = ends - starts
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors in blocks, by feature: (block, largest weight), and by block: all entries."""
+    """Unit vectors in blocks: the entries by example and by feature, and by feature its largest
+    weight in each block. ``idf`` is what an occurrence of each feature weighs."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
@@ -84,26 +114,34 @@ class BlockMaxIndex:
     ids: list[int | None]
     weights: np.ndarray
     prior: float
-    postings: list[tuple[np.ndarray, np.ndarray]]
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: By example: example, feature, weight; where each block begins.
+    entries: tuple[np.ndarray, np.ndarray, np.ndarray]
+    begins: np.ndarray
+    #: By feature: where each begins; example or block, weight.
+    postings: tuple[np.ndarray, np.ndarray, np.ndarray]
+    largest: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     @staticmethod
-    def vector(found: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        numbers = np.array(sorted(found), np.int64)
-        values = idf[numbers]
+    def vector(found: list[int] | np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        numbers, counts = np.unique(np.array(found, np.int64), return_counts=True)
+        values = counts * idf[numbers]
         return numbers, values / (np.linalg.norm(values) or 1.0)
 
     @classmethod
     def build(
         cls,
         vocabulary: dict[str, int],
-        df: list[int],
+        df: list[int] | np.ndarray,
         total: int,
-        examples: list[tuple[int | None, int, list[int]]],
+        examples: list[tuple[int | None, int, list[int] | np.ndarray]],
         class_sizes: dict[int, int],
         sampled: dict[int, int],
+        relevance: np.ndarray | None = None,
     ) -> BlockMaxIndex:
+        """``df`` and ``relevance``, a factor of the weights, may go on with those of the counters."""
         idf = np.log((total + 1) / (np.array(df, float) + 1)) + 1
+        if relevance is not None:
+            idf = idf * relevance
         vectors = [(i, label, *cls.vector(found, idf)) for i, label, found in examples]
         # Neighbours in the order of their heaviest features share blocks.
         vectors.sort(
@@ -116,22 +154,19 @@ class BlockMaxIndex:
             label: class_sizes[label] / known * sum(sampled.values()) / n
             for label, n in sampled.items()
         }
-        blocks, by_feature = [], {}
-        for b in range(0, len(vectors), BLOCK):
-            part = vectors[b : b + BLOCK]
-            numbers = np.concatenate([v[2] for v in part])
-            values = np.concatenate([v[3] for v in part])
-            rows = np.repeat(np.arange(len(part)), [len(v[2]) for v in part])
-            blocks.append((rows, numbers, values))
-            for number in np.unique(numbers).tolist():
-                most = values[numbers == number].max()
-                by_feature.setdefault(number, []).append((b // BLOCK, most))
-        postings = []
-        for number in range(len(vocabulary)):
-            found = by_feature.get(number, [])
-            postings.append(
-                (np.array([x[0] for x in found], int), np.array([x[1] for x in found], float))
-            )
+        sizes = np.array([len(v[2]) for v in vectors], int)
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)
+        number = np.concatenate([np.empty(0, np.int32), *[v[2].astype(np.int32) for v in vectors]])
+        value = np.concatenate([np.empty(0), *[v[3] for v in vectors]])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        begins = np.append(ends[:-1][::BLOCK], ends[-1])
+        order = np.argsort(number, kind="stable")
+        by_feature = np.searchsorted(number[order], np.arange(len(vocabulary) + 1))
+        block = example[order] // BLOCK
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(number[order]) != 0) | (np.diff(block) != 0)
+        first = np.flatnonzero(new)
+        most = np.maximum.reduceat(value[order], first) if len(first) else np.empty(0)
         return cls(
             vocabulary,
             idf,
@@ -139,38 +174,66 @@ class BlockMaxIndex:
             [v[0] for v in vectors],
             np.array([weight[x] for x in labels.tolist()], float),
             class_sizes.get(1, 0) / known if known else 0.0,
-            postings,
-            blocks,
+            (example, number, value),
+            begins,
+            (by_feature, example[order], value[order]),
+            (np.searchsorted(first, by_feature), block[first], most),
         )
 
-    def nearest(self, found: list[int], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _summed(
+        lists: tuple[np.ndarray, np.ndarray, np.ndarray],
+        numbers: np.ndarray,
+        values: np.ndarray,
+        length: int,
+    ) -> np.ndarray:
+        begins, places, weights = lists
+        starts, ends = begins[numbers], begins[numbers + 1]
+        at = _spans(starts, ends)
+        return np.bincount(places[at], weights[at] * np.repeat(values, ends - starts), length)
+
+    def _exact(self, block: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.begins[block], self.begins[block + 1])
+        examples, features, weights = (x[part] for x in self.entries)
+        scores = np.bincount(examples - block * BLOCK, query[features] * weights)
+        hit = np.flatnonzero(scores > 0)
+        return hit + block * BLOCK, scores[hit]
+
+    def nearest(
+        self, found: list[int] | np.ndarray, k: int = NEIGHBOURS
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and exact cosines of the k nearest examples, ties to the smaller number."""
         numbers, values = self.vector(found, self.idf)
-        bounds = np.zeros(len(self.blocks))
-        for number, value in zip(numbers.tolist(), values.tolist()):
-            block, most = self.postings[number]
-            bounds[block] += value * most
-        query = np.zeros(len(self.idf))
+        inside = numbers < len(self.vocabulary)
+        numbers, values = numbers[inside], values[inside]
+        bounds = self._summed(self.largest, numbers, values, len(self.begins) - 1)
+        query = np.zeros(len(self.vocabulary))
         query[numbers] = values
-        best, scores = np.empty(0, int), np.empty(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < scores[-1] - 1e-9):
-                break
-            rows, features, entries = self.blocks[b]
-            exact = np.bincount(rows, query[features] * entries, minlength=1)
-            hit = np.flatnonzero(exact > 0)
-            best = np.concatenate([best, hit + b * BLOCK])
-            scores = np.concatenate([scores, exact[hit]])
-            # Rounded, so that equal cosines summed in another order stay ties.
-            order = np.lexsort((best, -np.round(scores, 12)))[:k]
-            best, scores = best[order], scores[order]
-        return best, np.minimum(scores, 1.0)
-
-    def score(self, found: list[int]) -> tuple[float, list[dict]]:
-        if not found or not len(self.labels):
+        first = int(bounds.argmax())
+        best, scores = self._exact(first, query)
+        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
+        left = np.flatnonzero((bounds > 0) & (bounds >= least - 1e-9))
+        left = left[left != first]
+        if len(left) > FEW_BLOCKS:
+            scores = self._summed(self.postings, numbers, values, len(self.labels))
+            best = np.flatnonzero(scores > 0)
+            scores = scores[best]
+        else:
+            more = [(best, scores), *[self._exact(b, query) for b in left.tolist()]]
+            best, scores = (np.concatenate(x) for x in zip(*more))
+        # Rounded, so that equal cosines summed in another order stay ties.
+        rounded = np.round(scores, 12)
+        if len(best) > k:
+            near = np.flatnonzero(rounded >= np.partition(rounded, len(best) - k)[len(best) - k])
+            best, scores, rounded = best[near], scores[near], rounded[near]
+        order = np.lexsort((best, -rounded))[:k]
+        return best[order], np.minimum(scores[order], 1.0)
+
+    def score(self, found: np.ndarray) -> tuple[float, list[dict]]:
+        if not len(found) or not len(self.labels):
             return self.prior, []
         best, similar = self.nearest(found)
-        votes = similar**CLOSENESS * self.weights[best]
+        votes = similar**CLOSENESS / (1 - similar + DISTANCE) * self.weights[best]
         toxic = float((votes * self.labels[best]).sum())
         score = (toxic + SMOOTHING * self.prior) / (float(votes.sum()) + SMOOTHING)
         evidence = [
@@ -180,36 +243,9 @@ class BlockMaxIndex:
         return min(1.0, max(0.0, score)), evidence
 
     def scorer(self):
-        """A function from text to score and evidence that remembers words and feature sets."""
-        words: dict[str, tuple[str, ...]] = {}
-        seen: dict[tuple, tuple[float, list[dict]]] = {}
-        steps: dict[str, list[tuple[int, int]]] = {}
-        for name, number in self.vocabulary.items():
-            step = int(name[-1]) if name[-1].isdigit() else 1
-            steps.setdefault(name if step == 1 else name[:-1], []).append((step, number))
-
-        def indexed(word: str) -> tuple[str, ...]:
-            words[word] = tuple(f for f in word_features(word) if f in steps)
-            return words[word]
-
-        def score(text: str | None) -> tuple[float, list[dict]]:
-            counts: Counter = Counter()
-            if len(words) > REMEMBERED_WORDS:
-                words.clear()
-            if len(seen) > REMEMBERED_SETS:
-                seen.clear()
-            for word, n in Counter(WORD.findall((text or "").lower())).items():
-                known = words.get(word)
-                for feature in indexed(word) if known is None else known:
-                    counts[feature] += n
-            key = tuple(
-                sorted(number for f, n in counts.items() for step, number in steps[f] if n >= step)
-            )
-            if key not in seen:
-                seen[key] = self.score(list(key))
-            return seen[key]
-
-        return score
+        """A function from text to score and evidence that remembers words."""
+        numbers = numbered(self.vocabulary)
+        return lambda text: self.score(numbers(text) if len(self.labels) else np.empty(0, int))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
@@ -233,59 +269,94 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             found = features(text)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": pa.array([i] * len(found), pa.int64()),
-                    "toxic": pa.array([toxic] * len(found), pa.int32()),
-                    "feature": pa.array(found, pa.string()),
+                    "doc_id": pa.array([i], pa.int64()),
+                    "toxic": pa.array([toxic], pa.int32()),
+                    "features": pa.array([list(found)], pa.list_(pa.string())),
+                    "counts": pa.array([list(found.values())], pa.list_(pa.int32())),
                 }
             )
 
 
+def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many documents each feature, and each counter, occurs, and how many have any."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    places = len(vocabulary) + COUNTERS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = numbered(shared.value)
+        df = np.zeros(places + 1, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = numbers(text)
+                if len(found):
+                    df[found := np.unique(found)] += 1
+                    df[places] += 1
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held])], names=["place", "n"])
+
+    counted = (
+        docs.select("text")
+        .mapInArrow(run, "place bigint, n bigint")
+        .groupBy("place")
+        .agg(F.sum("n").alias("n"))
+        .toArrow()
+    )
+    df = np.zeros(places + 1, np.int64)
+    df[counted["place"].to_numpy()] = counted["n"].to_numpy()
+    return df[:places], int(df[places])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> BlockMaxIndex:
     sample, sizes = labelled(docs, labels)
-    counted = written(
-        sample.select("doc_id", "toxic", "text").mapInArrow(
-            _sample_features, "doc_id bigint, toxic int, feature string"
-        ),
-        "toxicity",
+    rows = (
+        sample.select("doc_id", "toxic", "text")
+        .mapInArrow(
+            _sample_features,
+            "doc_id bigint, toxic int, features array<string>, counts array<int>",
+        )
+        .toArrow()
+        .sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     )
-    # A feature's counts by class; empty texts have no features and say nothing about any.
-    members = {
-        row["toxic"]: row["n"]
-        for row in counted.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()
-    }
-    total = sum(members.values())
+    vocabulary: dict[str, int] = {}
+    examples: list[tuple[int, int, np.ndarray]] = []
+    # Empty texts have no features and say nothing about any.
+    members: Counter = Counter()
+    for n in range(rows.num_rows):
+        names = rows["features"][n].as_py()
+        if names:
+            found = np.array([vocabulary.setdefault(f, len(vocabulary)) for f in names], np.int64)
+            toxic = rows["toxic"][n].as_py()
+            members[toxic] += 1
+            counts = np.array(rows["counts"][n].as_py())
+            examples.append((rows["doc_id"][n].as_py(), toxic, np.repeat(found, counts)))
+    if not examples:
+        return BlockMaxIndex.build({}, [], 0, [], sizes, {})
+    df, total = document_frequencies(docs, vocabulary)
+    relevance = np.full(len(df), WEAK)
+    relevance[_telling(examples, members, len(vocabulary))] = 1.0
+    return BlockMaxIndex.build(vocabulary, df, total, examples, sizes, members, relevance)
+
+
+def _telling(
+    examples: list[tuple[int, int, np.ndarray]], members: dict[int, int], known: int
+) -> np.ndarray:
+    """Features whose chi-square against the label is above what chance gives the best of so many."""
     positive, negative = members.get(1, 0), members.get(0, 0)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    with_df = counted.groupBy("feature").agg(
-        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")
-    )
+    if not positive or not negative:
+        return np.empty(0, int)
+    total = positive + negative
+    held = np.zeros((2, known))
+    for _, toxic, found in examples:
+        held[toxic, np.unique(found)] += 1
+    b, a = held
+    tested = np.flatnonzero((a + b >= 2) & (a + b < total))
+    a, b = a[tested], b[tested]
     chi = (
         total
-        * F.pow(a * (negative - b) - b * (positive - a), 2)
+        * (a * (negative - b) - b * (positive - a)) ** 2
         / ((a + b) * (total - a - b) * positive * negative)
     )
-    tested = with_df.where((a + b >= 2) & (a + b < total))
-    by_chance = 2 * math.log(max(2, tested.count()))
-    chosen = (
-        tested.select("feature", (a + b).cast("bigint").alias("df"), chi.alias("chi"))
-        .where(F.col("chi") > by_chance)
-        .orderBy(F.desc("chi"), "feature")
-        .limit(FEATURES)
-    ) if positive and negative else tested.limit(0).withColumn("df", F.lit(0))
-    rows = chosen.select("feature", "df").collect()
-    vocabulary = {row["feature"]: n for n, row in enumerate(rows)}
-    kept = counted.join(F.broadcast(chosen.select("feature")), "feature")
-    examples: dict[tuple, list[int]] = {}
-    for row in kept.collect():
-        examples.setdefault((row["doc_id"], row["toxic"]), []).append(vocabulary[row["feature"]])
-    return BlockMaxIndex.build(
-        vocabulary,
-        [row["df"] for row in rows],
-        total,
-        [(i, toxic, found) for (i, toxic), found in examples.items()],
-        sizes,
-        members,
-    )
+    return tested[chi > 2 * math.log(max(2, len(tested)))]
 
 
 def score_texts(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:

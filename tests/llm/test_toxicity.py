@@ -73,6 +73,29 @@ def test_planted_toxic_documents_are_found_and_clean_ones_left(spark):
     assert not any(held_out(e["doc_id"]) for e in evidence)
 
 
+def test_a_copy_of_a_toxic_example_with_rare_words_is_found(spark):
+    rows, marks = table()
+    rare = "qumblor zvethnik draxopil yeomfarst quixbent " + rows[1][1]
+    example = next(i for i in range(1000, 1100) if not held_out(i))
+    copy = next(i for i in range(2000, 2100) if held_out(i))
+    docs = frames.documents(spark, [*rows, (example, rare), (copy, rare)])
+    index = toxicity.fit(docs, frames.labels(spark, [*marks, (example, 1, 1)]))
+    found = {r["doc_id"]: r for r in toxicity.score_texts(docs, index).collect()}
+    assert found[copy]["predicted"] == 1
+    nearest = found[copy]["evidence"][0]
+    assert nearest["doc_id"] == example and nearest["similarity"] == pytest.approx(1)
+    assert found[1]["predicted"] == 0
+    assert {"qumblor", "draxo-"} <= index.vocabulary.keys()
+
+
+def test_document_frequencies_cover_all_documents(spark):
+    texts = ["abc abc xyz", "abc unseen", "", None, "unseen"]
+    docs = frames.documents(spark, list(enumerate(texts)))
+    df, total = toxicity.document_frequencies(docs, {"abc": 0, "xyz": 1})
+    assert (df[0], df[1], total) == (2, 1, 3)
+    assert df[2 + zlib.crc32(b"unseen") % toxicity.COUNTERS] == 2
+
+
 def test_labels_of_the_held_out_fold_change_nothing(spark):
     rows, marks = table()
     docs = frames.documents(spark, rows)
