@@ -11,11 +11,14 @@ import corpus_pipeline
 from fieldtempo.llm import (
     grace_dedup,
     language_id,
+    license_automaton,
+    merkle_manifest,
     mixing,
     multi_index,
     secret_ledger,
     sharding,
     simhash_anchors,
+    sql,
     suffix_pieces,
     token_attribution,
     toxicity,
@@ -150,6 +153,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_automaton.scan(documents(spark, sf_dir))
+    labels = F.array_sort(F.array_union("base_labels", F.transform("spans", lambda x: x["label"])))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"),
+        "score",
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verified(documents(spark, sf_dir)).drop("path")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scans": op1_secret_scans,
@@ -162,9 +184,15 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_mixing": op10_mixing,
+        "op12_license_scans": op12_license_scans,
+        "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scans": OP1_SQL, "op4_exact_dedup": OP4_SQL}
+    return {
+        "op1_secret_scans": OP1_SQL,
+        "op4_exact_dedup": OP4_SQL,
+        "op13_merkle_manifest": sql.OP13,
+    }
