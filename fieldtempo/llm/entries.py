@@ -15,6 +15,7 @@ from fieldtempo.llm import (
     merkle_manifest,
     mixing,
     multi_index,
+    prefix_trie,
     secret_ledger,
     sharding,
     simhash_anchors,
@@ -153,6 +154,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_automaton.scan(documents(spark, sf_dir))
     labels = F.array_sort(F.array_union("base_labels", F.transform("spans", lambda x: x["label"])))
@@ -184,6 +189,7 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_mixing": op10_mixing,
+        "op11_conversation_trie": op11_conversation_trie,
         "op12_license_scans": op12_license_scans,
         "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": corpus_pipeline.run,
@@ -194,5 +200,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scans": OP1_SQL,
         "op4_exact_dedup": OP4_SQL,
+        "op11_conversation_trie": sql.OP11,
         "op13_merkle_manifest": sql.OP13,
     }

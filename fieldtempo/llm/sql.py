@@ -71,3 +71,48 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS fol
     folded = root AS verified
 FROM ends, (SELECT hash AS root FROM top WHERE size = 1) WHERE n = 1
 """
+
+OP11 = f"""
+WITH steps AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL),
+named AS (
+    SELECT conv_id, turn, strlen(text) AS size,
+        left(sha256(strlen(role) || ':' || role || text), 32) AS digest
+    FROM steps),
+own AS (
+    SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, digest) AS digests,
+        list(size ORDER BY turn NULLS FIRST, digest) AS sizes,
+        ({crc32("conv_id")} % 9)::BIGINT AS h
+    FROM named GROUP BY conv_id),
+rebuilt AS (
+    SELECT a.conv_id, coalesce(b.digests[:a.h], []) || a.digests[a.h + 1:] AS digests,
+        coalesce(b.sizes[:a.h], []) || a.sizes[a.h + 1:] AS sizes
+    FROM own a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+prefixes AS (
+    SELECT conv_id, digests, sizes, unnest(range(len(digests) + 1)) AS depth FROM rebuilt),
+members AS (
+    SELECT conv_id, depth, array_to_string(digests[:depth], '') AS key,
+        CASE WHEN depth > 0 THEN sizes[depth] ELSE 0 END AS size, depth = len(digests) AS ends
+    FROM prefixes),
+nodes AS (
+    SELECT key, any_value(depth) AS depth, left(key, 32 * (any_value(depth) - 1)) AS parent,
+        min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), ''))
+            AS ends_sha256
+    FROM members GROUP BY key),
+children AS (
+    SELECT parent AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
+counted AS (
+    SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (key)),
+above AS (
+    SELECT left(key, (32 * unnest(range(depth + 1)))::BIGINT) AS key, n_children = 0 AS leaf,
+        (n_convs - 1) * size AS saved
+    FROM counted),
+below AS (
+    SELECT key, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+    FROM above GROUP BY key)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+    saved_tokens, n.ends_sha256
+FROM counted n JOIN below USING (key) LEFT JOIN nodes p ON n.depth > 0 AND p.key = n.parent
+"""

@@ -1,0 +1,172 @@
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fieldtempo.llm import prefix_trie as pt
+from tests.llm import frames
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def named(role, text):
+    return hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()[:32]
+
+
+def own_turns(rows):
+    """The turns (role, text) of each conversation in order."""
+    found = defaultdict(list)
+    for conv_id, turn, role, text in rows:
+        if conv_id is not None:
+            found[conv_id].append((turn is not None, turn or 0, role or "", text or ""))
+    return {
+        c: [t[2:] for t in sorted(turns, key=lambda t: (*t[:2], named(*t[2:])))] for c, turns in found.items()
+    }
+
+
+def rebuilt(own):
+    found = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        base = c - (c % 5 if c >= 0 else -(-c % 5))
+        found[c] = own.get(base, [])[:h] + turns[h:]
+    return found
+
+
+def nodes(sequences):
+    """The trie by its definition."""
+    members = defaultdict(list)
+    for c, turns in sequences.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    children = defaultdict(list)
+    for prefix in members:
+        if prefix:
+            children[prefix[:-1]].append(prefix)
+
+    below = {}
+    for prefix in sorted(members, key=len, reverse=True):
+        leaves = sum(below[c][0] for c in children[prefix]) or 1
+        own = (len(members[prefix]) - 1) * len(prefix[-1][1].encode()) if prefix else 0
+        below[prefix] = leaves, own + sum(below[c][1] for c in children[prefix])
+    for prefix, ids in members.items():
+        ends = sorted(c for c in ids if len(sequences[c]) == len(prefix))
+        yield (
+            min(ids),
+            len(prefix),
+            min(members[prefix[:-1]]) if prefix else None,
+            len(ids),
+            len(children[prefix]),
+            *below[prefix],
+            hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest(),
+        )
+
+
+def same(found, expected):
+    assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
+
+
+def drawn(seed, n=120):
+    """Conversations that share beginnings, some of them equal, one beginning in a third of them."""
+    draw = random.Random(seed)
+    pool = [[("user", draw.choice("abc") * draw.randint(0, 3)) for _ in range(40)] for _ in range(6)]
+    found = {}
+    for c in range(n):
+        turns = list(pool[0] if draw.random() < 0.4 else draw.choice(pool))[: draw.choice([0, 1, 2, 5, 40])]
+        for _ in range(draw.choice([0, 0, 1, 3])):
+            turns.append((draw.choice("ua"), draw.choice("xyzé")))
+        found[draw.randint(0, 1 << 40) if draw.random() < 0.5 else c] = turns
+    return found
+
+
+def frame(spark, sequences):
+    rows = [
+        (c, [(named(role, text), len(text.encode())) for role, text in turns])
+        for c, turns in sequences.items()
+    ]
+    return spark.createDataFrame(rows, "conv_id bigint, turns array<struct<digest:string,size:bigint>>")
+
+
+@pytest.mark.parametrize("block_turns", [1, 40, 100_000])
+@pytest.mark.parametrize("seed", range(3))
+def test_nodes_match_brute_force_however_blocks_are_cut(spark, monkeypatch, seed, block_turns):
+    monkeypatch.setattr(pt, "BLOCK_TURNS", block_turns)
+    sequences = drawn(seed, 120 if block_turns > 1 else 25)
+    same(pt.trie_nodes(frame(spark, sequences)).collect(), nodes(sequences))
+
+
+def test_a_group_of_equal_conversations_is_cut_and_put_together(spark, monkeypatch):
+    monkeypatch.setattr(pt, "BLOCK_TURNS", 200)
+    sequences = {c: [("user", "hello"), ("bot", "hi")] for c in range(900)}
+    sequences |= {1000 + c: [("user", "hello"), ("bot", "hi"), ("user", str(c))] for c in range(300)}
+    turns = frame(spark, sequences)
+    largest = pt.sorted_blocks(pt.keyed(turns)).groupBy("block").count().agg(F.max("count")).first()[0]
+    assert largest < 400
+    same(pt.trie_nodes(turns).collect(), nodes(sequences))
+
+
+def test_one_long_and_turnless_conversations(spark):
+    sequences = {1: [("u", str(n)) for n in range(3000)], 2: [], 3: [], 4: [("u", "0")]}
+    same(pt.trie_nodes(frame(spark, sequences)).collect(), nodes(sequences))
+    same(pt.trie_nodes(frame(spark, {7: [], 9: []})).collect(), nodes({7: [], 9: []}))
+
+
+AWKWARD = [
+    (10, 1, "user", "first"),
+    (10, 2, "bot", "second"),
+    (10, None, None, None),
+    (11, 1, "user", "first"),
+    (11, 1, "user", "first"),
+    (11, 1, "bot", "of the same number"),
+    (12, 1, "", ""),
+    (12, 2, "user", None),
+    (13, 1, "use", "rx"),
+    (13, 2, "user", "x"),
+    (14, 9, "user", "ü" * 30_000),
+    (17, 1, "user", "its base is absent"),
+    (None, 1, "user", "no conversation"),
+    (-3, 1, "user", "negative"),
+    (-5, 1, "user", "negative"),
+    *[(20, n, "user", f"turn {n}") for n in range(12)],
+    *[(c, n, "user", f"turn {n}") for c in range(21, 25) for n in range(c - 15)],
+]
+
+
+def test_awkward_rows(spark):
+    rows = table(spark, AWKWARD)
+    clashing = rows.select("*", *[F.lit(1).alias(n) for n in ("base", "head", "turns", "key", "id", "lcp")])
+    same(pt.conversation_trie(clashing).collect(), nodes(rebuilt(own_turns(AWKWARD))))
+    same(pt.conversation_trie(clashing.repartition(5)).collect(), nodes(rebuilt(own_turns(AWKWARD))))
+
+
+def test_an_empty_table_has_no_node(spark):
+    assert pt.conversation_trie(table(spark, [])).collect() == []
+    assert pt.conversation_trie(table(spark, [(None, 1, "user", "x")])).collect() == []
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 64, 100])
+def test_range_minima_and_extents_match_a_scan(size):
+    values = np.random.default_rng(size).integers(0, 5, size)
+    low = pt.RangeMinimum(values)
+    first, last = (x.ravel() for x in np.meshgrid(np.arange(size), np.arange(size)))
+    some = first <= last
+    first, last = first[some], last[some]
+    assert low.over(first, last).tolist() == [values[a : b + 1].min() for a, b in zip(first, last)]
+    start, least = (x.ravel() for x in np.meshgrid(np.arange(size), np.arange(6)))
+    for s, d, left, right in zip(start, least, low.left(start, least), low.right(start, least)):
+        assert right == next((j for j in range(s, size - 1) if values[j + 1] < d), size - 1)
+        assert left == next((j for j in range(s, 0, -1) if values[j] < d), 0)
+
+
+def test_shared_turns():
+    a, b = b"a" * 16, b"b" * 16
+    assert [pt.shared_turns(x, y) for x, y in [(b"", a), (a, a + b), (a + b, a + a), (b + a, a + a)]] == [0, 1, 1, 0]
+    assert pt.shared_turns(a * 9 + b * 5, a * 9 + b * 3 + a) == 12
