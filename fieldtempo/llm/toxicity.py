@@ -1,130 +1,134 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Features of a text are its lower-case words and their beginnings of four and five letters, so that
-inflected forms meet. All features of a bounded sample of labelled documents are indexed, with their
-number of occurrences; how many documents hold a feature is counted over all documents. Features whose
-chi-square against the label is not above what chance gives the best of so many weigh little, but are
-in all vectors and norms. Features that no example has are counted by hash: they add to the norm of a
-query, and two of them may share a counter. The sampled documents lie in blocks of similar ones. A
-query sums the largest weights of its features in each block to an upper bound, scores the best block
-exactly, then all blocks that can still reach the k-th best. Votes are weighted by a power of the
-similarity over the distance, so that a copy of an example decides, and by how much a class is
-under-represented in the sample, and smoothed with the base rate; the neighbours are evidence.
-
-Labels come only from documents whose CRC-32 remainder is not that of the held-out fold. Null and
-empty texts, and those that share no feature with an example, get the base rate. Without any labels every score
-is 0. Null ids are never learned from and count as not held out. Copies get equal scores. Further
-columns are carried whatever their names.
+Features of a text are its lower-case words cut to their first letters, so that inflected forms meet. A
+feature weighs what its logarithmic frequency in the text, its rarity among all documents, and its
+chi-square against the label among the examples make of it; nothing is cut off, but what says nothing
+about the label, as all that no example has, weighs nothing. The examples lie in blocks of similar
+ones. For every feature the index has its largest weight in each block, and behind it the postings of
+that block. A query sums the largest weights to an upper bound for each block, scores the blocks of the
+highest bounds exactly, and then those whose bound reaches the k-th best; the postings of the others are
+never touched. Votes are weighted by a power of the similarity over the distance, so that a copy of an
+example decides, and by how much a class is under-represented in the sample, and smoothed with the base
+rate; the neighbours are evidence.
+
+Labels come only from documents whose CRC-32 remainder is not that of the held-out fold. The sample is
+bounded in documents and bytes. Null and empty texts, and those that share no feature with an example,
+get the base rate. Without any labels every score is 0. Null ids are never learned from and count as not
+held out. Of several texts of one id the one of the smallest SHA-256 is learned from, and an id that is
+labelled both ways is an example of each. Copies get equal scores. Further columns are carried whatever
+their names.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtempo.llm.sampling import bounded_sample, remainder
 
-#: Labelled documents of each class to learn from; the bound of the sample.
+#: Labelled documents of each class to learn from, and bytes of their texts: the bounds of the sample.
 PER_CLASS = 2000
-#: Weight of features whose chi-square may be chance.
-WEAK = 0.01
-#: Counters of documents for the features that no example has.
-COUNTERS = 1 << 20
-PREFIXES = (4, 5)
+CLASS_BYTES = 16 << 20
+#: Longer texts are no examples, so that a few do not fill the sample.
+EXAMPLE_BYTES = 1 << 18
+#: Letters of a word that count.
+LETTERS = 5
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 32
 #: Weight of the base rate in a vote, in neighbours of similarity 1.
 SMOOTHING = 0.25
 #: Power of the similarity in a vote: neighbours that share little hardly count.
 CLOSENESS = 3
 #: Added to the distance a vote is divided by: little, so that an exact copy outvotes near ones.
 DISTANCE = 1e-6
-#: Blocks that are scored one by one; more are scored by feature.
-FEW_BLOCKS = 4
+#: Blocks that are scored before any is left out.
+FIRST_BLOCKS = 4
 EVIDENCE = 5
 HELD_OUT_OF = 5
-#: Distinct words that a task remembers.
-REMEMBERED_WORDS = 100_000
-WORD = regex.compile(r"\p{L}+")
+#: Directions in which examples are compared when they are dealt to blocks.
+DIRECTIONS = 64
+WORD = re.compile(r"[^\W\d_]+")
 
 EVIDENCE_TYPE = "array<struct<doc_id:bigint,similarity:double,toxic:int>>"
 
 
-def word_features(word: str) -> list[str]:
-    """The word itself, and its beginnings, marked as such."""
-    return [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) >= n)]
-
-
 def features(text: str | None) -> Counter:
     """Features of a text, and how often they occur."""
-    counts: Counter = Counter()
-    for word, n in Counter(WORD.findall((text or "").lower())).items():
-        for feature in word_features(word):
-            counts[feature] += n
-    return counts
-
-
-def numbered(vocabulary: dict[str, int]):
-    """A function from text to the numbers of its features, one for each occurrence of one, that
-    remembers words. Features outside the vocabulary have the numbers of their counters."""
-    words: dict[str, list[int]] = {}
-    known = len(vocabulary)
-
-    def numbers(text: str | None) -> np.ndarray:
-        if len(words) > REMEMBERED_WORDS:
-            words.clear()
-        found: list[int] = []
-        for word in WORD.findall((text or "").lower()):
-            some = words.get(word)
-            if some is None:
-                some = words[word] = [
-                    vocabulary[f] if f in vocabulary else known + zlib.crc32(f.encode()) % COUNTERS
-                    for f in word_features(word)
-                ]
-            found += some
-        return np.array(found, np.int64)
-
-    return numbers
+    return Counter(word[:LETTERS] for word in WORD.findall((text or "").lower()))
+
+
+def numbered(text: str | None, vocabulary: dict[str, int]) -> tuple[np.ndarray, bool]:
+    """The numbers of a text's features, one for each occurrence of one that the vocabulary has, and
+    whether the text has any word."""
+    found = WORD.findall((text or "").lower())
+    find = vocabulary.get
+    numbers = np.array([find(word[:LETTERS], -1) for word in found], np.int64)
+    return numbers[numbers >= 0], bool(found)
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The places from each start to its end, one span after the other."""
     sizes = ends - starts
-    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    shifted = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    shifted += np.arange(len(shifted))
+    return shifted
+
+
+def similar_order(rows: np.ndarray) -> np.ndarray:
+    """An order of the rows in which neighbours are alike: halved again and again across the direction
+    in which they differ most."""
+    done: list[np.ndarray] = []
+    left = [np.arange(len(rows))]
+    while left:
+        part = left.pop()
+        if len(part) <= BLOCK:
+            done.append(part)
+            continue
+        centred = rows[part] - rows[part].mean(0)
+        _, directions = np.linalg.eigh(centred.T @ centred)
+        along = part[np.lexsort((part, np.round(centred @ directions[:, -1], 9)))]
+        # Whole blocks to the left, so that only the last one is not full.
+        half = max(1, round(len(part) / 2 / BLOCK)) * BLOCK
+        left += [along[half:], along[:half]]
+    return np.concatenate([np.empty(0, np.int64), *done])
 
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors in blocks: the entries by example and by feature, and by feature its largest
-    weight in each block. ``idf`` is what an occurrence of each feature weighs."""
+    """Unit vectors of the examples in blocks. Entries are pairs of a feature and a block that has it,
+    by feature: the largest weight, and where the postings begin. ``weight`` is what each feature
+    weighs, ``votes`` what each example's class does."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray
     labels: np.ndarray
     ids: list[int | None]
-    weights: np.ndarray
+    votes: np.ndarray
     prior: float
-    #: By example: example, feature, weight; where each block begins.
-    entries: tuple[np.ndarray, np.ndarray, np.ndarray]
+    #: By feature: its first entry.
     begins: np.ndarray
-    #: By feature: where each begins; example or block, weight.
-    postings: tuple[np.ndarray, np.ndarray, np.ndarray]
-    largest: tuple[np.ndarray, np.ndarray, np.ndarray]
+    #: By entry: block, largest weight, first posting.
+    blocks: np.ndarray
+    largest: np.ndarray
+    firsts: np.ndarray
+    #: By posting: example, weight.
+    examples: np.ndarray
+    values: np.ndarray
 
     @staticmethod
-    def vector(found: list[int] | np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        numbers, counts = np.unique(np.array(found, np.int64), return_counts=True)
-        values = counts * idf[numbers]
+    def vector(found: list[int] | np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        numbers, counts = np.unique(np.asarray(found, np.int64), return_counts=True)
+        values = (1 + np.log(counts)) * weight[numbers]
         return numbers, values / (np.linalg.norm(values) or 1.0)
 
     @classmethod
@@ -138,102 +142,94 @@ class BlockMaxIndex:
         sampled: dict[int, int],
         relevance: np.ndarray | None = None,
     ) -> BlockMaxIndex:
-        """``df`` and ``relevance``, a factor of the weights, may go on with those of the counters."""
-        idf = np.log((total + 1) / (np.array(df, float) + 1)) + 1
+        """``relevance`` is a factor of the weights."""
+        weight = np.log((total + 1) / (np.array(df, float) + 1)) + 1
         if relevance is not None:
-            idf = idf * relevance
-        vectors = [(i, label, *cls.vector(found, idf)) for i, label, found in examples]
-        # Neighbours in the order of their heaviest features share blocks.
-        vectors.sort(
-            key=lambda v: (v[2][np.argsort(-v[3], kind="stable")].tolist(), v[0] is None, v[0] or 0)
-        )
-        labels = np.array([v[1] for v in vectors], int)
+            weight = weight * relevance
+        vectors = [cls.vector(found, weight) for _, _, found in examples]
+        # Random signs keep angles, so a few sums are enough to tell what is alike.
+        signs = np.random.default_rng(1).choice([-1.0, 1.0], (len(vocabulary), DIRECTIONS))
+        rows = np.array([values @ signs[numbers] for numbers, values in vectors])
+        order = similar_order(rows.reshape(len(vectors), DIRECTIONS)).tolist()
+        labels = np.array([examples[n][1] for n in order], int)
         known = sum(class_sizes.values())
         # Each class stands for as many labels as were not sampled.
-        weight = {
+        votes = {
             label: class_sizes[label] / known * sum(sampled.values()) / n
             for label, n in sampled.items()
         }
-        sizes = np.array([len(v[2]) for v in vectors], int)
-        example = np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)
-        number = np.concatenate([np.empty(0, np.int32), *[v[2].astype(np.int32) for v in vectors]])
-        value = np.concatenate([np.empty(0), *[v[3] for v in vectors]])
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        begins = np.append(ends[:-1][::BLOCK], ends[-1])
-        order = np.argsort(number, kind="stable")
-        by_feature = np.searchsorted(number[order], np.arange(len(vocabulary) + 1))
-        block = example[order] // BLOCK
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(number[order]) != 0) | (np.diff(block) != 0)
+        sizes = [len(vectors[n][0]) for n in order]
+        example = np.repeat(np.arange(len(order)), sizes)
+        feature = np.concatenate([np.empty(0, np.int64), *[vectors[n][0] for n in order]])
+        value = np.concatenate([np.empty(0), *[vectors[n][1] for n in order]])
+        by_feature = np.argsort(feature, kind="stable")
+        feature, example, value = feature[by_feature], example[by_feature], value[by_feature]
+        new = np.ones(len(feature), bool)
+        new[1:] = (np.diff(feature) != 0) | (np.diff(example // BLOCK) != 0)
         first = np.flatnonzero(new)
-        most = np.maximum.reduceat(value[order], first) if len(first) else np.empty(0)
         return cls(
             vocabulary,
-            idf,
+            weight,
             labels,
-            [v[0] for v in vectors],
-            np.array([weight[x] for x in labels.tolist()], float),
+            [examples[n][0] for n in order],
+            np.array([votes[x] for x in labels.tolist()], float),
             class_sizes.get(1, 0) / known if known else 0.0,
-            (example, number, value),
-            begins,
-            (by_feature, example[order], value[order]),
-            (np.searchsorted(first, by_feature), block[first], most),
+            np.searchsorted(feature[first], np.arange(len(vocabulary) + 1)),
+            example[first] // BLOCK,
+            np.maximum.reduceat(value, first) if len(first) else np.empty(0),
+            np.append(first, len(feature)),
+            example,
+            value,
         )
 
-    @staticmethod
-    def _summed(
-        lists: tuple[np.ndarray, np.ndarray, np.ndarray],
-        numbers: np.ndarray,
-        values: np.ndarray,
-        length: int,
-    ) -> np.ndarray:
-        begins, places, weights = lists
-        starts, ends = begins[numbers], begins[numbers + 1]
+    def _exact(self, entries: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """The sums of the postings of some entries by example."""
+        starts, ends = self.firsts[entries], self.firsts[entries + 1]
         at = _spans(starts, ends)
-        return np.bincount(places[at], weights[at] * np.repeat(values, ends - starts), length)
-
-    def _exact(self, block: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        part = slice(self.begins[block], self.begins[block + 1])
-        examples, features, weights = (x[part] for x in self.entries)
-        scores = np.bincount(examples - block * BLOCK, query[features] * weights)
-        hit = np.flatnonzero(scores > 0)
-        return hit + block * BLOCK, scores[hit]
+        weights = self.values[at] * np.repeat(query, ends - starts)
+        return np.bincount(self.examples[at], weights, len(self.labels))
 
     def nearest(
         self, found: list[int] | np.ndarray, k: int = NEIGHBOURS
     ) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and exact cosines of the k nearest examples, ties to the smaller number."""
-        numbers, values = self.vector(found, self.idf)
-        inside = numbers < len(self.vocabulary)
-        numbers, values = numbers[inside], values[inside]
-        bounds = self._summed(self.largest, numbers, values, len(self.begins) - 1)
-        query = np.zeros(len(self.vocabulary))
-        query[numbers] = values
-        first = int(bounds.argmax())
-        best, scores = self._exact(first, query)
-        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
-        left = np.flatnonzero((bounds > 0) & (bounds >= least - 1e-9))
-        left = left[left != first]
-        if len(left) > FEW_BLOCKS:
-            scores = self._summed(self.postings, numbers, values, len(self.labels))
-            best = np.flatnonzero(scores > 0)
-            scores = scores[best]
-        else:
-            more = [(best, scores), *[self._exact(b, query) for b in left.tolist()]]
-            best, scores = (np.concatenate(x) for x in zip(*more))
+        return self.searched(found, k)[:2]
+
+    def searched(
+        self, found: list[int] | np.ndarray, k: int = NEIGHBOURS
+    ) -> tuple[np.ndarray, np.ndarray, int]:
+        """The same, and how many blocks were scored."""
+        numbers, values = self.vector(found, self.weight)
+        starts, ends = self.begins[numbers], self.begins[numbers + 1]
+        entries, query = _spans(starts, ends), np.repeat(values, ends - starts)
+        blocks = self.blocks[entries]
+        n_blocks = -(-len(self.labels) // BLOCK)
+        bounds = np.bincount(blocks, self.largest[entries] * query, n_blocks)
+        chosen = np.zeros(n_blocks, bool)
+        few = min(max(FIRST_BLOCKS, -(-k // BLOCK)), n_blocks)
+        chosen[np.argpartition(bounds, n_blocks - few)[n_blocks - few :]] = True
+        some = chosen[blocks]
+        scores = self._exact(entries[some], query[some])
+        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
+        more = (bounds > 0) & (bounds >= least - 1e-9) & ~chosen
+        if more.any():
+            some = more[blocks]
+            scores += self._exact(entries[some], query[some])
+        best = np.flatnonzero(scores > 0)
+        scores = scores[best]
         # Rounded, so that equal cosines summed in another order stay ties.
         rounded = np.round(scores, 12)
         if len(best) > k:
             near = np.flatnonzero(rounded >= np.partition(rounded, len(best) - k)[len(best) - k])
             best, scores, rounded = best[near], scores[near], rounded[near]
         order = np.lexsort((best, -rounded))[:k]
-        return best[order], np.minimum(scores[order], 1.0)
+        return best[order], np.minimum(scores[order], 1.0), int((chosen | more).sum())
 
     def score(self, found: np.ndarray) -> tuple[float, list[dict]]:
         if not len(found) or not len(self.labels):
             return self.prior, []
         best, similar = self.nearest(found)
-        votes = similar**CLOSENESS / (1 - similar + DISTANCE) * self.weights[best]
+        votes = similar**CLOSENESS / (1 - similar + DISTANCE) * self.votes[best]
         toxic = float((votes * self.labels[best]).sum())
         score = (toxic + SMOOTHING * self.prior) / (float(votes.sum()) + SMOOTHING)
         evidence = [
@@ -243,9 +239,8 @@ class BlockMaxIndex:
         return min(1.0, max(0.0, score)), evidence
 
     def scorer(self):
-        """A function from text to score and evidence that remembers words."""
-        numbers = numbered(self.vocabulary)
-        return lambda text: self.score(numbers(text) if len(self.labels) else np.empty(0, int))
+        """A function from text to score and evidence."""
+        return lambda text: self.score(numbered(text, self.vocabulary)[0])
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
@@ -258,9 +253,25 @@ def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, i
     )
     sizes = {row["toxic"]: row["count"] for row in learn.groupBy("toxic").count().collect()}
     sample = bounded_sample(learn, "toxic", PER_CLASS)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    joined = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "toxic"])
-    return joined, sizes
+    text = F.coalesce("text", F.lit("")).alias("text")
+    short = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).where(
+        F.octet_length("text") <= EXAMPLE_BYTES
+    )
+    one = (
+        short.join(F.broadcast(sample), "doc_id")
+        .groupBy("doc_id", "toxic")
+        .agg(F.min(F.struct(F.sha2("text", 256), "text")).alias("least"))
+        .select("doc_id", "toxic", "least.text")
+    )
+    # At most PER_CLASS rows of a class stand here.
+    hashed = F.xxhash64(F.lit(2), "doc_id")
+    so_far = Window.partitionBy("toxic").orderBy(hashed, "doc_id")
+    return (
+        one.withColumn("bytes", F.sum(F.octet_length("text")).over(so_far))
+        .where(F.col("bytes") <= CLASS_BYTES)
+        .select("doc_id", "toxic", "text"),
+        sizes,
+    )
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,19 +289,18 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many documents each feature, and each counter, occurs, and how many have any."""
+    """In how many documents each feature occurs, and how many have any word."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    places = len(vocabulary) + COUNTERS
+    places = len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = numbered(shared.value)
+        vocabulary = shared.value
         df = np.zeros(places + 1, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found = numbers(text)
-                if len(found):
-                    df[found := np.unique(found)] += 1
-                    df[places] += 1
+                found, any_word = numbered(text, vocabulary)
+                df[np.unique(found)] += 1
+                df[places] += any_word
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held])], names=["place", "n"])
 
@@ -301,6 +311,7 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
         .agg(F.sum("n").alias("n"))
         .toArrow()
     )
+    shared.destroy()
     df = np.zeros(places + 1, np.int64)
     df[counted["place"].to_numpy()] = counted["n"].to_numpy()
     return df[:places], int(df[places])
@@ -316,47 +327,50 @@ def fit(docs: DataFrame, labels: DataFrame) -> BlockMaxIndex:
         )
         .toArrow()
         .sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+        .combine_chunks()
     )
-    vocabulary: dict[str, int] = {}
-    examples: list[tuple[int, int, np.ndarray]] = []
     # Empty texts have no features and say nothing about any.
-    members: Counter = Counter()
-    for n in range(rows.num_rows):
-        names = rows["features"][n].as_py()
-        if names:
-            found = np.array([vocabulary.setdefault(f, len(vocabulary)) for f in names], np.int64)
-            toxic = rows["toxic"][n].as_py()
-            members[toxic] += 1
-            counts = np.array(rows["counts"][n].as_py())
-            examples.append((rows["doc_id"][n].as_py(), toxic, np.repeat(found, counts)))
-    if not examples:
+    rows = rows.filter(pc.greater(pc.list_value_length(rows["features"]), 0))
+    if not rows.num_rows:
         return BlockMaxIndex.build({}, [], 0, [], sizes, {})
+    lists = rows["features"].combine_chunks()
+    names = lists.flatten().dictionary_encode()
+    vocabulary = {name: n for n, name in enumerate(names.dictionary.to_pylist())}
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy())[:-1]
+    found = np.split(names.indices.to_numpy().astype(np.int64), ends)
+    counts = np.split(rows["counts"].combine_chunks().flatten().to_numpy(), ends)
+    toxic = rows["toxic"].to_pylist()
+    examples = [
+        (i, label, np.repeat(numbers, n))
+        for i, label, numbers, n in zip(rows["doc_id"].to_pylist(), toxic, found, counts)
+    ]
     df, total = document_frequencies(docs, vocabulary)
-    relevance = np.full(len(df), WEAK)
-    relevance[_telling(examples, members, len(vocabulary))] = 1.0
-    return BlockMaxIndex.build(vocabulary, df, total, examples, sizes, members, relevance)
+    return BlockMaxIndex.build(
+        vocabulary,
+        df,
+        total,
+        examples,
+        sizes,
+        Counter(toxic),
+        _relevance(found, np.array(toxic), len(vocabulary)),
+    )
 
 
-def _telling(
-    examples: list[tuple[int, int, np.ndarray]], members: dict[int, int], known: int
-) -> np.ndarray:
-    """Features whose chi-square against the label is above what chance gives the best of so many."""
-    positive, negative = members.get(1, 0), members.get(0, 0)
+def _relevance(found: list[np.ndarray], toxic: np.ndarray, known: int) -> np.ndarray:
+    """How much each feature tells of the label, from 0 to 1: its chi-square beside the largest that
+    chance gives among so many features, squared. With labels of one kind all tell the same."""
+    positive, negative = int((toxic == 1).sum()), int((toxic == 0).sum())
     if not positive or not negative:
-        return np.empty(0, int)
-    total = positive + negative
+        return np.ones(known)
     held = np.zeros((2, known))
-    for _, toxic, found in examples:
-        held[toxic, np.unique(found)] += 1
+    for label, numbers in zip(toxic.tolist(), found):
+        held[label, numbers] += 1
     b, a = held
-    tested = np.flatnonzero((a + b >= 2) & (a + b < total))
-    a, b = a[tested], b[tested]
-    chi = (
-        total
-        * (a * (negative - b) - b * (positive - a)) ** 2
-        / ((a + b) * (total - a - b) * positive * negative)
-    )
-    return tested[chi > 2 * math.log(max(2, len(tested)))]
+    total = positive + negative
+    spread = (a + b) * (total - a - b)
+    chi = total * (a * (negative - b) - b * (positive - a)) ** 2 / positive / negative
+    chi = np.divide(chi, spread, out=np.zeros(known), where=spread > 0)
+    return (chi / (chi + 2 * math.log(max(2, known)))) ** 2
 
 
 def score_texts(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
