@@ -7,11 +7,14 @@ seeded choice of documents, holding 0.37 of its words, once more.
 
 The choice takes the documents in the order of a seeded hash until their words reach the quota. The
 hash at which that happens is found by refining a histogram of the hash, three times by a factor of
-4096, so no source is sorted or sent to one task, and the words taken are within half a document of
-the target (of documents whose hashes share 36 bits, all or none are taken).
+4096, so no source is sorted or sent to one task. Rows that share the last hash, as repeated rows do,
+are dealt: as many of them are taken as come nearest to the target. They are counted off by the tasks
+that wrote them, so a group of any size is spread. The words taken are within half a document of the
+target.
 
 Null text has no words. Null is a source of its own, the last. A source without words has target 0
-and gives nothing. Repeated rows share their hash and are taken alike. An empty table gives no rows.
+and gives nothing. Of repeated rows some may be taken once more than the others; which ones makes no
+difference to the rows of the result. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -80,8 +83,9 @@ def source_targets(digest: DataFrame, budget: float, epochs: float) -> list[tupl
 def mixing_plan(
     digest: DataFrame, budget: float = BUDGET, epochs: float = EPOCHS
 ) -> tuple[DataFrame, int]:
-    """A row for every source: ``source_size``, ``target``, ``whole`` repetitions, and ``below``,
-    the hash under which documents are taken once more; and the number of sources.
+    """A row for every source: ``source_size``, ``target``, ``whole`` repetitions, ``below``, the hash
+    under which documents are taken once more, and ``rest``, the words that those of this hash are to
+    give; and the number of sources.
 
     ``digest`` has ``source``, ``size`` and ``hash``, and is read several times.
     """
@@ -129,37 +133,65 @@ def mixing_plan(
             )
         )
         state = written(first, "mixing")
-    # The last cell is taken if that comes nearer to the quota.
-    below = state.select(
-        F.col("source").alias("of"),
-        (F.col("prefix") + (2 * F.col("quota") >= F.col("size")).cast("bigint")).alias("below"),
+    edge = state.select(F.col("source").alias("of"), F.col("prefix").alias("below"), "quota")
+    plan = plan.drop("quota").join(
+        small(edge, len(rows)), F.col("source").eqNullSafe(F.col("of")), "left"
     )
-    plan = plan.join(
-        small(below, len(rows)), F.col("source").eqNullSafe(F.col("of")), "left"
-    ).select(
+    zero = F.lit(0).cast("bigint")
+    plan = plan.select(
         "source",
         "source_size",
         "target",
         "whole",
-        F.coalesce("below", F.lit(0).cast("bigint")).alias("below"),
+        F.coalesce("below", zero).alias("below"),
+        F.coalesce("quota", F.lit(0.0)).alias("rest"),
     )
     return written(plan, "mixing"), len(rows)
 
 
+def _dealt(edge: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The rows of each source's last hash with ``more``, 1 for those taken once more.
+
+    ``names`` are the columns of source, order, size, rest, row and the result. Rows of one order are
+    alike; ``row`` tells the task that numbered them.
+    """
+    source, order, size, rest, row, more = names
+    part, of_part, n, most, *of = free_names(
+        [*edge.columns, more], "part", "of_part", "n", "most", "of_source", "of_order", "of_size"
+    )
+    parted = edge.withColumn(part, F.shiftright(row, 33))
+    counted = parted.groupBy(source, order, size, rest, part).agg(F.count(F.lit(1)).alias(n))
+    # Few orders share a hash, and each has a row for every task that has rows of it.
+    before = (
+        Window.partitionBy(source).orderBy(order, size, part).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    room = F.col(rest) - F.coalesce(F.sum(F.col(n) * F.col(size)).over(before), F.lit(0))
+    quotas = counted.select(
+        *[F.col(c).alias(name) for c, name in zip((source, order, size), of)],
+        F.col(part).alias(of_part),
+        # The nearest number of rows; what a size of 0 adds makes no difference.
+        F.floor(room / F.greatest(F.col(size), F.lit(1)) + 0.5).alias(most),
+    )
+    place = F.row_number().over(Window.partitionBy(source, order, size, part).orderBy(row))
+    same = [F.col(c).eqNullSafe(F.col(name)) for c, name in zip((source, order, size, part), (*of, of_part))]
+    return (
+        parted.withColumn(more, place)
+        .join(quotas, same)
+        .select(*edge.columns, (F.col(more) <= F.col(most)).cast("bigint").alias(more))
+    )
+
+
 def _digest(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         words(F.col("text")).alias("size"),
         seeded(seed).alias("hash"),
+        F.xxhash64(F.lit(seed + 1), "doc_id", "text").alias("order"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
-def _repetitions(hashed: Column, epochs: float) -> Column:
-    extra = (hashed < F.col("below")).cast("bigint")
-    return F.least(F.col("whole") + extra, F.lit(int(epochs)).cast("bigint"))
-
-
 def mix(
     docs: DataFrame, seed: int = SEED, budget: float = BUDGET, epochs: float = EPOCHS
 ) -> DataFrame:
@@ -167,12 +199,13 @@ def mix(
     digest = written(_digest(docs, seed), "mixing")
     plan, sources = mixing_plan(digest, budget, epochs)
     plan = small(plan.withColumnRenamed("source", "of"), sources)
-    return digest.join(plan, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * _repetitions(F.col("hash"), epochs)).alias("taken"),
+    rows = digest.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    on_edge = F.col("hash") == F.col("below")
+    edge = _dealt(rows.where(on_edge), ("source", "order", "size", "rest", "row", "more"))
+    others = rows.where(~on_edge).withColumn("more", (F.col("hash") < F.col("below")).cast("bigint"))
+    times = F.least(F.col("whole") + F.col("more"), F.lit(int(epochs)).cast("bigint"))
+    return others.unionByName(edge).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken")
     )
 
 
@@ -182,22 +215,29 @@ def mixed_documents(
     """The documents of the mix, each as often as the mix repeats it, with the same columns."""
     digest = written(_digest(docs, seed), "mixing")
     plan, sources = mixing_plan(digest, budget, epochs)
-    of, whole, below, hashed, copy = free_names(
-        docs.columns, "of", "whole", "below", "hash", "copy"
-    )
+    inner = ("of", "whole", "below", "rest", "hash", "order", "size", "row", "more", "copy")
+    of, whole, below, rest, hashed, order, size, row, more, copy = free_names(docs.columns, *inner)
     plan = plan.select(
-        F.col("source").alias(of), F.col("whole").alias(whole), F.col("below").alias(below)
+        F.col("source").alias(of),
+        F.col("whole").alias(whole),
+        F.col("below").alias(below),
+        F.col("rest").alias(rest),
+    )
+    rows = docs.withColumn(hashed, seeded(seed)).join(
+        small(plan, sources), docs["source"].cast("string").eqNullSafe(F.col(of)), "inner"
     )
-    times = F.least(
-        F.col(whole) + (F.col(hashed) < F.col(below)).cast("bigint"),
-        F.lit(int(epochs)).cast("bigint"),
+    on_edge = F.col(hashed) == F.col(below)
+    edge = rows.where(on_edge).select(
+        *rows.columns,
+        F.xxhash64(F.lit(seed + 1), "doc_id", "text").alias(order),
+        words(F.col("text")).alias(size),
+        F.monotonically_increasing_id().alias(row),
     )
+    dealt = _dealt(written(edge, "mixing-edge"), (of, order, size, rest, row, more))
+    others = rows.where(~on_edge).withColumn(more, (F.col(hashed) < F.col(below)).cast("bigint"))
+    times = F.least(F.col(whole) + F.col(more), F.lit(int(epochs)).cast("bigint"))
     return (
-        docs.withColumn(hashed, seeded(seed))
-        .join(
-            small(plan, sources), docs["source"].cast("string").eqNullSafe(F.col(of)), "inner"
-        )
+        others.unionByName(dealt, allowMissingColumns=True)
         .withColumn(copy, F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
         .select(*docs.columns)
     )
-

@@ -75,3 +75,64 @@ def test_query_counts_whole_texts(spark):
         for r in spark.read.parquet(f"{folder}/documents.parquet").collect()
     }
     assert {r["doc_id"]: r["size"] for r in result} == words
+
+
+def repeated_rows():
+    """Repeated rows are two fifths of all, and the ids of some texts are null."""
+    rows = [(i, f"text {i} of ten words in all so it is", "en", "s") for i in range(600)]
+    return rows + [(77, "text 77 of ten words in all so it is", "en", "s")] * 400
+
+
+def brute_force(digest, plan):
+    """Words taken by source: all rows by hash and order, each taken while that comes nearer."""
+    taken = defaultdict(list)
+    for source, (whole, quota) in plan.items():
+        left = quota
+        own = sorted((r for r in digest if r["source"] == source), key=lambda r: (r["hash"], r["order"]))
+        for r in own:
+            more = int(r["size"] > 0 and left > 0 and 2 * left >= r["size"])
+            left -= r["size"]
+            taken[source].append((r["doc_id"], r["size"], r["size"] * min(2, whole + more)))
+    return taken
+
+
+@pytest.mark.parametrize("seed", [20, 21, 22, 23])
+def test_taken_matches_brute_force_where_rows_repeat(spark, seed):
+    rows = repeated_rows()
+    docs = frames.documents(spark, rows).repartition(5)
+    digest = mixing.written(mixing._digest(docs, seed), "test").collect()
+    total = sum(r["size"] for r in digest)
+    target = mixing.water_fill([total], [3.0], 1.5 * total, 2.0)[0]
+    expected = brute_force(digest, {"s": (int(target // total), target - target // total * total)})
+    result = mixing.mix(docs, seed=seed).collect()
+    assert sorted((r["doc_id"], r["size"], r["taken"]) for r in result) == sorted(expected["s"])
+    assert abs(sum(r["taken"] for r in result) - target) <= max(r["size"] for r in result) / 2
+    mixed = mixing.mixed_documents(frames.with_clashing_columns(docs), seed=seed)
+    times = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    words = defaultdict(int)
+    for r in result:
+        words[r["doc_id"]] += r["taken"]
+    assert {i: n * 10 for i, n in times.items()} == {i: n for i, n in words.items() if n}
+
+
+def test_taken_matches_brute_force_on_many_sources(spark):
+    digest = mixing.written(mixing._digest(frames.documents(spark, rows()), mixing.SEED), "test").collect()
+    targets = {s: (n, t) for s, n, t in mixing.source_targets(
+        spark.createDataFrame([(r["source"], r["size"]) for r in digest], "source string, size bigint"), 1.5, 2.0
+    )}
+    plan = {s: (int(t // n), t - t // n * n) for s, (n, t) in targets.items() if n}
+    expected = sorted(x for found in brute_force(digest, plan).values() for x in found)
+    result = mixing.mix(frames.documents(spark, rows())).collect()
+    assert sorted((r["doc_id"], r["size"], r["taken"]) for r in result if r["source_size"]) == expected
+
+
+def test_a_group_of_repeated_rows_is_counted_off_by_many_tasks(spark):
+    docs = frames.documents(spark, [(7, "one two three", "en", "s")] * 3000).repartition(8)
+    result = mixing.mix(docs)
+    assert result.agg({"taken": "sum"}).first()[0] == 13_500
+    edge = mixing.written(
+        mixing._digest(docs, 1).withColumns({"rest": mixing.F.lit(1500.0)}), "test"
+    )
+    dealt = mixing._dealt(edge, ("source", "order", "size", "rest", "row", "more"))
+    by_task = dealt.groupBy(mixing.F.shiftright("row", 33)).agg({"more": "sum"}).collect()
+    assert len(by_task) > 4 and sum(r[1] for r in by_task) == 500
