@@ -13,12 +13,15 @@ Sections are ordered, disjoint spans of characters, end exclusive. A token none
 lies in a section counts as outside; an empty section has no tokens. The counts of the sections and
 the tokens outside add up to the tokens of the document. Null text is encoded as empty, null sections
 count as none. Copies and repeated rows give a row each; an empty table gives no rows. Only the
-columns named are read, so further columns may have any name.
+columns named are read, so further columns may have any name. Very long runs of white space, on which
+the encoder's pattern would run out of stack, are cut out of the text beforehand; the ids are those of
+the whole text.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -32,6 +35,9 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 )
+#: What the pattern takes for white space, and the length from which a run of it is cut out.
+WHITE_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = 10_000
 SENTENCE_END = r"(?<=[.!?]\s)"
 RULES = ("first", "last", "most")
 SECTIONS_TYPE = "array<struct<start:bigint,`end`:bigint>>"
@@ -51,7 +57,19 @@ def encoder(path: str = RANKS) -> tuple[Callable[[str], list[int]], np.ndarray]:
     encoding = tiktoken.Encoding(
         "ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
     )
-    return encoding.encode_ordinary, sizes
+
+    def encode(text: str) -> list[int]:
+        ids: list[int] = []
+        at = 0
+        for run in re.finditer(f"{WHITE_SPACE}{{{LONG_RUN},}}", text):
+            # One match of the pattern, but for the last character where something follows it.
+            end = run.end() - (run.end() < len(text))
+            ids += encoding.encode_ordinary(text[at : run.start()])
+            ids += encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + encoding.encode_ordinary(text[at:])
+
+    return encode, sizes
 
 
 def token_spans(text: str, ids: list[int], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -92,3 +92,30 @@ def test_awkward_rows(spark):
     assert attribution.count_by_section(none, attribution.sentence_lengths(F.col("text"))).count() == 0
     with pytest.raises(ValueError):
         attribution.count_by_section(docs, F.lit(None), rule="none")
+
+
+SPACES = " \t\n\r\x0b\x0c\x1c\x85\xa0\u1680\u2003\u200b\u2028\u3000"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from(SPACES + "ab1'.é日"), max_size=60), st.integers(2, 6))
+def test_cutting_out_white_space_changes_no_id(text, length):
+    expected = attribution.encoder()[0](text)
+    before = attribution.LONG_RUN
+    attribution.LONG_RUN = length
+    try:
+        assert attribution.encoder()[0](text) == expected
+    finally:
+        attribution.LONG_RUN = before
+
+
+def test_very_long_white_space_is_counted(spark):
+    n = 10_000_000
+    texts = [" " * n, "a" + "\n" * n + "b. " + " " * n + "c", "x\t" * 1000]
+    docs = frames.documents(spark, list(enumerate(texts)))
+    rows = attribution.count_by_section(docs, attribution.sentence_lengths(F.col("text"))).collect()
+    by_id = {r["doc_id"]: r for r in rows}
+    assert by_id[0]["n_tokens"] == n == sum(by_id[0]["section_tokens"])
+    assert by_id[1]["n_tokens"] > n and by_id[1]["n_outside"] == 0
+    assert sum(by_id[1]["section_tokens"]) == by_id[1]["n_tokens"]
+    assert by_id[2]["n_tokens"] == len(attribution.encoder()[0](texts[2]))
