@@ -1,9 +1,11 @@
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fieldtempo.llm import language_id
 from fieldtempo.llm.entries import queries
@@ -101,6 +103,65 @@ def test_languages_without_spaces_are_learned(spark):
     assert found == {n: lang for n, _, lang in rows}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("abc", min_size=1, max_size=120), st.integers(1, 30))
+def test_a_word_summed_in_windows_has_the_sum_of_the_whole(word, window):
+    table = probabilities()
+    whole = language_id.Lattice([word], MATCHER).forward(table)[2][0]
+    assert language_id.long_total(word, table, MATCHER, window) == pytest.approx(whole, rel=1e-9)
+
+
+def test_stretches_are_cut_where_no_piece_reaches_across():
+    lattice = language_id.Lattice(["abcab", "", "cc"], MATCHER)
+    # A mark and what may follow it in one piece, or alone; an unknown letter is alone.
+    assert lattice.lengths.tolist() == [3, 1, 2, 1, 1, 1, 1]
+    assert lattice.word_of.tolist() == [0, 0, 0, 1, 2, 2, 2]
+
+
+def test_very_long_runs_are_scored_in_bounded_memory(spark):
+    rng = np.random.default_rng(3)
+    signs = "的一是不了人我在有他这中大来上"
+    rows = [(n, "".join(rng.choice(list(signs), 300)), "zh") for n in range(20)]
+    rows += [(n, "the cat sat on a mat and saw the dog", "en") for n in range(20, 40)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    model.probability = np.repeat(model.probability, 10, axis=1)
+    model.languages = [f"{lang}{n}" for lang in model.languages for n in range(10)]
+    predict = model.predictor()
+    tracemalloc.start()
+    predicted, _ = predict(["".join(rng.choice(list(signs), 2_000_000)), "the dog sat " * 200_000, "x" * 100_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert predicted[:2] == ["zh0", "en0"]
+    assert peak < 600e6
+
+
+def test_the_sample_holds_distinct_documents(spark):
+    rows = [(n, f"word{n} and more", "xx") for n in range(1000)]
+    rows += [(5, "word5 and more", "xx")] * 400 + [(n, "another text of the id", "xx") for n in range(0, 1000, 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = []
+    for parts in (1, 6):
+        model = language_id.fit(docs.repartition(parts, "text"))
+        found.append(model.probability)
+    assert (found[0] == found[1]).all()
+    ids = docs.where(language_id.remainder(F.col("doc_id"), 3) != 1).select("doc_id", "lang").distinct()
+    assert language_id.bounded_sample(ids, "lang", 250).distinct().count() == 250
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGE_BYTES", 2_000)
+    monkeypatch.setattr(language_id, "EXAMPLE_BYTES", 500)
+    seen = []
+    monkeypatch.setattr(
+        language_id, "_learned", lambda words, matcher, pieces: seen.append(words) or np.full(pieces, 1 / pieces)
+    )
+    rows = [(n, f"w{n} " * (40 if n % 9 else 4000), lang) for n in range(400) for lang in ("xx", "yy")]
+    language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(seen) == 2
+    for words in seen:
+        assert 0 < sum(len(word) * n for word, n in words) <= 2_000
+
+
 def test_matcher_finds_every_piece_of_the_public_vocabulary():
     matcher = language_id.PieceMatcher(vocabulary().pieces)
     text = "▁the▁información▁straße"
