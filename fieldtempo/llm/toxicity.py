@@ -4,10 +4,12 @@ Features of a text are its lower-case words cut to their first letters, so that
 feature weighs what its logarithmic frequency in the text, its rarity among all documents, and its
 chi-square against the label among the examples make of it; nothing is cut off, but what says nothing
 about the label, as all that no example has, weighs nothing. The examples lie in blocks of similar
-ones. For every feature the index has its largest weight in each block, and behind it the postings of
-that block. A query sums the largest weights to an upper bound for each block, scores the blocks of the
-highest bounds exactly, and then those whose bound reaches the k-th best; the postings of the others are
-never touched. Votes are weighted by a power of the similarity over the distance, so that a copy of an
+ones. For the features of the largest weights the index has the largest value in each block, and behind
+it the postings of that block; of the light ones, which have most of the postings, the norm that they
+have together in each example and, at most, in each block. A query sums largest values and the product
+of norms to an upper bound for each block, then sums the postings of the blocks of the highest bounds,
+and of those whose bound reaches the k-th best; the postings of the others are never touched. What can
+still be among the k nearest gets the light features' share, so the cosines are exact. Votes are weighted by a power of the similarity over the distance, so that a copy of an
 example decides, and by how much a class is under-represented in the sample, and smoothed with the base
 rate; the neighbours are evidence.
 
@@ -26,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,28 +54,30 @@ SMOOTHING = 0.25
 CLOSENESS = 3
 #: Added to the distance a vote is divided by: little, so that an exact copy outvotes near ones.
 DISTANCE = 1e-6
+#: Share of all postings that features with postings by block have; the other features are light.
+HEAVY_SHARE = 0.3
 #: Blocks that are scored before any is left out.
 FIRST_BLOCKS = 4
 EVIDENCE = 5
 HELD_OUT_OF = 5
 #: Directions in which examples are compared when they are dealt to blocks.
 DIRECTIONS = 64
-WORD = re.compile(r"[^\W\d_]+")
+#: The first letters of a word, the group, and the rest of it.
+WORD = re.compile(rf"([^\W\d_]{{1,{LETTERS}}})[^\W\d_]*")
 
 EVIDENCE_TYPE = "array<struct<doc_id:bigint,similarity:double,toxic:int>>"
 
 
 def features(text: str | None) -> Counter:
     """Features of a text, and how often they occur."""
-    return Counter(word[:LETTERS] for word in WORD.findall((text or "").lower()))
+    return Counter(WORD.findall((text or "").lower()))
 
 
 def numbered(text: str | None, vocabulary: dict[str, int]) -> tuple[np.ndarray, bool]:
     """The numbers of a text's features, one for each occurrence of one that the vocabulary has, and
     whether the text has any word."""
     found = WORD.findall((text or "").lower())
-    find = vocabulary.get
-    numbers = np.array([find(word[:LETTERS], -1) for word in found], np.int64)
+    numbers = np.fromiter(map(vocabulary.get, found, repeat(-1)), np.int64, len(found))
     return numbers[numbers >= 0], bool(found)
 
 
@@ -103,10 +108,15 @@ def similar_order(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([np.empty(0, np.int64), *done])
 
 
+def _kth(scores: np.ndarray, k: int) -> float:
+    """The k-th largest score; 0 if there are fewer."""
+    return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else 0.0
+
+
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors of the examples in blocks. Entries are pairs of a feature and a block that has it,
-    by feature: the largest weight, and where the postings begin. ``weight`` is what each feature
+    """Unit vectors of the examples in blocks. Entries are pairs of a heavy feature and a block that has
+    it, by feature: the largest value, and where the postings begin. ``weight`` is what each feature
     weighs, ``votes`` what each example's class does."""
 
     vocabulary: dict[str, int]
@@ -115,15 +125,23 @@ class BlockMaxIndex:
     ids: list[int | None]
     votes: np.ndarray
     prior: float
+    heavy: np.ndarray
     #: By feature: its first entry.
     begins: np.ndarray
-    #: By entry: block, largest weight, first posting.
+    #: By entry: block, largest value, first posting.
     blocks: np.ndarray
     largest: np.ndarray
     firsts: np.ndarray
-    #: By posting: example, weight.
+    #: By posting: example, value.
     examples: np.ndarray
     values: np.ndarray
+    #: By block: the largest norm of light features. By example: norm and first of its light features;
+    #: these and their values.
+    block_light: np.ndarray
+    light_norm: np.ndarray
+    light_begins: np.ndarray
+    light_features: np.ndarray
+    light_values: np.ndarray
 
     @staticmethod
     def vector(found: list[int] | np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,11 +180,20 @@ class BlockMaxIndex:
         example = np.repeat(np.arange(len(order)), sizes)
         feature = np.concatenate([np.empty(0, np.int64), *[vectors[n][0] for n in order]])
         value = np.concatenate([np.empty(0), *[vectors[n][1] for n in order]])
+        postings = np.bincount(feature, minlength=len(vocabulary))
+        by_weight = np.argsort(-weight, kind="stable")
+        heavy = np.zeros(len(vocabulary), bool)
+        heavy[by_weight] = np.cumsum(postings[by_weight]) <= HEAVY_SHARE * len(feature)
+        light = ~heavy[feature]
+        light_example, light_feature, light_value = example[light], feature[light], value[light]
+        feature, example, value = feature[~light], example[~light], value[~light]
         by_feature = np.argsort(feature, kind="stable")
         feature, example, value = feature[by_feature], example[by_feature], value[by_feature]
         new = np.ones(len(feature), bool)
         new[1:] = (np.diff(feature) != 0) | (np.diff(example // BLOCK) != 0)
         first = np.flatnonzero(new)
+        light_norm = np.sqrt(np.bincount(light_example, light_value**2, len(order)))
+        starts = np.arange(0, len(order), BLOCK)
         return cls(
             vocabulary,
             weight,
@@ -174,21 +201,42 @@ class BlockMaxIndex:
             [examples[n][0] for n in order],
             np.array([votes[x] for x in labels.tolist()], float),
             class_sizes.get(1, 0) / known if known else 0.0,
+            heavy,
             np.searchsorted(feature[first], np.arange(len(vocabulary) + 1)),
             example[first] // BLOCK,
             np.maximum.reduceat(value, first) if len(first) else np.empty(0),
             np.append(first, len(feature)),
             example,
             value,
+            np.maximum.reduceat(light_norm, starts) if len(starts) else np.empty(0),
+            light_norm,
+            np.searchsorted(light_example, np.arange(len(order) + 1)),
+            light_feature,
+            light_value,
         )
 
-    def _exact(self, entries: np.ndarray, query: np.ndarray) -> np.ndarray:
+    def _summed(self, entries: np.ndarray, query: np.ndarray) -> np.ndarray:
         """The sums of the postings of some entries by example."""
         starts, ends = self.firsts[entries], self.firsts[entries + 1]
         at = _spans(starts, ends)
         weights = self.values[at] * np.repeat(query, ends - starts)
         return np.bincount(self.examples[at], weights, len(self.labels))
 
+    def _within(self, blocks: np.ndarray) -> np.ndarray:
+        """The examples of some blocks."""
+        places = np.flatnonzero(blocks)[:, None] * BLOCK + np.arange(BLOCK)
+        places = places.ravel()
+        return places[: np.searchsorted(places, len(self.labels))]
+
+    def _light(self, some: np.ndarray, numbers: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """What light features add to the cosines of some examples."""
+        query = np.zeros(len(self.vocabulary))
+        query[numbers] = values
+        starts, ends = self.light_begins[some], self.light_begins[some + 1]
+        at = _spans(starts, ends)
+        weights = query[self.light_features[at]] * self.light_values[at]
+        return np.bincount(np.repeat(np.arange(len(some)), ends - starts), weights, len(some))
+
     def nearest(
         self, found: list[int] | np.ndarray, k: int = NEIGHBOURS
     ) -> tuple[np.ndarray, np.ndarray]:
@@ -200,28 +248,32 @@ class BlockMaxIndex:
     ) -> tuple[np.ndarray, np.ndarray, int]:
         """The same, and how many blocks were scored."""
         numbers, values = self.vector(found, self.weight)
-        starts, ends = self.begins[numbers], self.begins[numbers + 1]
-        entries, query = _spans(starts, ends), np.repeat(values, ends - starts)
+        heavy = self.heavy[numbers]
+        light = float(np.linalg.norm(values[~heavy]))
+        starts, ends = self.begins[numbers[heavy]], self.begins[numbers[heavy] + 1]
+        entries, query = _spans(starts, ends), np.repeat(values[heavy], ends - starts)
         blocks = self.blocks[entries]
-        n_blocks = -(-len(self.labels) // BLOCK)
-        bounds = np.bincount(blocks, self.largest[entries] * query, n_blocks)
-        chosen = np.zeros(n_blocks, bool)
-        few = min(max(FIRST_BLOCKS, -(-k // BLOCK)), n_blocks)
-        chosen[np.argpartition(bounds, n_blocks - few)[n_blocks - few :]] = True
+        bounds = np.bincount(blocks, self.largest[entries] * query, len(self.block_light))
+        bounds = bounds + light * self.block_light
+        few = min(max(FIRST_BLOCKS, -(-k // BLOCK)), len(bounds))
+        chosen = np.zeros(len(bounds), bool)
+        chosen[np.argpartition(bounds, len(bounds) - few)[len(bounds) - few :]] = True
         some = chosen[blocks]
-        scores = self._exact(entries[some], query[some])
-        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
-        more = (bounds > 0) & (bounds >= least - 1e-9) & ~chosen
+        scores = self._summed(entries[some], query[some])
+        # Light features only add, so the k-th of these sums is not above the k-th cosine.
+        more = (bounds >= _kth(scores[self._within(chosen)], k) - 1e-9) & ~chosen
         if more.any():
             some = more[blocks]
-            scores += self._exact(entries[some], query[some])
-        best = np.flatnonzero(scores > 0)
-        scores = scores[best]
+            scores = scores + self._summed(entries[some], query[some])
+        scored = self._within(chosen | more)
+        scores = scores[scored]
+        reach = scores + light * self.light_norm[scored]
+        able = np.flatnonzero((reach >= _kth(scores, k) - 1e-9) & (reach > 0))
+        best = scored[able]
+        scores = scores[able] + self._light(best, numbers[~heavy], values[~heavy])
+        best, scores = best[scores > 0], scores[scores > 0]
         # Rounded, so that equal cosines summed in another order stay ties.
         rounded = np.round(scores, 12)
-        if len(best) > k:
-            near = np.flatnonzero(rounded >= np.partition(rounded, len(best) - k)[len(best) - k])
-            best, scores, rounded = best[near], scores[near], rounded[near]
         order = np.lexsort((best, -rounded))[:k]
         return best[order], np.minimum(scores[order], 1.0), int((chosen | more).sum())
 
