@@ -45,6 +45,9 @@ KNOWN_LETTERS = (
 )
 HALF = "([AP])[^0-9A-Z]?M[^0-9]*$"
 
+# The eight digits of a date and the four or six of a time, without separators in them.
+COMPACT = r"^\D*(\d\d)(\d\d)(\d{4})\D*(\d\d)(\d\d)(\d\d)?\D*$"
+
 # Sign and hours of a UTC offset, with or without minutes.
 OFFSET = r"[+-]\d{2}(?::?\d{2})?"
 
@@ -79,54 +82,44 @@ def parse_delivered(df: DataFrame, text: str, into: str, orders: Sequence[str])
     these is NULL. Each row is read on its own: the other rows of the table never change the result.
     """
 
-    def number(position: int) -> str:
-        return f"get(_numbers, {position})"
-
     def fits(order: str) -> str:
         # A day that its month lacks also rules out the swapped reading, so ranges are enough to
         # choose an order.
-        month, day = number(order.index("m")), number(order.index("d"))
+        month = order.index("m")
         count = len(order.replace(" ", ""))
-        named = f"_named IN (0, {order.index('m') + 1})"
-        return " AND ".join([f"_count = {count}", named, _within(month, 1, 12), _within(day, 1, 31)])
+        return f"_count = {count} AND _named IN (0, {month + 1}) AND _month{month} AND _day{1 - month}"
 
-    def first_fit(part: str) -> str:
-        branches = [f"WHEN {fits(order)} THEN {number(order.index(part))}" for order in orders]
-        return f"CASE {' '.join(branches)} END"
+    # Where the month stands, under the first order that fits: first or second, and the day beside it.
+    month_at = " ".join(f"WHEN {fits(order)} THEN {order.index('m')}" for order in orders)
 
     any_month = f"(?<![A-Z])(?:{'|'.join(MONTHS)})(?![A-Z])"
     abbreviations = "".join(name[:3] for name in MONTHS)
     month_number = f"(locate(left(_name, 3), '{abbreviations}') + 2) div 3"
     # Digits without separators: day, month and year in eight, then the clock in four or six.
-    joined = "concat_ws('', _tokens)"
-    compact = f"""size(_tokens) = 2 AND length(get(_tokens, 0)) = 8
-            AND length(get(_tokens, 1)) IN (4, 6)
-        OR size(_tokens) = 1 AND length(get(_tokens, 0)) IN (12, 14)"""
-    cut = ", ".join(f"substring({joined}, {a}, {n})" for a, n in ((1, 2), (3, 2), (5, 4), (9, 2)))
-    cut = f"""filter(array({cut}, substring({joined}, 11, 2), substring({joined}, 13, 2)),
-        part -> part <> '')"""
-    runs = f"""CASE WHEN _name <> '' THEN transform(_tokens, token -> ltrim(chr(1), token))
-        WHEN {compact} THEN {cut} ELSE _tokens END"""
+    separated = rf"regexp_replace(_plain, r'{COMPACT}', '$1 $2 $3 $4 $5 $6')"
+    runs = f"""IF(length(get(_tokens, 0)) IN (8, 12, 14) AND _name = '',
+        regexp_extract_all({separated}, '[0-9]+', 0), _tokens)"""
+    # The place of a month's name among the numbers; a name that stands twice has none.
     named = """CASE WHEN _name = '' THEN 0
-        WHEN size(filter(_tokens, token -> startswith(token, chr(1)))) = 1
-        THEN array_position(transform(_tokens, token -> startswith(token, chr(1))), true) END"""
+        WHEN length(_body) - length(replace(_body, _name, '')) = length(_name)
+        THEN regexp_count(substring_index(_body, _name, 1), '[0-9]+') + 1 ELSE -1 END"""
 
-    year = f"""CASE length(get(_runs, 2)) WHEN 4 THEN {number(2)}
-        WHEN 2 THEN {number(2)} + IF({number(2)} <= {LAST_2000S_YEAR}, 2000, 1900) END"""
-    hour = f"""CASE WHEN _half = '' THEN {number(3)}
-        WHEN {_within(number(3), 1, 12)} THEN {number(3)} % 12 + IF(_half = 'P', 12, 0) END"""
+    year = f"""CASE length(get(_runs, 2)) WHEN 4 THEN _n2
+        WHEN 2 THEN _n2 + IF(_n2 <= {LAST_2000S_YEAR}, 2000, 1900) END"""
+    hour = f"""CASE WHEN _half = '' THEN _n3
+        WHEN {_within("_n3", 1, 12)} THEN _n3 % 12 + IF(_half = 'P', 12, 0) END"""
     # Most texts have no sign behind the date and no letters, and need none of the patterns for them.
     behind = "substring(_text, 9)"
     offset = rf"""CASE WHEN (contains({behind}, '+') OR contains({behind}, '-'))
             AND _text RLIKE r':\d+([.]\d+)?\s*{OFFSET}$'
         THEN regexp_extract(_text, r'{OFFSET}$', 0) END"""
     fraction = r"size(_runs) = 7 AND _body RLIKE r':\d+[.]\d+\D*$'"
-    second = f"coalesce({number(5)}, 0)"
     in_range = " AND ".join(
-        ["_month IS NOT NULL", "_known", _within("_hour", 0, 23)]
-        + [_within(number(4), 0, 59), _within(second, 0, 59)]
+        ["_at >= 0", "_known", _within("_hour", 0, 23)]
+        + [_within("_n4", 0, 59), _within("_n5", 0, 59)]
     )
-    time = f"try_make_timestamp_ntz(_year, _month, _day, _hour, {number(4)}, {second})"
+    time = """try_make_timestamp_ntz(
+        _year, IF(_at = 0, _n0, _n1), IF(_at = 0, _n1, _n0), _hour, _n4, _n5)"""
     moved = f"""IF(_offset IS NULL, _time,
         timestampadd(MINUTE, -({_offset_minutes("_offset")}), _time))"""
     steps = [
@@ -137,19 +130,25 @@ def parse_delivered(df: DataFrame, text: str, into: str, orders: Sequence[str])
         {"_name": f"IF(_lettered, regexp_extract(_body, r'{any_month}', 0), '')"},
         {
             "_plain": f"""IF(_name = '', _body,
-                replace(_body, _name, concat(chr(1), {month_number}, ' ')))"""
+                replace(_body, _name, concat(' ', {month_number}, ' ')))"""
         },
         {
             "_known": f"NOT _lettered OR _plain RLIKE '{KNOWN_LETTERS}'",
             "_half": f"IF(_lettered, regexp_extract(_plain, '{HALF}', 1), '')",
         },
-        {"_tokens": r"regexp_extract_all(_plain, r'\x01?[0-9]+', 0)"},
+        {"_tokens": "regexp_extract_all(_plain, '[0-9]+', 0)"},
         {"_runs": runs, "_named": named},
         {
             "_numbers": "try_cast(_runs AS array<int>)",
             "_count": f"IF({fraction}, 6, size(_runs))",
         },
-        {"_year": year, "_month": first_fit("m"), "_day": first_fit("d"), "_hour": hour},
+        {
+            # No number is -1, which is in no range; seconds may be left out.
+            **{f"_n{n}": f"coalesce(get(_numbers, {n}), -1)" for n in range(5)},
+            "_n5": "IF(_count = 5, 0, coalesce(get(_numbers, 5), -1))",
+        },
+        {f"_{part}{n}": _within(f"_n{n}", 1, most) for part, most in (("month", 12), ("day", 31)) for n in (0, 1)},
+        {"_at": f"CASE {month_at} ELSE -1 END", "_year": year, "_hour": hour},
         {"_time": f"CASE WHEN {in_range} THEN {time} END"},
     ]
     return _through_steps(df, steps, moved, into)
