@@ -47,7 +47,7 @@ EXAMPLE_BYTES = 1 << 18
 #: Letters of a word that count.
 LETTERS = 5
 NEIGHBOURS = 15
-BLOCK = 32
+BLOCK = 64
 #: Weight of the base rate in a vote, in neighbours of similarity 1.
 SMOOTHING = 0.25
 #: Power of the similarity in a vote: neighbours that share little hardly count.

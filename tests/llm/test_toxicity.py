@@ -126,7 +126,7 @@ def test_awkward_rows_and_missing_labels(spark):
 
 
 def test_search_leaves_blocks_out(spark):
-    rows, marks = table(2000)
+    rows, marks = table(2600)
     index = toxicity.fit(frames.documents(spark, rows), frames.labels(spark, marks))
     n_blocks = -(-len(index.labels) // toxicity.BLOCK)
     scored = [
