@@ -96,13 +96,13 @@ def parse_delivered(df: DataFrame, text: str, into: str, orders: Sequence[str])
     abbreviations = "".join(name[:3] for name in MONTHS)
     month_number = f"(locate(left(_name, 3), '{abbreviations}') + 2) div 3"
     # Digits without separators: day, month and year in eight, then the clock in four or six.
-    separated = rf"regexp_replace(_plain, r'{COMPACT}', '$1 $2 $3 $4 $5 $6')"
-    runs = f"""IF(length(get(_tokens, 0)) IN (8, 12, 14) AND _name = '',
-        regexp_extract_all({separated}, '[0-9]+', 0), _tokens)"""
+    separated = rf"rtrim(regexp_replace(_plain, r'{COMPACT}', '$1 $2 $3 $4 $5 $6'))"
+    runs = rf"""IF(length(get(_tokens, 0)) IN (8, 12, 14) AND _name = '' AND _plain RLIKE r'{COMPACT}',
+        split({separated}, ' '), _tokens)"""
     # The place of a month's name among the numbers; a name that stands twice has none.
     named = """CASE WHEN _name = '' THEN 0
         WHEN length(_body) - length(replace(_body, _name, '')) = length(_name)
-        THEN regexp_count(substring_index(_body, _name, 1), '[0-9]+') + 1 ELSE -1 END"""
+        THEN size(split(substring_index(_body, _name, 1), '[0-9]+')) ELSE -1 END"""
 
     year = f"""CASE length(get(_runs, 2)) WHEN 4 THEN _n2
         WHEN 2 THEN _n2 + IF(_n2 <= {LAST_2000S_YEAR}, 2000, 1900) END"""

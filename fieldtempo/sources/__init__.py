@@ -8,6 +8,7 @@ from fieldtempo.sources.csv_files import (
     read_source,
 )
 from fieldtempo.sources.landing import land_by_campaign, read_landed
+from fieldtempo.sources.listing import DataFile, file_states, list_files
 from fieldtempo.sources.manifest import (
     CAMPAIGNS,
     DAY_FIRST_KM,
@@ -22,6 +23,7 @@ from fieldtempo.sources.manifest import (
 __all__ = [
     "CAMPAIGNS",
     "DAY_FIRST_KM",
+    "DataFile",
     "ISO_METRES",
     "MIXED_KM",
     "MONTH_FIRST_METRES",
@@ -30,7 +32,9 @@ __all__ = [
     "campaign_sources",
     "canonical",
     "file_headers",
+    "file_states",
     "land_by_campaign",
+    "list_files",
     "read_campaigns",
     "read_csv",
     "read_landed",

@@ -12,8 +12,8 @@ def land_by_campaign(
 ) -> None:
     """Write ``table`` under ``path``, one folder per city and year.
 
-    Rows read from campaign files need no shuffle: a scan task holds one campaign, so it writes one
-    file. After a shuffle every task holds every campaign; ``balance`` then gathers the rows of a
+    Rows read from campaign files need no shuffle: a scan task holds files of few campaigns, and
+    writes a file for each. After a shuffle every task holds every campaign; ``balance`` then gathers the rows of a
     campaign, and adaptive execution splits the campaigns that are too large for one task. Without
     adaptive execution nothing would split them, so balancing is refused.
     """

@@ -119,10 +119,25 @@ def test_a_predicate_on_campaigns_does_not_repeat_the_parse(spark, predicate):
     if predicate:
         deliveries = deliveries.where(predicate)
     plan = deliveries._jdf.queryExecution().optimizedPlan().toString()
-    # One for each set of files whose dates are not ISO; each row belongs to one of them.
-    assert plan.count("regexp_extract_all") == sum(
-        len(source.paths) for source in sources if source.layout is not ISO_METRES
-    )
+    # One for each layout whose dates are not ISO, behind the scans of all its files.
+    layouts = {source.layout for source in sources if source.layout is not ISO_METRES}
+    assert plan.count("regexp_extract_all") == len(layouts) == 3
+
+
+def test_scans_are_as_many_as_layouts_and_headers(spark):
+    sources = fixtures.manifest_csv(spark, SF_DIR)
+    plan = plan_of(read_campaigns(spark, sources))
+    assert plan.count("FileScan csv") == len({source.layout for source in sources}) == 4
+    assert "Join" not in plan
+
+
+@pytest.mark.parametrize("parse", [functions.parse_iso, functions.parse_mdy_hm, functions.parse_mixed])
+def test_the_parse_is_one_stage_of_code_that_the_jvm_compiles(spark, parse, capsys):
+    """The JVM interprets methods of more than 8000 bytes of code, which is several times slower."""
+    text = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    parse(text, "text", "ts").explain("codegen")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)
+    assert len(sizes) == 1 and int(sizes[0]) < 8000
 
 
 def test_only_the_needed_csv_columns_are_read(spark):

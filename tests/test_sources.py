@@ -1,11 +1,14 @@
 """CSV layouts, multi-file campaigns, the canonical table and landing."""
 
 import datetime
+import gzip
 import re
+import time
 
 import pytest
 
 from fieldtempo.operators import normalize, pace, stats
+from fieldtempo.sources import csv_files, listing
 from fieldtempo.sources import (
     DAY_FIRST_KM,
     ISO_METRES,
@@ -287,3 +290,95 @@ def test_known_campaigns_end_to_end(spark, tmp_path):
         split = 1 if row.year == 2025 and row.city != "Freetown" else 2
         last = row.dataset == "Unfiltered" and row.date.day % 10 == 5
         assert row.daily_avg == files * split * (3 if last else 2)
+
+
+def bytes_read(spark):
+    """Bytes that this JVM has read from local files."""
+    statistics = spark._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics().get("file")
+    return statistics.getLong("bytesRead")
+
+
+def test_headers_are_read_without_the_rows_behind_them(spark, tmp_path):
+    sizes = []
+    for rows in (20_000, 400_000):
+        folder = tmp_path / str(rows)
+        folder.mkdir()
+        for name in "ab":
+            write(folder, f"{name}.csv", "key,other\n" + "12345,67890\n" * rows)
+        before = bytes_read(spark)
+        headers = csv_files.file_headers(spark, [str(folder)])
+        sizes.append(bytes_read(spark) - before)
+        assert set(headers.values()) == {"key,other"} and len(headers) == 2
+        assert csv_files.read_csv(spark, str(folder)).count() == 2 * rows
+    assert sizes[0] == sizes[1] < 600_000
+
+
+def test_a_header_must_begin_its_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "HEADER_BYTES", 64)
+    path = write(tmp_path, "a.csv", "\n" * 100 + "a,b\n1,2\n")
+    with pytest.raises(ValueError, match="no header in its first 64 bytes"):
+        read_csv(spark, path)
+    path = write(tmp_path, "b.csv", ",".join(f"column_{n}" for n in range(20)) + "\n")
+    with pytest.raises(ValueError, match="no header"):
+        read_csv(spark, path)
+
+
+def test_compressed_files_and_hidden_ones(spark, tmp_path):
+    with gzip.open(tmp_path / "a.csv.gz", "wt") as file:
+        file.write("a,b\n1,2\n")
+    write(tmp_path, "_SUCCESS", "")
+    write(tmp_path, ".hidden.csv", "x,y\n3,4\n")
+    assert values(read_csv(spark, str(tmp_path))) == [("1", "2")]
+    with pytest.raises(ValueError, match="no such file"):
+        read_csv(spark, str(tmp_path / "absent"))
+
+
+def many_campaigns(tmp_path, campaigns, files):
+    sources = []
+    for c in range(campaigns):
+        paths = []
+        for n in range(files):
+            order = ["enteredby", "time_delivery_date", "time_gps_distance_original", "property_type"]
+            row = {"enteredby": f"u{c}", "time_delivery_date": f"1{n}/03/2024 09:05:00"}
+            row |= {"time_gps_distance_original": "0.01", "property_type": "Domestic"}
+            order = order[n % 2 :] + order[: n % 2]
+            lines = [",".join(order), ",".join(row[name] for name in order)]
+            paths.append(write(tmp_path, f"{c}_{n}.csv", "\n".join(lines) + "\n"))
+        sources.append(Source(f"city {c}", 2024, MIXED_KM if c % 2 else DAY_FIRST_KM, tuple(paths)))
+    return sources
+
+
+@pytest.mark.parametrize("sets, labels", [(16, 100), (2, 100), (2, 3)])
+def test_campaigns_are_told_apart_by_sets_joins_or_scans(spark, tmp_path, monkeypatch, sets, labels):
+    monkeypatch.setattr(csv_files, "MOST_SETS", sets)
+    monkeypatch.setattr(csv_files, "MOST_LABELS", labels)
+    sources = many_campaigns(tmp_path, 6, 3)
+    deliveries = read_campaigns(spark, sources)
+    plan = deliveries._jdf.queryExecution().executedPlan().toString()
+    found = sorted((r.city, r.year, r.enumerator, r.date.day) for r in deliveries.collect())
+    assert found == [(f"city {c}", 2024, f"u{c}", 10 + n) for c in range(6) for n in range(3)]
+    # Two layouts of two headers each; or the two headers of every campaign.
+    assert plan.count("FileScan csv") == (12 if labels == 3 else 4)
+    assert ("BroadcastHashJoin" in plan) == (sets == 2 and labels == 100)
+
+
+def test_a_plan_of_many_paths_is_as_small_as_one_of_few(spark, tmp_path):
+    plans = []
+    for campaigns in (4, 100):
+        folder = tmp_path / str(campaigns)
+        folder.mkdir()
+        sources = many_campaigns(folder, campaigns, 2)
+        start = time.perf_counter()
+        deliveries = read_campaigns(spark, sources)
+        took = time.perf_counter() - start
+        plans.append(deliveries._jdf.queryExecution().optimizedPlan().toString())
+        assert deliveries.select("city").distinct().count() == campaigns
+    assert took < 20
+    assert plans[0].count("Relation") == 4 and plans[1].count("Relation") == 4
+
+
+def test_only_some_files_are_read(spark, tmp_path):
+    sources = many_campaigns(tmp_path, 3, 2)
+    some = [file.path for file in listing.list_files(spark, [sources[1].paths[0]])[sources[1].paths[0]]]
+    rows = read_campaigns(spark, sources, only=some).collect()
+    assert [(r.city, r.source) for r in rows] == [("city 1", some[0])]
