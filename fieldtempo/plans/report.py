@@ -6,7 +6,9 @@ else is computed from those two with shuffles of a few rows per day, so a lost e
 of a small table, never a new pass over the deliveries.
 
 A run on a folder that already holds tables goes on where the last one ended: finished tables are
-read, others are written again. A lost driver costs what was being written.
+read, others are written again. A lost driver costs what was being written. What the deliveries are
+read from is kept with the tables, by name, length and time of change, and input that has changed since
+is refused; ``update_report`` is for input that grows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldtempo.operators import chartdata, pace, profile, stats
 from fieldtempo.operators.normalize import time_features
 from fieldtempo.sources.landing import CAMPAIGN_FOLDERS, land_by_campaign
+from fieldtempo.sources.listing import file_states
 
 INPUT = "input"
 ENUMERATOR_DAYS = "enumerator_days"
@@ -60,9 +63,10 @@ def _finished(spark: SparkSession, path: str) -> bool:
 
 
 def _signature(deliveries: DataFrame) -> str:
-    """The files the deliveries are read from, and what is done with them."""
+    """The files the deliveries are read from, their state, and what is done with them."""
     plan = deliveries._jdf.queryExecution().optimizedPlan().canonicalized().toString()
-    text = "\n".join([*sorted(deliveries.inputFiles()), re.sub(r"#\d+L?", "", plan)])
+    files = map(str, file_states(deliveries.sparkSession, deliveries.inputFiles()))
+    text = "\n".join([*files, re.sub(r"#\d+L?", "", plan)])
     return hashlib.sha256(text.encode()).hexdigest()
 
 
@@ -90,7 +94,7 @@ def write_report(deliveries: DataFrame, folder: str) -> dict[str, DataFrame]:
     """Write every table of canonical ``deliveries`` under ``folder``; return them as read back.
 
     Without ``delivered_ts`` the tables of shifts are left out. A folder that holds the report of
-    other deliveries is refused.
+    other deliveries, or of files that have changed since, is refused.
     """
     spark = deliveries.sparkSession
     folder = folder.rstrip("/")
@@ -102,11 +106,16 @@ def write_report(deliveries: DataFrame, folder: str) -> dict[str, DataFrame]:
     features = time_features(deliveries) if shifts else deliveries
     counts = pace.count_enumerator_days(features, by_shift=shifts)
     days = _written(counts, f"{folder}/{ENUMERATOR_DAYS}", _by_campaign)
+    return {ENUMERATOR_DAYS: days} | write_tables(days, folder, shifts)
+
+
+def write_tables(days: DataFrame, folder: str, shifts: bool = True) -> dict[str, DataFrame]:
+    """Write every table that follows from the counts per enumerator and day."""
     daily = pace.iqr_trim(pace.average_days(days))
     trimmed = _written(daily, f"{folder}/{DAILY_PACE}", _balanced)
     base = _written(profile.profile_base(days), f"{folder}/{PROFILE_BASE}", _plain)
 
-    written = {ENUMERATOR_DAYS: days, DAILY_PACE: trimmed, PROFILE_BASE: base}
+    written = {DAILY_PACE: trimmed, PROFILE_BASE: base}
     for name, table in report_tables(base, trimmed, shifts).items():
         written[name] = _written(table, f"{folder}/{name}", _plain)
     return written

@@ -7,7 +7,14 @@ from fieldtempo.sources.csv_files import (
     read_csv,
     read_source,
 )
-from fieldtempo.sources.landing import land_by_campaign, read_landed
+from fieldtempo.sources.landing import (
+    Landed,
+    land_by_campaign,
+    land_campaigns,
+    landed_bad_dates,
+    landed_date_states,
+    read_landed,
+)
 from fieldtempo.sources.listing import DataFile, file_states, list_files
 from fieldtempo.sources.manifest import (
     CAMPAIGNS,
@@ -27,6 +34,7 @@ __all__ = [
     "ISO_METRES",
     "MIXED_KM",
     "MONTH_FIRST_METRES",
+    "Landed",
     "Layout",
     "Source",
     "campaign_sources",
@@ -34,6 +42,9 @@ __all__ = [
     "file_headers",
     "file_states",
     "land_by_campaign",
+    "land_campaigns",
+    "landed_bad_dates",
+    "landed_date_states",
     "list_files",
     "read_campaigns",
     "read_csv",

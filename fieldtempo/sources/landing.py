@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from fieldtempo.sources.csv_files import read_campaigns
+from fieldtempo.sources.manifest import Source
 
 CAMPAIGN_FOLDERS = ("city", "year")
+#: The folder that tells what has become of a row's date text, and its names.
+DATE_STATE = "date_text"
+READ, MISSING, BAD = "read", "missing", "bad"
 
 
 def land_by_campaign(
@@ -26,3 +36,49 @@ def land_by_campaign(
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+@dataclass(frozen=True)
+class Landed:
+    """What one landing has written, counted as it was written."""
+
+    rows: int
+    missing_dates: int
+    bad_dates: int
+
+
+def land_campaigns(
+    spark: SparkSession, sources: Iterable[Source], path: str, mode: str = "error"
+) -> Landed:
+    """Read campaign files and write them under ``path``, each date text being parsed once.
+
+    Below city and year, rows lie by what has become of their date text. So the texts that could not
+    be read are a small table of their own, which ``landed_bad_dates`` reads without the other rows,
+    and neither it nor a report over the landed rows parses anything again.
+    """
+    text, time = F.col("delivered_raw"), F.col("delivered_ts")
+    state = F.when(time.isNotNull(), READ).when(text.isNull(), MISSING).otherwise(BAD)
+    deliveries = read_campaigns(spark, sources).withColumn(DATE_STATE, state)
+    seen = Observation("landed")
+    observed = deliveries.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col(DATE_STATE) == MISSING).alias("missing"),
+        F.count_if(F.col(DATE_STATE) == BAD).alias("bad"),
+    )
+    observed.write.mode(mode).partitionBy(*CAMPAIGN_FOLDERS, DATE_STATE).parquet(path)
+    counts = seen.get
+    return Landed(counts["rows"], counts["missing"], counts["bad"])
+
+
+def landed_date_states(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of each campaign by what has become of their date text; no column is read for it."""
+    return read_landed(spark, path).groupBy(*CAMPAIGN_FOLDERS, DATE_STATE).agg(
+        F.count(F.lit(1)).alias("deliveries")
+    )
+
+
+def landed_bad_dates(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct texts of each campaign that are present but could not be read."""
+    bad = read_landed(spark, path).where(F.col(DATE_STATE) == BAD)
+    return bad.select(*CAMPAIGN_FOLDERS, "delivered_raw").distinct()

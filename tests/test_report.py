@@ -70,6 +70,23 @@ def test_a_second_run_goes_on_where_the_first_ended(spark, tmp_path, monkeypatch
         write_report(events.where("distance > 1"), str(folder))
 
 
+def test_replaced_input_is_refused(spark, tmp_path):
+    path = str(tmp_path / "in")
+    events = fixtures.events_uneven(spark, SF_DIR)
+    events.coalesce(1).write.parquet(path)
+    folder = str(tmp_path / "report")
+    first = rows_of(write_report(spark.read.parquet(path), folder))
+    assert rows_of(write_report(spark.read.parquet(path), folder)) == first
+    # Other rows under the same name of file.
+    (name,) = (tmp_path / "in").glob("part-*")
+    events.where("distance > 1").coalesce(1).write.parquet(str(tmp_path / "other"))
+    (other,) = (tmp_path / "other").glob("part-*")
+    name.write_bytes(other.read_bytes())
+    (tmp_path / "in" / f".{name.name}.crc").unlink()
+    with pytest.raises(ValueError, match="other deliveries"):
+        write_report(spark.read.parquet(path), folder)
+
+
 def test_days_are_written_by_campaign(spark, tmp_path):
     report = write_report(fixtures.events_uneven(spark, SF_DIR), str(tmp_path / "r"))
     one = report["enumerator_days"].where("city = 'Kenema'")
