@@ -9,7 +9,9 @@ leftmost of equal ones first, until none is left. The ids are those of the Sente
 
 A stretch ends before a space that follows something else, and around characters that are part of no
 longer piece: no piece crosses such a place, so stretches are independent and each is encoded once,
-however often it occurs. Characters that are no piece become the pieces of their bytes.
+however often it occurs. Long stretches, as in languages written without spaces, are also cut between
+characters that are neighbours in no piece, and relaxed apart wherever no occurrence reaches across.
+Characters that are no piece become the pieces of their bytes.
 
 Null text is encoded as empty; an empty text has no pieces. Decoding gives the text back, but for
 the mark that stands for a space, which comes back as a space. Copies and repeated rows give a row
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -137,6 +140,8 @@ class Encoder:
         lone = "".join(re.escape(chr(n)) for n in range(128) if n != 32 and chr(n) not in joined)
         crossing = any(SPACE in piece.lstrip(SPACE) for piece in pieces)
         self.stretch = re.compile(f"[{lone}]| *[^ {lone}]+| +" if lone else " *[^ ]+| +")
+        pairs = {(ord(a), ord(b)) for piece in pieces for a, b in zip(piece, piece[1:])}
+        self.pairs = np.array(sorted(a << 32 | b for a, b in pairs), np.int64)
         if crossing:
             self.stretch = re.compile(r"[\s\S]+")
         self.forget()
@@ -152,7 +157,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.forget()
         known, before = self.known, len(self.known)
-        split = self.stretch.findall
+        split = self._stretches
         numbers = [
             [known[x] for x in split(" " + text.replace(SPACE, " "))] if text else []
             for text in texts
@@ -167,6 +172,21 @@ class Encoder:
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
         return self.values[place], bounds
 
+    def _stretches(self, text: str) -> list[str]:
+        found = self.stretch.findall(text)
+        if max(map(len, found)) <= LONG:
+            return found
+        return [part for x in found for part in (self._cut(x) if len(x) > LONG else (x,))]
+
+    def _cut(self, text: str) -> list[str]:
+        """The parts of a long stretch between characters that are neighbours in no piece."""
+        codes = np.frombuffer(text.replace(" ", SPACE).encode("utf-32-le"), np.uint32).astype(np.int64)
+        pairs = codes[:-1] << 32 | codes[1:]
+        place = np.minimum(np.searchsorted(self.pairs, pairs), max(0, len(self.pairs) - 1))
+        apart = self.pairs[place] != pairs if len(self.pairs) else np.ones(len(pairs), bool)
+        cuts = [0, *(np.flatnonzero(apart) + 1).tolist(), len(text)]
+        return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _learn(self, stretches: list[str]) -> None:
         """Appends the ids of new stretches, shorter ones first."""
         order = np.argsort(np.array([len(x) for x in stretches]), kind="stable")
@@ -198,7 +218,7 @@ class Encoder:
         separator = first + lengths
         codes[separator] = 0x110000
         start, end, piece = self._edges(codes)
-        bounds = self._relax(start, end, piece, owner, first, lengths)
+        bounds = self._relax(start, end, piece, len(codes))
         # Symbols run from one boundary to the next; those that are pieces have an edge.
         nodes = np.flatnonzero(bounds)
         begin, finish = nodes[:-1], nodes[1:]
@@ -235,16 +255,22 @@ class Encoder:
         start, piece = start[by_position], piece[by_position]
         return start, start + self.lengths[piece], piece
 
-    def _relax(self, start, end, piece, owner, first, lengths) -> np.ndarray:
+    def _relax(self, start, end, piece, size) -> np.ndarray:
         """Which places are boundaries of symbols once all merges are made."""
-        bounds = np.ones(len(owner) + 1, bool)
+        bounds = np.ones(size + 1, bool)
         longer = (end - start) > 1
         s, e, rank = start[longer], end[longer], self.priority[piece[longer]]
-        own = owner[s]
+        # Parts end where no occurrence reaches across, so no merge does.
+        reach = np.bincount(s + 1, minlength=size + 2) - np.bincount(e, minlength=size + 2)
+        first = np.flatnonzero(np.cumsum(reach)[:size] == 0)
+        lengths = np.diff(np.append(first, size))
+        own = np.repeat(np.arange(len(first)), lengths)[s]
         short = lengths[own] <= LONG
+        # Occurrences are in the order of their starts, so those of a part stand together.
         for n in np.unique(own[~short]).tolist():
-            mine = own == n
-            self._merge_long(s[mine], e[mine], rank[mine], first[n], lengths[n], bounds)
+            low, high = np.searchsorted(own, (n, n + 1))
+            mine = slice(low, high)
+            self._merge_long(s[mine], e[mine], rank[mine], int(first[n]), int(lengths[n]), bounds)
         s, e, rank, own = s[short], e[short], rank[short], own[short]
         order = np.lexsort((s, rank, own))
         s, e, own = s[order], e[order], own[order]
@@ -264,23 +290,35 @@ class Encoder:
 
     @staticmethod
     def _merge_long(s, e, rank, first, length, bounds) -> None:
-        """The same for one stretch, in time nearly proportional to its length."""
-        ranks = {(int(a), int(b)): int(r) for a, b, r in zip(s, e, rank)}
-        after = {n: n + 1 for n in range(first, first + length)}
-        before = {n + 1: n for n in range(first, first + length)}
-        heap = [(r, a, a + 1, b) for (a, b), r in ranks.items() if b - a == 2]
+        """The same for one part, in time nearly proportional to its length."""
+        # The rank of an occurrence by its start and length; merged symbols keep that of their first
+        # character, and where they end.
+        ranks = np.full((length, int((e - s).max()) + 1), -1, np.int32)
+        ranks[s - first, e - s] = rank
+        rank_of, width = ranks.ravel().data, ranks.shape[1]
+        after = array("q", range(1, length + 1))
+        before = array("q", range(-1, length))
+        two = np.flatnonzero(e - s == 2)
+        # One number for each possible merge: rank, start, length of the first and of both symbols.
+        heap = ((rank[two].astype(object) << 56) | ((s[two] - first).astype(object) << 16) | (1 << 8 | 2)).tolist()
         heapq.heapify(heap)
         while heap:
-            _, a, middle, b = heapq.heappop(heap)
-            if after.get(a) != middle or after.get(middle) != b:
+            top = heapq.heappop(heap)
+            a, whole = (top >> 16) & 0xFFFFFFFFFF, top & 0xFF
+            middle, b = a + (top >> 8 & 0xFF), a + whole
+            # The symbols may have been merged with others since.
+            if after[a] != middle or middle >= length or after[middle] != b:
                 continue
-            bounds[middle] = False
-            after[a], before[b] = b, a
-            del after[middle]
-            if (left := before.get(a)) is not None and (left, b) in ranks:
-                heapq.heappush(heap, (ranks[left, b], left, a, b))
-            if (right := after.get(b)) is not None and (a, right) in ranks:
-                heapq.heappush(heap, (ranks[a, right], a, b, right))
+            bounds[first + middle] = False
+            after[a] = b
+            after[middle] = -1
+            if b < length:
+                before[b] = a
+            left = before[a]
+            if left >= 0 and b - left < width and (r := rank_of[left * width + b - left]) >= 0:
+                heapq.heappush(heap, r << 56 | left << 16 | (a - left) << 8 | (b - left))
+            if b < length and (right := after[b]) - a < width and (r := rank_of[a * width + right - a]) >= 0:
+                heapq.heappush(heap, r << 56 | a << 16 | whole << 8 | (right - a))
 
     def _with_bytes(self, ids: np.ndarray, text: str, begin: np.ndarray) -> np.ndarray:
         out: list[int] = []

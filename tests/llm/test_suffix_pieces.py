@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import sentencepiece
 from hypothesis import given, settings
@@ -30,6 +32,28 @@ def test_long_stretches_and_empty_texts():
     assert encoded(texts) == LIBRARY.encode([t or "" for t in texts])
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("abтиon的一是=のé9"), min_size=65, max_size=400))
+def test_ids_of_long_stretches_are_those_of_the_library(text):
+    assert encoded([text, text[:200] * 3]) == LIBRARY.encode([text, text[:200] * 3])
+
+
+def test_text_without_spaces_is_encoded_in_proportion_to_its_length():
+    draw = np.random.default_rng(4)
+    signs, letters = list("的一是不了人我在有他这中大来上のにはをた"), list("etaoinshrdlu")
+    texts = ["".join(draw.choice(signs, 200_000)), "".join(draw.choice(letters, 100_000))]
+    texts += ["".join(draw.choice(letters, 100)) for _ in range(1000)]
+    assert encoded(texts) == LIBRARY.encode(texts)
+    # Many stretches of a hundred letters, each relaxed by itself.
+    seconds = []
+    for n in (1000, 4000):
+        texts = ["".join(draw.choice(letters, 100)) for _ in range(n)]
+        start = time.thread_time()
+        suffix_pieces.Encoder.encode(ENCODER, texts)
+        seconds.append(time.thread_time() - start)
+    assert seconds[1] < 8 * seconds[0]
+
+
 def test_suffix_ranges_hold_every_occurrence():
     text = "the thing then gathers, thé"
     codes = np.array([ord(c) for c in text])
