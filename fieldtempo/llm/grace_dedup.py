@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -228,7 +228,8 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     """Every row with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` of its text.
 
     Groups come from the tables; rows find theirs by the SHA-256 of the content, in a join that
-    Spark can split where a third of all rows share one text. Of repeated rows one is kept.
+    Spark can split where a third of all rows share one text. Of repeated rows one is kept, the
+    first to be numbered; it comes from an aggregate that tasks combine beforehand.
     """
     sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn(
@@ -237,16 +238,16 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     groups = survivors(rows, keep_content=False).select(
         "text_sha256", F.col("doc_id").alias("keep_id"), "group_size"
     )
-    best = Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(0))
-    return (
-        rows.drop("text")
-        .withColumn("repeat", F.row_number().over(best))
-        .join(groups, "text_sha256")
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("repeat") == 1)).alias("kept"),
-            "text_sha256",
-        )
+    digest = written(
+        rows.select("doc_id", "text_sha256", F.monotonically_increasing_id().alias("row")), "grace-rows"
+    )
+    # A null id is smaller than any other.
+    last = F.max(F.struct(F.col("doc_id"), (-F.col("row")).alias("back")))
+    kept = digest.groupBy("text_sha256").agg((-last["back"]).alias("keep_row"))
+    return digest.join(groups.join(kept, "text_sha256"), "text_sha256").select(
+        "doc_id",
+        "keep_id",
+        "group_size",
+        (F.col("row") == F.col("keep_row")).alias("kept"),
+        "text_sha256",
     )

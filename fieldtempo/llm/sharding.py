@@ -174,15 +174,17 @@ def text_digest(docs: DataFrame, name: Callable[[str], str] = str) -> DataFrame:
 def minimax_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     """The digest of every document with its ``shard`` and its ``slot``, gapless in each shard.
 
-    Slots are dealt by a hash of the document, not of the text, so copies of one text, which share a
-    shard, are numbered by many tasks.
+    Slots are dealt by a hash of the row's number, so copies of one text, which share a shard, and
+    repeated rows are numbered by many tasks.
     """
-    digest = written(text_digest(docs), "sharding")
+    digest = written(
+        text_digest(docs).withColumn("row", F.monotonically_increasing_id()), "sharding"
+    )
     _, boundaries = minimax_boundaries(digest, shards)
     rows = digest.count()
     salts = max(16, -(-rows // SLOT_ROWS))
     placed = digest.withColumn("shard", shard_of(F.col("key"), boundaries)).withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id", "key", F.lit(8)), F.lit(salts))
+        "salt", F.pmod(F.xxhash64("row", F.lit(8)), F.lit(salts))
     )
     # shards * salts rows, so one for every 62,500 documents of a large table.
     before = Window.partitionBy("shard").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -191,7 +193,7 @@ def minimax_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .select("shard", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
-    within = Window.partitionBy("shard", "salt").orderBy("doc_id", "key")
+    within = Window.partitionBy("shard", "salt").orderBy("doc_id", "key", "row")
     return placed.join(offsets, ["shard", "salt"]).select(
         "doc_id",
         "size",

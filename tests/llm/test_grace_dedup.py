@@ -72,3 +72,16 @@ def test_equal_hashes_of_unequal_contents_are_told_apart():
         if n > 60:
             break
     assert [table.contents[table.find(7, f"content {n}")] for n in (0, 60)] == ["content 0", "content 60"]
+
+
+def test_one_of_many_repeated_rows_is_kept_without_gathering_them(spark):
+    rows = [(i, f"text {i}") for i in range(100)] + [(None, "hot")] * 500 + [(7, "text 7")] * 300
+    docs = frames.documents(spark, rows).repartition(6)
+    frame = grace_dedup.duplicate_groups(docs)
+    assert "Window" not in frame._jdf.queryExecution().executedPlan().toString()
+    result = frame.collect()
+    assert len(result) == len(rows)
+    kept = [(r["doc_id"], r["group_size"]) for r in result if r["kept"]]
+    assert sorted(kept, key=repr) == sorted(
+        [(i, 301 if i == 7 else 1) for i in range(100)] + [(None, 500)], key=repr
+    )

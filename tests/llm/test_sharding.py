@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fieldtempo.llm import sharding
 from fieldtempo.llm.entries import queries
@@ -119,3 +120,12 @@ def test_query(spark, sf):
     assert {r["law"] for r in rows} == {"bytes"}
     assert {r["shard"] for r in rows} == set(range(8))
     assert {r["grown_shard"] for r in rows} == {None}
+
+
+def test_repeated_rows_are_numbered_by_many_tasks(spark):
+    docs = frames.documents(spark, [(5, "same")] * 3000 + [(i, f"text {i}") for i in range(100)])
+    numbered = sharding.minimax_shards(docs.repartition(6))
+    hot = numbered.where("doc_id = 5 and size = 5").groupBy(F.spark_partition_id()).count().collect()
+    assert len(hot) > 3 and max(r["count"] for r in hot) < 2000
+    slots = [r["slot"] for r in numbered.where("doc_id = 5 and size = 5").collect()]
+    assert len(set(slots)) == 3000
