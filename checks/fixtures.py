@@ -216,10 +216,15 @@ def uneven_headers_csv(spark: SparkSession, sf_dir: str) -> str:
         for n, (headers, columns) in enumerate(parts):
             named = [c.alias(f"c{i}") for i, c in enumerate(columns)]
             part = rows.where(key.cast("bigint") % 4 == n).select(*named)
-            # Spark refuses to write repeated headers, so they are the first line of the text.
-            first = spark.range(1).select(F.lit(",".join(headers)).alias("value"))
-            lines = part.select(F.concat_ws(",", *part.columns).alias("value"))
-            first.unionAll(lines).coalesce(1).write.mode("overwrite").text(f"{folder}/files/part={n}")
+            # Spark refuses to write repeated headers, so they are a line of text before the first
+            # row of each task, which writes a file of its own.
+            place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+            line, header = F.concat_ws(",", *part.columns), F.lit(",".join(headers))
+            lines = part.select(place.alias("place"), line.alias("line"))
+            text = F.when(F.col("place") == 0, F.array(header, "line")).otherwise(F.array("line"))
+            lines.select(F.explode(text).alias("value")).write.mode("overwrite").text(
+                f"{folder}/files/part={n}"
+            )
         finish(spark, folder)
     return f"{folder}/files/*"
 

@@ -15,9 +15,11 @@ CAMPAIGN_BINS = 15
 SHARED_BINS = 20
 CURVE_POINTS = 512
 
-# Stretches that a curve is cut into, and tasks that all stretches of all curves are dealt to.
+# Stretches that a curve is cut into, tasks that all stretches of all curves are dealt to at least, and
+# kernels (a day at a point) that a task sums, about a second's work.
 CURVE_SLICES = 8
 CURVE_TASKS = 32
+TASK_KERNELS = 20_000_000
 # Days of a key that a curve can be made of: a calendar of two centuries.
 MOST_DAYS = 73_200
 
@@ -90,6 +92,11 @@ def histogram(
     )
 
 
+def curve_tasks(days: int, points: int = CURVE_POINTS) -> int:
+    """Tasks for the curves of so many days in all: the work is a kernel for each day and point."""
+    return max(CURVE_TASKS, -(-days * points // TASK_KERNELS))
+
+
 def density(
     trimmed: DataFrame,
     value: str = "daily_avg",
@@ -97,6 +104,7 @@ def density(
     points: int = CURVE_POINTS,
     shared_range: bool = False,
     order: str = "date",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Gaussian kernel density on a regular grid over the axis; keys of one day have no curve.
 
@@ -104,9 +112,12 @@ def density(
     then the size of the earliest value, then 1 takes its place. The values of a key travel as one
     array, so no pair of grid point and day becomes a row; ``daily`` must have one row per key and
     day, and a key with more rows than days fails. The kernel sums are the work: each curve is cut
-    into slices, and these are dealt to tasks whose number does not follow the few bytes they hold.
+    into slices, and these are dealt to ``tasks``, whose number does not follow the few bytes they
+    hold: that of ``curve_tasks``, or if it is left out as many as the cluster runs at a time.
     """
     low, high = _axis(trimmed, value, keys, shared_range)
+    if tasks is None:
+        tasks = max(CURVE_TASKS, trimmed.sparkSession.sparkContext.defaultParallelism)
     size = F.col("n").cast("double")
     spread = F.least("sd", (F.col("quartiles")[1] - F.col("quartiles")[0]) / 1.34)
 
@@ -137,7 +148,7 @@ def density(
         .withColumn("exponent", -0.5 / (F.col("bw") * F.col("bw")))
         .withColumn("step", (F.col("high") - F.col("low")) / (points - 1))
         .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(CURVE_SLICES - 1))))
-        .repartition(CURVE_TASKS, *keys, "slice")
+        .repartition(tasks, *keys, "slice")
     )
     stretch = -(-points // CURVE_SLICES)
     first = F.col("slice") * stretch

@@ -30,9 +30,11 @@ DAILY_PACE = "all_daily_pace"
 PROFILE_BASE = "profile_base"
 
 
-def report_tables(base: DataFrame, trimmed: DataFrame, shifts: bool = True) -> dict[str, DataFrame]:
+def report_tables(
+    base: DataFrame, trimmed: DataFrame, shifts: bool = True, tasks: int | None = None
+) -> dict[str, DataFrame]:
     """The tables that follow from the base of the profiles and the trimmed daily pace; those of
-    shifts need the time of day."""
+    shifts need the time of day. ``tasks`` are those of the curves."""
     tables = {
         "pace_stats": stats.pace_stats(trimmed),
         "summary_all": stats.summary_all(trimmed),
@@ -40,11 +42,11 @@ def report_tables(base: DataFrame, trimmed: DataFrame, shifts: bool = True) -> d
         "pace_by_dow": profile.dow_profile(base),
         "pace_timeseries": chartdata.timeseries(trimmed),
         "pace_histogram": chartdata.histogram(trimmed),
-        "pace_density": chartdata.density(trimmed),
+        "pace_density": chartdata.density(trimmed, tasks=tasks),
         "pace_histogram_shared": chartdata.histogram(
             trimmed, bins=chartdata.SHARED_BINS, shared_range=True
         ),
-        "pace_density_shared": chartdata.density(trimmed, shared_range=True),
+        "pace_density_shared": chartdata.density(trimmed, shared_range=True, tasks=tasks),
     }
     if shifts:
         dow_tod = profile.dow_tod_profile(base)
@@ -115,7 +117,9 @@ def write_tables(days: DataFrame, folder: str, shifts: bool = True) -> dict[str,
     trimmed = _written(daily, f"{folder}/{DAILY_PACE}", _balanced)
     base = _written(profile.profile_base(days), f"{folder}/{PROFILE_BASE}", _plain)
 
+    # The days are written, so counting them reads no column.
+    tasks = chartdata.curve_tasks(trimmed.count())
     written = {DAILY_PACE: trimmed, PROFILE_BASE: base}
-    for name, table in report_tables(base, trimmed, shifts).items():
+    for name, table in report_tables(base, trimmed, shifts, tasks).items():
         written[name] = _written(table, f"{folder}/{name}", _plain)
     return written

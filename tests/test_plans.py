@@ -71,6 +71,23 @@ def test_curves_are_dealt_to_several_tasks(spark):
     assert points > 4
 
 
+def test_curve_tasks_follow_the_days_and_points():
+    assert chartdata.curve_tasks(0) == chartdata.curve_tasks(10_000) == chartdata.CURVE_TASKS
+    days = 20_000 * 365 * 4
+    tasks = chartdata.curve_tasks(days)
+    assert tasks * chartdata.TASK_KERNELS >= days * chartdata.CURVE_POINTS > (tasks - 1) * chartdata.TASK_KERNELS
+
+
+def test_curves_of_many_campaigns_are_spread_evenly(spark):
+    days = spark.range(400).selectExpr(
+        "concat('c', id) AS city", "2024 AS year", "'Unfiltered' AS dataset",
+        "explode(sequence(date'2024-01-01', date'2024-01-12')) AS date",
+    ).withColumn("daily_avg", F.dayofmonth("date") * 1.5)
+    curve = chartdata.density(days, points=16, tasks=40)
+    tasks = [r["count"] for r in curve.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) == 40 and max(tasks) < 2 * sorted(tasks)[20]
+
+
 def test_a_curve_refuses_more_rows_than_days(spark, monkeypatch):
     monkeypatch.setattr(chartdata, "MOST_DAYS", 3)
     with pytest.raises(Exception, match="one row per key and day"):
