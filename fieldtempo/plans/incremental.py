@@ -24,6 +24,7 @@ from fieldtempo.functions import SHIFT_LABELS
 from fieldtempo.operators import pace
 from fieldtempo.operators.normalize import time_features
 from fieldtempo.plans.report import ENUMERATOR_DAYS, write_tables
+from fieldtempo.session import SHUFFLE_BYTES
 from fieldtempo.sources.csv_files import read_campaigns
 from fieldtempo.sources.landing import CAMPAIGN_FOLDERS
 from fieldtempo.sources.listing import list_files
@@ -35,6 +36,8 @@ COUNTS = "counts"
 FILES = "files"
 #: Batches that a run adds up each time; more become one.
 MOST_BATCHES = 32
+#: Bytes in a shuffle for each byte of Parquet, about.
+UNPACKED = 4
 
 DAYS_SCHEMA = (
     "date date, enumerator string, deliveries bigint, accurate bigint, by_shift array<bigint>, "
@@ -93,12 +96,26 @@ def usable_batches(
     return chosen
 
 
-def merged(counts: list[DataFrame]) -> DataFrame:
-    """Counts per enumerator and day, added up."""
+def merge_partitions(written: int) -> int:
+    """Partitions in which so many bytes of batches, as Parquet, are added up."""
+    return -(-written * UNPACKED // SHUFFLE_BYTES)
+
+
+def merged(counts: list[DataFrame], written: int = 0) -> DataFrame:
+    """Counts per enumerator and day, added up.
+
+    How much there is to shuffle is known here, from the bytes that have been ``written``: with more
+    than the session's partitions are made for, there are as many as they need. Rows of one batch have
+    been combined, so a group has no more of them than there are batches.
+    """
     by_shift = [F.sum(F.col("by_shift")[n]) for n in range(len(SHIFT_LABELS))]
+    keys = (*CAMPAIGN_FOLDERS, "date", "enumerator")
+    rows = reduce(DataFrame.unionByName, counts)
+    needed = merge_partitions(written)
+    if needed > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(needed, *keys)
     return (
-        reduce(DataFrame.unionByName, counts)
-        .groupBy(*CAMPAIGN_FOLDERS, "date", "enumerator")
+        rows.groupBy(*keys)
         .agg(
             F.sum("deliveries").alias("deliveries"),
             F.sum("accurate").alias("accurate"),
@@ -107,10 +124,10 @@ def merged(counts: list[DataFrame]) -> DataFrame:
     )
 
 
-def _counts(spark: SparkSession, folder: str, batches: Iterable[str]) -> list[DataFrame]:
-    return [
-        spark.read.schema(DAYS_SCHEMA).parquet(f"{folder}/{BATCHES}/{batch}/{COUNTS}") for batch in batches
-    ]
+def _added_up(spark: SparkSession, folder: str, batches: Iterable[str]) -> DataFrame:
+    paths = [f"{folder}/{BATCHES}/{batch}/{COUNTS}" for batch in batches]
+    written = sum(file.length for files in list_files(spark, paths).values() for file in files)
+    return merged([spark.read.schema(DAYS_SCHEMA).parquet(path) for path in paths], written)
 
 
 def _write_batch(folder: str, counts: DataFrame, files: Iterable[FileState]) -> str:
@@ -142,7 +159,7 @@ def update_report(
         counts = pace.count_enumerator_days(time_features(deliveries), by_shift=True)
         chosen.append(_write_batch(folder, counts, new))
     if len(chosen) > MOST_BATCHES:
-        chosen = [_write_batch(folder, merged(_counts(spark, folder, chosen)), present)]
-    days = merged(_counts(spark, folder, chosen))
+        chosen = [_write_batch(folder, _added_up(spark, folder, chosen), present)]
+    days = _added_up(spark, folder, chosen)
     tables = f"{folder}/{TABLES}/{_named(chosen)}"
     return {ENUMERATOR_DAYS: days} | write_tables(days, tables)

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.queries import comparable
 from fieldtempo.operators import normalize, pace
@@ -159,6 +160,22 @@ def test_batches_that_share_a_file_are_not_added_up():
     assert incremental.usable_batches(batches, [changed, b]) == []
 
 
+def test_the_sum_has_as_many_partitions_as_the_written_batches_need(spark):
+    """Nearly all rows are groups of their own."""
+    days = spark.range(300_000).selectExpr(
+        "'Kenema' AS city", "2024 AS year", "date_add(date'2024-01-01', cast(id % 300 as int)) AS date",
+        "concat('u', id div 2) AS enumerator", "2L AS deliveries", "1L AS accurate",
+        "array(1L, 1L, 0L, 0L) AS by_shift",
+    )
+    assert incremental.merge_partitions(0) == 0
+    written = 24 * incremental.SHUFFLE_BYTES // incremental.UNPACKED
+    assert incremental.merge_partitions(written) == 24
+    added = incremental.merged([days, days], written)
+    tasks = sorted(r["count"] for r in added.groupBy(F.spark_partition_id()).count().collect())
+    assert len(tasks) == 24 and tasks[-1] < 2 * tasks[12]
+    assert added.agg(F.sum("deliveries")).first()[0] == 1_200_000
+
+
 def test_landing_tells_bad_dates_without_another_parse(spark, tmp_path, files):
     folder = str(tmp_path / "landed")
     landed = land_campaigns(spark, sources(files), folder)
