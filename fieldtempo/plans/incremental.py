@@ -25,7 +25,7 @@ from fieldtempo.operators import pace
 from fieldtempo.operators.normalize import time_features
 from fieldtempo.plans.report import ENUMERATOR_DAYS, write_tables
 from fieldtempo.session import SHUFFLE_BYTES
-from fieldtempo.sources.csv_files import read_campaigns
+from fieldtempo.sources.csv_files import NothingToReadError, read_campaigns
 from fieldtempo.sources.landing import CAMPAIGN_FOLDERS
 from fieldtempo.sources.listing import list_files
 from fieldtempo.sources.manifest import Source
@@ -155,9 +155,14 @@ def update_report(
     chosen = usable_batches(batches, present)
     new = set(present).difference(*(batches[batch] for batch in chosen))
     if new:
-        deliveries = read_campaigns(spark, sources, only=[path for path, *_ in new])
-        counts = pace.count_enumerator_days(time_features(deliveries), by_shift=True)
-        chosen.append(_write_batch(folder, counts, new))
+        try:
+            deliveries = read_campaigns(spark, sources, only=[path for path, *_ in new])
+            counts = pace.count_enumerator_days(time_features(deliveries), by_shift=True)
+            chosen.append(_write_batch(folder, counts, new))
+        except NothingToReadError:
+            # Blank files add nothing to what is there.
+            if not chosen:
+                raise
     if len(chosen) > MOST_BATCHES:
         chosen = [_write_batch(folder, _added_up(spark, folder, chosen), present)]
     days = _added_up(spark, folder, chosen)

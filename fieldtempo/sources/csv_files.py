@@ -187,6 +187,10 @@ def _labelled(
     return _canonical(joined, F.col("_city"), F.col("_year"), layout)
 
 
+class NothingToReadError(ValueError):
+    """No file is left, or all of them are blank."""
+
+
 def read_campaigns(
     spark: SparkSession, sources: Iterable[Source], only: Iterable[str] | None = None
 ) -> DataFrame:
@@ -221,5 +225,5 @@ def read_campaigns(
             raw = _required(spark, layout, multiline, files, headers)
             frames.append(_labelled(spark, raw, part, layout))
     if not frames:
-        raise ValueError("no file to read")
+        raise NothingToReadError("no file to read")
     return reduce(DataFrame.unionByName, frames)

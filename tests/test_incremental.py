@@ -126,6 +126,14 @@ def test_a_changed_or_absent_file_takes_its_batch_along(spark, tmp_path, files,
     same_days(spark, report, files)
 
 
+def test_blank_files_add_nothing(spark, tmp_path, files, read, days_only):
+    folder = str(tmp_path / "report")
+    update_report(spark, sources(files), folder)
+    (files / "k" / "blank.csv").write_text("\n")
+    same_days(spark, update_report(spark, sources(files), folder), files)
+    assert read[1:] == [["k/blank.csv"]] and len(incremental.known_batches(spark, folder)) == 1
+
+
 def test_many_batches_become_one_without_reading_files(spark, tmp_path, files, read, days_only, monkeypatch):
     monkeypatch.setattr(incremental, "MOST_BATCHES", 2)
     folder = str(tmp_path / "report")
