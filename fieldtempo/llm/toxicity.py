@@ -23,6 +23,7 @@ their names.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -59,6 +60,8 @@ HEAVY_SHARE = 0.3
 #: Blocks that are scored before any is left out.
 FIRST_BLOCKS = 4
 EVIDENCE = 5
+#: Texts whose scores a task remembers.
+REMEMBERED_TEXTS = 20_000
 HELD_OUT_OF = 5
 #: Directions in which examples are compared when they are dealt to blocks.
 DIRECTIONS = 64
@@ -291,8 +294,18 @@ class BlockMaxIndex:
         return min(1.0, max(0.0, score)), evidence
 
     def scorer(self):
-        """A function from text to score and evidence."""
-        return lambda text: self.score(numbered(text, self.vocabulary)[0])
+        """A function from text to score and evidence that remembers texts, by their digest."""
+        known: dict[bytes, tuple[float, list[dict]]] = {}
+
+        def score(text: str | None) -> tuple[float, list[dict]]:
+            name = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if name not in known:
+                if len(known) >= REMEMBERED_TEXTS:
+                    known.clear()
+                known[name] = self.score(numbered(text, self.vocabulary)[0])
+            return known[name]
+
+        return score
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
