@@ -16,15 +16,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain, islice
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldtempo.llm.batches import parts, releasing
 from fieldtempo.llm.storage import free_names, new_path, written
 
-#: Content that one table holds, in bytes of text. A single larger text still fits an empty table.
+#: Content that one table holds, in bytes of its strings. A single larger text still fits an empty table.
 TABLE_BYTES = 64 << 20
 #: Content that a table of the first, joining pass holds before it is emptied.
 COMBINE_BYTES = 32 << 20
@@ -68,10 +71,15 @@ class ContentTable:
         self.contents.append(content)
         self.rows.append(row)
         self.counts.append(count)
-        self.bytes += len(content) + RECORD_BYTES
+        self.bytes += getsizeof(content) + RECORD_BYTES
         if 2 * len(self.hashes) > len(self.slots):
             self._grow()
 
+    def replace(self, entry: int, content: str, row: tuple) -> None:
+        """Another row of equal content; its text takes the place of the other one, or both are held."""
+        self.contents[entry] = content
+        self.rows[entry] = row
+
     def _grow(self) -> None:
         mask = 2 * len(self.slots) - 1
         self.slots = [-1] * (mask + 1)
@@ -116,7 +124,6 @@ def _task(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ContentTable()
-        schema = None
 
         def entries() -> Iterator[tuple]:
             for row, hashed, count in zip(table.rows, table.hashes, table.counts):
@@ -126,17 +133,17 @@ def _task(
 
         def rows() -> Iterator[tuple]:
             full = False
-            for batch in arrived():
-                for row in zip(*[column.to_pylist() for column in batch.columns]):
+            for part in chain.from_iterable(parts(batch, content) for batch in arrived()):
+                for row in zip(*[column.to_pylist() for column in part.columns]):
                     hashed, count, row = row[width], row[width + 1], row[:width]
                     text = row[content] or ""
                     entry = table.find(hashed, text)
                     if entry >= 0:
                         table.counts[entry] += count
                         if _stays(row, table.rows[entry], rank):
-                            table.rows[entry] = row
+                            table.replace(entry, text, row)
                         continue
-                    if table.hashes and table.bytes + len(text) > capacity:
+                    if table.hashes and table.bytes + getsizeof(text) > capacity:
                         if not combine:
                             full = True
                         else:
@@ -150,15 +157,15 @@ def _task(
             yield from entries()
 
         def arrived() -> Iterator[pa.RecordBatch]:
-            yield first
+            # Not kept beyond its turn.
+            yield first.pop()
             yield from batches
 
-        first = next(batches, None)
-        if first is not None:
-            schema = first.schema
-            yield from _emitted(rows(), schema, content)
+        first = [*islice(batches, 1)]
+        if first:
+            yield from _emitted(rows(), first[0].schema, content)
 
-    return run
+    return releasing(run)
 
 
 def survivors(

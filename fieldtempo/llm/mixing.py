@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,16 @@ STEP_BITS = 12
 STEPS = 3
 HASH_BITS = STEP_BITS * STEPS
 
+PLAN = pa.schema(
+    {
+        "source": pa.string(),
+        "source_size": pa.int64(),
+        "target": pa.float64(),
+        "whole": pa.int64(),
+        "quota": pa.float64(),
+    }
+)
+
 
 def water_fill(
     sizes: Sequence[int], weights: Sequence[float], budget: float, epochs: float
@@ -94,9 +105,10 @@ def mixing_plan(
     for source, size, target in source_targets(digest, budget, epochs):
         whole = int(target // size) if size else 0
         rows.append((source, size, target, whole, target - whole * size))
+    # From Arrow the rows need no Python workers.
+    columns = list(zip(*rows)) or [()] * len(PLAN)
     plan = spark.createDataFrame(
-        rows,
-        "source string, source_size bigint, target double, whole bigint, quota double",
+        pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(columns, PLAN.types)], schema=PLAN)
     )
     # The quota still to fill, inside the documents whose hash starts with the prefix.
     state = plan.select("source", "quota", F.lit(0).cast("bigint").alias("prefix"))

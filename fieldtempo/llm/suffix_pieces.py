@@ -30,17 +30,17 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldtempo.llm.batches import parts, releasing
 from fieldtempo.llm.pieces import SPACE, VOCABULARY, vocabulary
 
-#: Characters of text taken at a time, distinct stretches that a worker remembers, and characters
-#: relaxed at a time.
-BATCH = 4_000_000
-REMEMBERED = 600_000
-CHUNK = 500_000
+#: Bytes of text taken at a time, distinct stretches that a worker remembers, and characters relaxed
+#: at a time. A worker keeps what it remembers while it runs the tasks of other stages.
+BATCH = 1_000_000
+REMEMBERED = 400_000
+CHUNK = 250_000
 #: Longer stretches are relaxed one by one, with a heap.
 LONG = 64
 
@@ -358,19 +358,6 @@ def decode_ids(ids: list[int] | None, path: str = VOCABULARY) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-def _parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """The rows in runs of at most so many characters, or of one row."""
-    start = size = 0
-    lengths = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()
-    for n, length in enumerate(lengths):
-        if n > start and size + length > BATCH:
-            yield batch.slice(start, n - start)
-            start, size = n, 0
-        size += length
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def encode(docs: DataFrame, path: str = VOCABULARY, check: bool = False) -> DataFrame:
     """The columns but ``text``, with ``ids``; with ``check`` also ``round_trip``, whether decoding
     the ids gives the text again."""
@@ -384,7 +371,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, check: bool = False) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
         for batch in batches:
-            for part in _parts(batch, len(others)):
+            for part in parts(batch, len(others), BATCH):
                 texts = part.column(len(others)).to_pylist()
                 values, bounds = encoder.encode(texts)
                 ids = pa.ListArray.from_arrays(
@@ -405,7 +392,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, check: bool = False) -> Data
                 names = [*others, "ids", *["round_trip"] * check]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(releasing(run), schema)
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:

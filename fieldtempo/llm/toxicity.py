@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldtempo.llm.batches import parts, releasing
 from fieldtempo.llm.sampling import bounded_sample, remainder
 
 #: Labelled documents of each class to learn from, and bytes of their texts: the bounds of the sample.
@@ -293,8 +294,9 @@ class BlockMaxIndex:
         ]
         return min(1.0, max(0.0, score)), evidence
 
-    def scorer(self):
-        """A function from text to score and evidence that remembers texts, by their digest."""
+    def scorer(self, evidence: bool = True):
+        """A function from text to score and evidence that remembers texts, by their digest. Evidence
+        takes far more memory than scores; without it there is none."""
         known: dict[bytes, tuple[float, list[dict]]] = {}
 
         def score(text: str | None) -> tuple[float, list[dict]]:
@@ -302,7 +304,8 @@ class BlockMaxIndex:
             if name not in known:
                 if len(known) >= REMEMBERED_TEXTS:
                     known.clear()
-                known[name] = self.score(numbered(text, self.vocabulary)[0])
+                found = self.score(numbered(text, self.vocabulary)[0])
+                known[name] = found if evidence else (found[0], [])
             return known[name]
 
         return score
@@ -362,16 +365,17 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
         vocabulary = shared.value
         df = np.zeros(places + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found, any_word = numbered(text, vocabulary)
-                df[np.unique(found)] += 1
-                df[places] += any_word
+            for part in parts(batch, 0):
+                for text in part.column(0).to_pylist():
+                    found, any_word = numbered(text, vocabulary)
+                    df[np.unique(found)] += 1
+                    df[places] += any_word
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held])], names=["place", "n"])
 
     counted = (
         docs.select("text")
-        .mapInArrow(run, "place bigint, n bigint")
+        .mapInArrow(releasing(run), "place bigint, n bigint")
         .groupBy("place")
         .agg(F.sum("n").alias("n"))
         .toArrow()
@@ -483,10 +487,11 @@ def without_toxic(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
     at = [name.lower() for name in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value.scorer()
+        score = shared.value.scorer(evidence=False)
         for batch in batches:
-            clean = [score(text)[0] < 0.5 for text in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            for part in parts(batch, at):
+                clean = [score(text)[0] < 0.5 for text in part.column(at).to_pylist()]
+                yield part.filter(pa.array(clean, pa.bool_()))
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
